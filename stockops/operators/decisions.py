@@ -330,7 +330,7 @@ def resolve_conflicts(signals: DataFrame, keys: list[str]) -> DataFrame:
     df = signals.withColumn("median", F.median("mean").over(every))
     df = df.withColumn("pooled", F.sqrt(F.avg(F.col("std") * F.col("std")).over(every))).withColumn("spread", F.max("mean").over(every) - F.min("mean").over(every))
     # ties of distance go to the least reliable signal
-    far = Window.partitionBy(*keys).orderBy(F.desc(F.abs(F.col("mean") - F.col("median"))), F.asc("reliability"), F.asc("signal_id"))
+    far = Window.partitionBy(*keys).orderBy(F.desc(F.round(F.abs(F.col("mean") - F.col("median")), 9)), F.asc("reliability"), F.asc("signal_id"))
     df = df.withColumn("conflict", F.col("spread") > 2 * F.col("pooled")).withColumn("outlier", F.col("conflict") & (F.row_number().over(far) == 1))
     use = ~(F.col("outlier") & (F.col("reliability") < 0.4))
     w = F.when(use, F.col("reliability")).otherwise(0.0)
