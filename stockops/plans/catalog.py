@@ -6,7 +6,7 @@ from importlib import import_module
 
 from .registry import ORACLES, QUERIES
 
-MODULES = ("relational", "decide")
+MODULES = ("relational", "decide", "text", "judge")
 
 
 def queries() -> dict:

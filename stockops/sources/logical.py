@@ -23,12 +23,19 @@ class Dialect:
     def hours(self, ts: str, n: str) -> str:
         return f"timestampadd(HOUR, CAST({n} AS INT), {ts})" if self.spark else f"({ts} + to_hours(CAST({n} AS INT)))"
 
+    def array(self, *items: str) -> str:
+        return f"array({', '.join(items)})" if self.spark else f"[{', '.join(items)}]"
+
+    def lines(self, table: str, key: str, text: str) -> str:
+        """Rows (key, pos, line) of the lines of a text, from 0."""
+        if self.spark:
+            return f"(SELECT {key}, pos, line FROM {table} LATERAL VIEW posexplode(split({text}, '\\n')) x AS pos, line)"
+        return f"(SELECT {key}, CAST(unnest(range(len(parts))) AS INT) AS pos, unnest(parts) AS line FROM (SELECT {key}, string_split({text}, chr(10)) AS parts FROM {table}))"
+
     def json_int(self, x: str, key: str) -> str:
         return f"CAST(get_json_object({x}, '$.{key}') AS INT)" if self.spark else f"CAST(json_extract_string({x}, '$.{key}') AS INT)"
 
 
-GIVEN = "region nation customer supplier part orders_raw lineitem events documents embeddings pages benchmark labels conversations".split()
-
 TABLES = {
     "warehouses": lambda d: """SELECT concat('W', n_nationkey) AS id, n_name AS name, r_name AS region, 'UTC' AS tz
         FROM {nation} JOIN {region} ON n_regionkey = r_regionkey""",
@@ -87,14 +94,26 @@ TABLES = {
             CASE WHEN event_id % 10 = 0 THEN concat('V', event_id % 1000, '-', 1 + event_id % 7, '-1') END AS related_move_id FROM {{events}}""",
     "leadtime_models": lambda d: """SELECT concat('M', r_regionkey) AS id, CASE WHEN r_regionkey = 2 THEN 'global' ELSE 'supplier' END AS scope, 'normal' AS dist_family,
             7 + 2 * r_regionkey AS p1, CAST(1.5 AS DOUBLE) + r_regionkey AS p2, CAST(0.02 AS DOUBLE) * (1 + r_regionkey) AS p_rare_delay, 8 AS rare_delay_add_days FROM {region} WHERE r_regionkey < 3""",
+    "chunks": lambda d: f"""SELECT concat('C', doc_id) AS chunk_id, doc_id AS load_order, doc_id % 500 AS vec_id, CASE WHEN doc_id % 6 = 0 THEN NULL WHEN doc_id % 97 = 0 THEN 'x' ELSE concat(1 + doc_id % 9, '.', 1 + doc_id % 41) END AS entity_id,
+            CASE doc_id % 6 WHEN 0 THEN 'text' WHEN 1 THEN 'algorithm' WHEN 2 THEN 'example' WHEN 3 THEN 'numbered_formula' WHEN 4 THEN 'exercise' ELSE 'numbered_table' END AS chunk_type,
+            text AS content, CAST(doc_id % 100 AS INT) AS page, lang AS part, source AS section_number, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE concat('Title ', source) END AS section_title,
+            CASE WHEN doc_id % 4 = 0 THEN concat(source, '.1') END AS subsection_number, CASE WHEN doc_id % 8 = 0 THEN 'Sub' END AS subsection_title, CASE WHEN doc_id % 7 = 0 THEN concat(source, '.1.1') END AS subsubsection_number, 'Deep' AS subsubsection_title,
+            {d.array("concat(1 + (doc_id + 1) % 9, '.', 1 + (doc_id * 3) % 45)", "concat(1 + (doc_id + 4) % 9, '.', 1 + (doc_id * 7) % 45)")} AS referenced_algorithms, {d.array("concat(1 + (doc_id + 2) % 9, '.', 1 + (doc_id * 5) % 41)")} AS referenced_examples,
+            {d.array("concat(1 + (doc_id + 3) % 9, '.', 1 + (doc_id * 11) % 43)")} AS referenced_formulas, {d.array("'3.2'", "'A.1'")} AS referenced_tables, {d.array("concat(1 + doc_id % 9, '.', 1 + doc_id % 12)")} AS referenced_figures, {d.array("'4.5'")} AS referenced_exercises,
+            {d.array("concat('TAG_', doc_id % 7)", "concat('TAG_', doc_id % 5)")} AS bc_concepts, {d.array("concat('TABLE_', doc_id % 3)")} AS bc_db_tables, CASE WHEN doc_id % 3 = 0 THEN concat('C', doc_id + 1) WHEN doc_id % 3 = 1 THEN concat('Z', doc_id) END AS defined_in_chunk FROM {{documents}}""",
+    "blocks": lambda d: f"""SELECT doc_id, CAST(floor(pos / 10.0) AS INT) AS page_num, pos AS block_id,
+            CASE pos % 9 WHEN 8 THEN 'footnote' WHEN 7 THEN 'formula' WHEN 6 THEN 'formula_number' WHEN 5 THEN 'table' WHEN 4 THEN 'table_caption' ELSE 'text' END AS block_label,
+            CASE WHEN pos % 9 = 8 THEN concat('$ ^{{{{', doc_id % 3, '}}}} $ ', line) WHEN pos % 9 = 6 THEN concat('(', doc_id % 9, '.', pos, ')') WHEN pos % 9 = 0 THEN concat('# ', 1 + doc_id % 5, CASE pos % 27 WHEN 0 THEN '' WHEN 9 THEN '.2' ELSE '.2.3' END, ' ', substr(line, 1, 12))
+              WHEN pos % 9 = 1 THEN concat(line, ' $ ^{{{{', doc_id % 2, '}}}} $ see Example 1.', doc_id % 7, ' and Equation (2.', pos, ')') ELSE line END AS block_content,
+            {d.array("CAST(50 * (pos % 3) AS DOUBLE)", "CAST(80 * (pos % 10) AS DOUBLE)", "CAST(50 * (pos % 3) + 200 AS DOUBLE)", "CAST(80 * (pos % 10) + 40 AS DOUBLE)")} AS block_bbox
+        FROM {d.lines("{documents}", "doc_id", "text")} AS l""",
+    "regions": lambda d: f"""SELECT DISTINCT doc_id, page_num, CAST(page_num * 3 + r AS INT) AS region_id, {d.array("CAST(0 AS DOUBLE)", "CAST(240 * r AS DOUBLE)", "CAST(200 + 60 * r AS DOUBLE)", "CAST(240 * r + 300 AS DOUBLE)")} AS bbox
+        FROM {{blocks}} CROSS JOIN (SELECT r_regionkey AS r FROM {{region}} WHERE r_regionkey < 3) AS rr""",
     "golden": lambda d: """SELECT concat('G', item_id) AS id, item_id, text AS question FROM {benchmark}""",
 }
 
-GIVEN_NAMES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-
-
 def needs(name: str, d: Dialect) -> list[str]:
-    return re.findall(r"\{(\w+)\}", TABLES[name](d))
+    return re.findall(r"(?<!\{)\{(\w+)\}(?!\})", TABLES[name](d))
 
 
 def load(spark: SparkSession, sf_dir: str, name: str, cache: dict | None = None) -> DataFrame:
@@ -119,7 +138,7 @@ def with_clause(names: Iterable[str]) -> str:
         if name in TABLES and name not in done:
             for x in needs(name, d):
                 add(x)
-            done[name] = f"{name} AS (" + re.sub(r"\{(\w+)\}", r"\1", TABLES[name](d)) + ")"
+            done[name] = f"{name} AS (" + re.sub(r"(?<!\{)\{(\w+)\}(?!\})", r"\1", TABLES[name](d)).replace("{{", "{").replace("}}", "}") + ")"
 
     for name in names:
         add(name)
