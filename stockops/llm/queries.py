@@ -102,8 +102,8 @@ ORACLES: dict[str, str] = {
                coalesce(fit.verdict, CASE WHEN regexp_matches('.' || host || chr(1) || path, 'casino|pills|free-bets|ads-track|[.]xxx\\x01') THEN 'block' ELSE 'allow' END) AS verdict
         FROM u LEFT JOIN fit USING (page_id)""",
     "op5_decontaminate": """
-        WITH w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), x -> x <> '') AS words FROM documents),
-        b AS (SELECT CAST(item_id AS VARCHAR) AS item, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), x -> x <> '') AS words FROM benchmark),
+        WITH w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS words FROM documents),
+        b AS (SELECT CAST(item_id AS VARCHAR) AS item, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS words FROM benchmark),
         bw AS (SELECT DISTINCT item, least(10, len(words)) AS n, array_to_string(words[i : i + least(10, len(words)) - 1], ' ') AS win
                FROM (SELECT item, words, unnest(range(1, greatest(len(words) - least(10, len(words)) + 2, 1))) AS i FROM b WHERE len(words) > 0)),
         sizes AS (SELECT DISTINCT n FROM bw),
