@@ -107,4 +107,4 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     plan = mix(docs, **options).where("taken > 0").groupBy("doc_id", "text_hash").agg(F.round(F.sum("taken") / F.sum("size")).cast("int").alias("copies")).where("copies > 0").alias("p")
     keyed = docs.withColumn("__hash", F.xxhash64(F.col("text").cast("string"))).alias("d")
     on = F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("d.__hash") == F.col("p.text_hash"))
-    return keyed.join(plan, on).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select([F.col(f"d.{c}") for c in docs.columns])
+    return keyed.join(plan, on).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("p.copies")))).select([F.col(f"d.{c}") for c in docs.columns])
