@@ -133,6 +133,6 @@ def device_anomalies(devices: DataFrame, observations: DataFrame, as_of: str, wi
         ((F.col("status") == "offline") & (F.col("n_obs") > 0), "offline_with_observations"),
         ((F.col("status") != "offline") & (F.col("n_obs") == 0), "online_without_observations"),
         (F.col("observed_missing_rate") > F.col("missing_rate"), "missing_rate_spike"),
-        (F.col("avg_confidence") < min_confidence, "low_confidence"),
+        (F.round("avg_confidence", 9) < min_confidence, "low_confidence")  # a mean of doubles depends on their order,
     )
     return df.withColumn("anomalies", found).where(F.size("anomalies") > 0)

@@ -70,7 +70,7 @@ def b3q(t):
 SIGNAL = health(168) + """
 , x AS (SELECT *, n_missing * 1.0 / nullif(n_obs, 0) AS rate FROM h),
 sig AS (SELECT id, warehouse_id, CASE WHEN status = 'offline' THEN 0 ELSE coalesce(avg_confidence * (1 - greatest(0, coalesce(rate, 0) - missing_rate)) *
-  CASE WHEN (status = 'offline' AND n_obs > 0) OR (status <> 'offline' AND n_obs = 0) OR rate > missing_rate OR avg_confidence < 0.5 THEN 0.6 ELSE 1.0 END, 0) END AS reliability FROM x),
+  CASE WHEN (status = 'offline' AND n_obs > 0) OR (status <> 'offline' AND n_obs = 0) OR rate > missing_rate OR round(avg_confidence, 9) < 0.5 THEN 0.6 ELSE 1.0 END, 0) END AS reliability FROM x),
 sigc AS (SELECT *, CASE WHEN reliability >= 0.8 THEN 'HIGH' WHEN reliability >= 0.5 THEN 'MEDIUM' ELSE 'LOW' END AS signal FROM sig)"""
 
 

@@ -326,7 +326,7 @@ def v4(t):
 @query("v5_device_anomalies", ["devices", "observations"], health(720) + """
 , x AS (SELECT *, n_missing * 1.0 / nullif(n_obs, 0) AS rate FROM h),
 y AS (SELECT id, n_obs, round(rate, 6) AS observed_missing_rate, concat_ws(',', CASE WHEN status = 'offline' AND n_obs > 0 THEN 'offline_with_observations' END, CASE WHEN status <> 'offline' AND n_obs = 0 THEN 'online_without_observations' END,
-  CASE WHEN rate > missing_rate THEN 'missing_rate_spike' END, CASE WHEN avg_confidence < 0.5 THEN 'low_confidence' END) AS anomalies FROM x)
+  CASE WHEN rate > missing_rate THEN 'missing_rate_spike' END, CASE WHEN round(avg_confidence, 9) < 0.5 THEN 'low_confidence' END) AS anomalies FROM x)
 SELECT * FROM y WHERE anomalies <> ''""")
 def v5(t):
     return top.device_anomalies(t.devices, t.observations, EVENTS_AS_OF, 720).select("id", "n_obs", r6("observed_missing_rate"), joined("anomalies"))
