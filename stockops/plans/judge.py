@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -181,8 +182,9 @@ def e13(t):
     return e.quality_warnings(runs).select("conv_id", "turn", joined("warnings"))
 
 
-def streamed(t, twin, mode: str):
-    """Run a twin over the events as a stream until they are used up; its table is the result."""
+def streamed(t, twin):
+    """Run a twin over the events as a stream until they are used up; each batch writes the table of
+    results anew, so nothing passes through the driver."""
     spark = t.spark
     schema = t.events.schema
     raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{t.sf_dir}/events.parque[t]")
@@ -191,20 +193,23 @@ def streamed(t, twin, mode: str):
         "CASE WHEN event_type = 'error' THEN NULL ELSE value END AS observed_qty", "CAST(get_json_object(props, '$.k') AS INT) / CAST(100 AS DOUBLE) AS confidence", "event_type = 'error' AS is_missing",
     )
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="stream-")
-    name = f"twin_{twin.__name__}_{abs(hash((t.sf_dir, base)))}"
-    q = twin(obs).writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", f"{base}/{name}-{tempfile.mktemp(prefix='', dir='')}").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+    work = f"{base}/{twin.__name__}-{uuid.uuid4().hex}"
+
+    def keep(batch, _):
+        batch.write.mode("overwrite").parquet(f"{work}/result")
+
+    twin(obs).writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{work}/log").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{work}/result")
 
 
 @query("x1_stream_latest_snapshot", [], """
 , ob AS (SELECT event_id, ts, concat('D', user_id) AS device_id, concat('P', event_id % 200) AS product_id, concat('N', event_id % 25) AS location_id, CASE WHEN event_type = 'error' THEN NULL ELSE value END AS observed_qty, CAST(json_extract_string(props, '$.k') AS INT) / CAST(100 AS DOUBLE) AS confidence FROM events)
 SELECT product_id, location_id, epoch_us(ts) AS observed_at, event_id, observed_qty FROM (SELECT *, row_number() OVER (PARTITION BY product_id, location_id ORDER BY ts DESC, confidence DESC NULLS LAST, event_id) AS rn FROM ob) WHERE rn = 1""")
 def x1(t):
-    return streamed(t, twins.stream_latest_snapshot, "complete").select("product_id", "location_id", us("observed_at"), "event_id", "observed_qty")
+    return streamed(t, twins.stream_latest_snapshot).select("product_id", "location_id", us("observed_at"), "event_id", "observed_qty")
 
 
 @query("x2_stream_device_health", [], """
 SELECT epoch_us(time_bucket(INTERVAL '24 hours', ts, TIMESTAMP '1970-01-01 00:00:00')) AS window_start, concat('D', user_id) AS device_id, count(*) AS n_obs, CAST(count(*) FILTER (event_type = 'error') AS BIGINT) AS n_missing, round(count(*) FILTER (event_type = 'error') / CAST(count(*) AS DOUBLE), 6) AS missing_rate FROM events GROUP BY ALL""")
 def x2(t):
-    return streamed(t, twins.stream_device_health, "complete").select(us("window_start"), "device_id", "n_obs", "n_missing", r6("missing_rate"))
+    return streamed(t, twins.stream_device_health).select(us("window_start"), "device_id", "n_obs", "n_missing", r6("missing_rate"))
