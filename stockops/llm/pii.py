@@ -104,22 +104,21 @@ def nearby_terms(text: Column, spans: Column, reach: int) -> Column:
     return F.when(F.size(spans) > 0, near).otherwise(F.array().cast(kind))
 
 
-def revealing_terms(near: DataFrame, texts: DataFrame, n_texts: int, min_support: int, widen: float, remove: float, max_broadcast: int) -> DataFrame:
+def revealing_terms(near: DataFrame, texts: DataFrame, copies: DataFrame, n_texts: int, min_support: int, widen: float, remove: float, max_broadcast: int) -> DataFrame:
     """(entity, term, action) of the terms that disclose too much.
 
     ``near``: (text_hash, entity, term). ``texts``: (text_hash, text), rows of one hash being equal.
+    ``copies``: (text_hash, n) of the texts that more than one row holds.
     """
-    pairs = near.groupBy("entity", "term").agg(F.count_distinct("text_hash").alias("co")).where(F.col("co") >= min_support)
-    pairs = durable(pairs)
-    terms = durable(pairs.select("term").distinct())
-    known = terms.count()
-    if not known:
+    pairs = durable(near.groupBy("entity", "term").agg(F.count_distinct("text_hash").alias("co")).where(F.col("co") >= min_support))
+    if pairs.isEmpty():
         return pairs.select("entity", "term", F.lit("").alias("action"))
     entities = near.groupBy("entity").agg(F.count_distinct("text_hash").alias("df_entity"))
-    words = texts.select("text_hash", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-    # the terms are broadcast only when they are counted to be few
-    words = words.join(F.broadcast(terms) if known <= max_broadcast else terms, "term", "left_semi")
-    spread = words.groupBy("term").agg(F.count_distinct("text_hash").alias("df_term"))
+    # n copies of a text count 1 / n each; words are summed before they meet the pairs
+    known = copies.count() <= max_broadcast
+    weighed = texts.join(F.broadcast(copies) if known else copies, "text_hash", "left").withColumn("share", 1.0 / F.coalesce("n", F.lit(1)))
+    words = weighed.select("share", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
+    spread = words.groupBy("term").agg(F.round(F.sum("share")).alias("df_term"))
     told = pairs.join(spread, "term").join(entities, "entity")
     pmi = F.log2(F.lit(float(n_texts)) * F.col("co") / (F.col("df_term") * F.col("df_entity")))
     part = F.try_divide(pmi, F.log2(F.lit(float(n_texts)) / F.col("df_entity")))
@@ -138,8 +137,9 @@ def personal_data(docs: DataFrame, reach: int = 48, min_support: int = 3, widen:
     found = rows.select("doc_id", F.xxhash64("text").alias("text_hash"), "text", base_spans(F.col("text")).alias("base"))
     found = durable(found.select("doc_id", "text_hash", "base", nearby_terms(F.col("text"), F.col("base"), reach).alias("near")))
     near = found.select("text_hash", F.explode("near").alias("t")).select("text_hash", "t.*")
-    n_texts = found.select("text_hash").distinct().count()
-    told = revealing_terms(near, rows.select(F.xxhash64("text").alias("text_hash"), "text"), max(1, n_texts), min_support, widen, remove, max_broadcast)
+    held = durable(found.groupBy("text_hash").agg(F.count(F.lit(1)).alias("n")))
+    texts = rows.select(F.xxhash64("text").alias("text_hash"), "text")
+    told = revealing_terms(near, texts, held.where("n > 1"), max(1, held.count()), min_support, widen, remove, max_broadcast)
     few = told.count()
     none = F.array().cast(SPAN)
     if not few:
