@@ -7,9 +7,9 @@ signatures over five-word shingles; ``bands`` of ``rows_per_band`` values are tu
 the threshold collides with a chance above 99 %. Colliding lines are verified by exact Jaccard on
 their shingles and clustered by components. Sentences match as wholes.
 
-Within a bucket every member is first verified against the bucket's head only; after components are
-known, just members of different components are compared, so a large group of near copies never
-emits all its pairs. Repeated paragraphs of a document that touch are merged to passages; passages of
+A bucket's lines are verified inside its task, over bit rows of the shingles they share, and only a
+spanning forest of the verified links leaves it, so a large group of near copies never emits all its
+pairs. Equal lines are one node, so a bucket holds different texts only. Repeated paragraphs of a document that touch are merged to passages; passages of
 at least ``min_passage`` words are reported.
 """
 
@@ -21,9 +21,10 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER_ASCII, connected_components, durable, ship, written
+from .common import LOWER_ASCII, connected_components, durable, ship, unite, written
 
 ship(__name__)
+ship("stockops.llm.common")
 
 STOPS = (b".", b"!", b"?")
 PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -87,61 +88,79 @@ def units(docs: DataFrame, min_line: int, min_sentence: int, width: int, bands:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(batches, "doc_id long, is_line boolean, start int, end int, h1 long, h2 long, keys array<long>")
 
 
-def by_bucket(members: DataFrame, columns: list[str], of_bucket, schema: str) -> DataFrame:
-    """Run ``of_bucket(arrays)`` over the rows of every (band, key); it yields tuples of longs."""
-    width = len(schema.split(","))
+def similar_forest(ids: np.ndarray, sets: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
+    """Spanning links of one bucket: rows whose Jaccard similarity reaches the threshold.
 
-    def run(it):
-        held: list[pa.RecordBatch] = []
-
-        def flush(batches):
-            out: list[list] = [[] for _ in range(width)]
-            if batches:
-                t = pa.Table.from_batches(batches)
-                data = [t.column(c).to_numpy() for c in range(t.num_columns)]
-                cuts = np.flatnonzero((data[0][1:] != data[0][:-1]) | (data[1][1:] != data[1][:-1])) + 1
-                for s, e in zip([0, *cuts], [*cuts, len(data[0])], strict=True):
-                    if e - s > 1:
-                        for row in of_bucket([d[s:e] for d in data]):
-                            for column, value in zip(out, row, strict=True):
-                                column.append(int(value))
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], [x.split()[0] for x in schema.split(", ")])
-
-        for batch in it:
-            if not batch.num_rows:
-                continue
-            band, key = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            differs = np.flatnonzero((band != band[-1]) | (key != key[-1]))
-            last = int(differs[-1]) + 1 if len(differs) else 0
-            if not last and held and (held[-1].column(0)[-1], held[-1].column(1)[-1]) == (batch.column(0)[0], batch.column(1)[0]):
-                held.append(batch)
-                continue
-            yield flush([b for b in [*held, batch.slice(0, last)] if b.num_rows])
-            held = [batch.slice(last)]
-        yield flush([b for b in held if b.num_rows])
-
-    return members.select("band", "key", *columns).repartition("band", "key").sortWithinPartitions("band", "key").mapInArrow(run, schema)
-
-
-def line_classes(nodes: DataFrame, docs: DataFrame, width: int, threshold: float, max_broadcast: int) -> DataFrame:
+    Shingles of one row only cannot be shared and are left out; the rest are bit rows. Blocks bound
+    the memory whatever the bucket holds.
+    """
+    n = len(ids)
+    sizes = np.array([len(s) for s in sets], np.int64)
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    dense = np.cumsum(count > 1) - 1
+    row = np.repeat(np.arange(n), sizes)
+    use = count[column] > 1
+    row, column = row[use], dense[column[use]]
+    words = max(1, -(-(int(dense[-1]) + 1) // 64)) if len(dense) else 1
+    bits = np.zeros((n, words), np.uint64)
+    np.bitwise_or.at(bits, (row, column >> 6), np.uint64(1) << (column & 63).astype(np.uint64))
+    root = np.arange(n)
+    step = max(1, (1 << 22) // (n * words))
+    for at in range(0, n - 1, step):
+        mine = np.arange(at, min(n, at + step))
+        both = np.bitwise_count(bits[mine, None, :] & bits[None, at:, :]).sum(2, dtype=np.int64)
+        a, b = np.nonzero(both >= threshold * (sizes[mine, None] + sizes[None, at:] - both))
+        root = unite(root, mine[a], b + at)
+    return [(int(ids[i]), int(ids[r])) for i, r in enumerate(root) if i != r and ids[i] != ids[r]]
+
+
+def sorted_buckets(it):
+    """(band, key) groups, as tables, of batches sorted by band and key in their first two columns."""
+    held: list[pa.RecordBatch] = []
+    for batch in it:
+        if not batch.num_rows:
+            continue
+        band, key = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        cuts = [0, *(np.flatnonzero((band[1:] != band[:-1]) | (key[1:] != key[:-1])) + 1), batch.num_rows]
+        for s, e in zip(cuts, cuts[1:], strict=False):
+            part = batch.slice(s, e - s)
+            if held and (held[-1].column(0)[0], held[-1].column(1)[0]) != (part.column(0)[0], part.column(1)[0]):
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(part)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def line_classes(nodes: DataFrame, docs: DataFrame, width: int, threshold: float, bands: int, rows: int, max_broadcast: int) -> DataFrame:
     """(id, component) of the lines that have a verified near copy. nodes: id, doc_id, start, keys."""
-    members = nodes.select("id", F.posexplode("keys").alias("band", "key"))
-
-    def star(data):
-        ids = np.unique(data[2])
-        for x in ids[1:]:
-            yield data[0][0], data[1][0], ids[0], x
 
-    buckets = durable(by_bucket(members, ["id"], star, "band long, key long, head long, id long"))
-    wanted = durable(buckets.select("id").union(buckets.select("head")).distinct())
-    places = nodes.join(wanted, "id", "left_semi").where("doc_id is not null").groupBy("doc_id").agg(F.collect_list(F.struct("start", "id")).alias("places"))
+    def alone(it):
+        """Ids of sorted (band, key, id) rows whose bucket holds at least two of them."""
+        last: tuple | None = None  # (band, key, id, told) of the row before
+        for batch in it:
+            out = []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if last is not None and row[:2] == last[:2]:
+                    if not last[3]:
+                        out.append(last[2])
+                    out.append(row[2])
+                    last = (*row, True)
+                else:
+                    last = (*row, False)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], ["id"])
+
+    members = nodes.select(F.posexplode("keys").alias("band", "key"), "id").select("band", "key", "id")
+    wanted = members.repartition("band", "key").sortWithinPartitions("band", "key").mapInArrow(alone, "id long").distinct()
+    places = nodes.join(wanted, "id", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("start", "id")).alias("places"))
     places = durable(places)
     few = places.count() <= max_broadcast
 
     def fetch(it):
+        """Band keys and shingles of the wanted lines, read from their text again."""
         with np.errstate(over="ignore"):
             for batch in it:
-                ids, sets = [], []
+                out: list[list] = [[], [], [], []]
                 for text, spots in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                     at, lines = 0, {}
                     for words in lines_of(text.as_py()):
@@ -150,33 +169,26 @@ def line_classes(nodes: DataFrame, docs: DataFrame, width: int, threshold: float
                         at += len(words)
                     for spot in spots:
                         if spot["start"] in lines:
-                            ids.append(spot["id"])
-                            sets.append(shingles(lines[spot["start"]], width).view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["id", "grams"])
-
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(places) if few else places, "doc_id")
-    grams = durable(found.select("text", "places").mapInArrow(fetch, "id long, grams array<long>").dropDuplicates(["id"]))
-
-    def verified(pairs):
-        a, b = grams.select(F.col("id").alias("a"), F.col("grams").alias("x")), grams.select(F.col("id").alias("b"), F.col("grams").alias("y"))
-        both = F.size(F.array_intersect("x", "y"))
-        return pairs.join(a, "a").join(b, "b").where(both >= threshold * (F.size("x") + F.size("y") - both)).select(F.col("a").alias("src"), F.col("b").alias("dst"))
-
-    first = durable(verified(buckets.select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()))
-    comps = connected_components(first)
-    joined = buckets.select("band", "key", "id").union(buckets.select("band", "key", F.col("head").alias("id")).distinct())
-    joined = joined.join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
-
-    def across(data):
-        ids, at = np.unique(data[2], return_index=True)
-        comp = data[3][at]
-        if len(np.unique(comp)) > 1:
-            for k in range(1, len(ids)):  # the head, ids[0], has been compared with all
-                for j in np.flatnonzero(comp[k + 1 :] != comp[k]) + k + 1:
-                    yield ids[k], ids[j]
-
-    second = by_bucket(joined, ["id", "component"], across, "a long, b long").distinct()
-    return connected_components(first.union(verified(second)))
+                            grams = shingles(lines[spot["start"]], width)
+                            for band, key in enumerate(band_keys(grams, bands, rows)):
+                                for column, value in zip(out, (band, key, spot["id"], grams.view(np.int64)), strict=True):
+                                    column.append(value)
+                kinds = (pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["band", "key", "id", "grams"])
+
+    def link(it):
+        for bucket in sorted_buckets(it):
+            found = []
+            if bucket.num_rows > 1:
+                sets = [np.asarray(g.values) for c in bucket["grams"].chunks for g in c]
+                found = similar_forest(bucket["id"].to_numpy(), sets, threshold)
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["src", "dst"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    found = texts.join(F.broadcast(places) if few else places, "doc_id").select("text", "places")
+    rows_ = found.mapInArrow(fetch, "band int, key long, id long, grams array<long>")
+    links = rows_.repartition("band", "key").sortWithinPartitions("band", "key").mapInArrow(link, "src long, dst long")
+    return connected_components(links)
 
 
 def repeated_passages(
@@ -200,19 +212,23 @@ def repeated_passages(
     differs. Empty tables give empty tables; other columns are ignored.
     """
     found = written(units(docs, min_line, min_sentence, width, bands, rows_per_band).where("doc_id is not null"), "paragraphs")
-    place = F.min(F.struct("doc_id", "start"))
+    spot = F.struct("doc_id", "start")
+    place = F.min(spot)
 
-    sentences = found.where("not is_line").select("doc_id", "start", "end", "h1", "h2").distinct()
-    twice = sentences.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), place.alias("first")).where("n > 1")
+    # rows that repeat a doc_id repeat its places: a paragraph counts as repeated from two places on
+    sentences = found.where("not is_line").select("doc_id", "start", "end", "h1", "h2")
+    twice = sentences.groupBy("h1", "h2").agg(place.alias("first"), F.max(spot).alias("last")).where("first <> last").drop("last")
     of_sentences = sentences.join(twice, ["h1", "h2"]).select("doc_id", "start", "end", F.col("h1").alias("class_id"), "first")
 
     lines = found.where("is_line")
-    nodes = lines.groupBy("h1", "h2").agg(place.alias("first"), F.first("keys").alias("keys"))
-    nodes = durable(nodes.select(F.col("h1").alias("id"), "h2", "first", F.col("first.doc_id").alias("doc_id"), F.col("first.start").alias("start"), "keys"))
-    classes = line_classes(nodes, docs, width, threshold, max_broadcast)
-    kept = nodes.join(classes, "id").groupBy("component").agg(F.min("first").alias("first"))
-    kept = classes.join(kept, "component").select(F.col("id").alias("h1"), F.col("component").alias("class_id"), "first")
-    of_lines = lines.select("doc_id", "start", "end", "h1").distinct().join(kept, "h1").select("doc_id", "start", "end", "class_id", "first")
+    nodes = lines.groupBy("h1", "h2").agg(place.alias("first"), F.max(spot).alias("last"), F.first("keys").alias("keys"))
+    nodes = durable(nodes.select(F.col("h1").alias("id"), "h2", "first", "last", F.col("first.doc_id").alias("doc_id"), F.col("first.start").alias("start"), "keys"))
+    classes = line_classes(nodes, docs, width, threshold, bands, rows_per_band, max_broadcast)
+    # lines with near copies, and lines that merely repeat
+    labelled = nodes.select("id", "first", "last").join(classes, "id", "left").where("component is not null or first <> last").withColumn("component", F.coalesce("component", "id"))
+    kept = labelled.groupBy("component").agg(F.min("first").alias("first"))
+    kept = labelled.select("id", "component").join(kept, "component").select(F.col("id").alias("h1"), F.col("component").alias("class_id"), "first")
+    of_lines = lines.select("doc_id", "start", "end", "h1").join(kept, "h1").select("doc_id", "start", "end", "class_id", "first")
 
     hits = of_sentences.union(of_lines).withColumn("removed", F.struct("doc_id", "start") != F.col("first"))
     order = Window.partitionBy("doc_id").orderBy("start", "end", "class_id")

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER_ASCII, connected_components, durable, ship
+from .common import LOWER_ASCII, connected_components, durable, ship, unite
 
 ship(__name__)
 ship("stockops.llm.common")
@@ -94,19 +94,7 @@ def forest(ids: np.ndarray, fps: np.ndarray, home: np.ndarray, limit: int) -> li
             for lane in range(fps.shape[1]):
                 far += np.bitwise_count(fps[mine[a], lane] ^ fps[b, lane])
             a, b = a[far <= limit], b[far <= limit]
-        a = mine[a]
-        while True:
-            x, y = root[a], root[b]
-            apart = x != y
-            if not apart.any():
-                break
-            a, b, x, y = a[apart], b[apart], x[apart], y[apart]
-            np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
-            while True:
-                up = root[root]
-                if (up == root).all():
-                    break
-                root = up
+        root = unite(root, mine[a], b)
     return [(int(ids[i]), int(ids[r])) for i, r in enumerate(root) if i != r and ids[i] != ids[r]]
 
 
