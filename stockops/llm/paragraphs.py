@@ -199,7 +199,7 @@ def repeated_passages(
     rows_per_band: int = 2,
     min_line: int = 20,
     min_sentence: int = 8,
-    min_passage: int = 12,
+    min_passage: int = 20,
     max_broadcast: int = 100_000,
 ) -> DataFrame:
     """One row for each repeated passage of a document: doc_id, start, end (words), n_words,
