@@ -1,8 +1,9 @@
 """Building chunks from page blocks.
 
 Blocks: doc_id, page_num, block_id, block_label, block_content, block_bbox (x0, y0, x1, y1).
-Folds whose next step depends on the last one run by document or page in ``applyInPandas``; a
-document or page is small by nature. Everything else is column expressions and equi-joins by page.
+Folds whose next step depends on the last one run over the blocks of one document or page, gathered
+into one row each and handed over in Arrow batches; a document or page is small by nature. Everything
+else is column expressions and equi-joins by page.
 """
 
 from __future__ import annotations
@@ -11,8 +12,11 @@ import re
 from collections.abc import Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions.python import ship
 
@@ -34,6 +38,23 @@ MAX_CHUNK = 1000
 SKIPPED = ("header", "footer", "number", "footnote", "header_image", "footer_image", "aside_text")
 
 
+def fold_groups(df: DataFrame, keys: Sequence[str], fold, schema: StructType) -> DataFrame:
+    """``fold(rows)`` for the rows, as dicts, of each group; it returns dicts of ``schema``."""
+    shape = to_arrow_schema(schema)
+
+    def batches(it):
+        for batch in it:
+            out = [r for rows in batch.column(0).to_pylist() for r in fold(rows)]
+            yield pa.RecordBatch.from_pylist(out, schema=shape)
+
+    grouped = df.groupBy(*keys).agg(F.collect_list(F.struct(*df.columns)).alias("rows"))
+    return grouped.select("rows").mapInArrow(batches, schema)
+
+
+def with_key(df: DataFrame, rest: str) -> StructType:
+    return StructType([df.schema["doc_id"], *StructType.fromDDL(rest).fields])
+
+
 def lines_of(blocks: DataFrame) -> DataFrame:
     """Lines of blocks in reading order: doc_id, page_num, block_id, line_no, line."""
     return blocks.select("doc_id", "page_num", "block_id", F.posexplode(F.split("block_content", "\n")).alias("line_no", "line"))
@@ -86,26 +107,24 @@ def chunk_text(blocks: DataFrame, max_chars: int = MAX_CHUNK) -> DataFrame:
     new numbered entity, at a change of type, or when it would pass ``max_chars``.
     """
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(y=[b[1] for b in pdf.block_bbox], x=[b[0] for b in pdf.block_bbox]).sort_values(["page_num", "y", "x", "block_id"])
+    def fold(rows: list[dict]) -> list[dict]:
         out, held = [], None
-        for r in pdf.itertuples():
-            content = (r.block_content or "").strip()
-            if r.block_label in SKIPPED or not content:
+        for r in sorted(rows, key=lambda r: (r["page_num"], r["block_bbox"][1], r["block_bbox"][0], r["block_id"])):
+            content = (r["block_content"] or "").strip()
+            if r["block_label"] in SKIPPED or not content:
                 continue
             heading = content.startswith("#")
-            kind, entity = ("text", None) if heading else entity_of(r.block_label, content)
+            kind, entity = ("text", None) if heading else entity_of(r["block_label"], content)
             apart = held is None or heading or entity is not None or (kind != held["chunk_type"] and held["entity_id"] is None) or kind.startswith("numbered") or len(held["content"]) + len(content) > max_chars
             if apart:
-                held = {"doc_id": r.doc_id, "seq": len(out), "chunk_type": kind, "entity_id": entity, "content": content, "page": r.page_num, "block_ids": [int(r.block_id)]}
+                held = {"doc_id": r["doc_id"], "seq": len(out), "chunk_type": kind, "entity_id": entity, "content": content, "page": r["page_num"], "block_ids": [r["block_id"]]}
                 out.append(held)
             else:
                 held["content"] += "\n" + content
-                held["block_ids"].append(int(r.block_id))
-        return pd.DataFrame(out, columns=["doc_id", "seq", "chunk_type", "entity_id", "content", "page", "block_ids"])
+                held["block_ids"].append(r["block_id"])
+        return out
 
-    kind = blocks.schema["doc_id"].dataType.simpleString()
-    return blocks.groupBy("doc_id").applyInPandas(fold, f"doc_id {kind}, seq int, chunk_type string, entity_id string, content string, page int, block_ids array<int>")
+    return fold_groups(blocks, ["doc_id"], fold, with_key(blocks, "seq int, chunk_type string, entity_id string, content string, page int, block_ids array<int>"))
 
 
 def stable_chunk_id(chunk_type: Column, entity_id: Column, content: Column) -> Column:
@@ -143,24 +162,24 @@ def match_formula_numbers(blocks: DataFrame, reach: float = 60.0) -> DataFrame:
     """Formula number -> formula of its page: overlapping in height and left of it, else the nearest
     one within ``reach``; each formula is claimed once, in reading order of the numbers."""
 
-    def claim(pdf: pd.DataFrame) -> pd.DataFrame:
-        numbers = pdf[pdf.block_label == "formula_number"]
-        formulas = pdf[pdf.block_label == "formula"]
+    def claim(rows: list[dict]) -> list[dict]:
+        numbers = [r for r in rows if r["block_label"] == "formula_number"]
+        formulas = [r for r in rows if r["block_label"] == "formula"]
         taken, out = set(), []
-        for n in sorted(numbers.itertuples(), key=lambda r: (r.block_bbox[1], r.block_bbox[0], r.block_id)):
-            nb = n.block_bbox
-            free = [f for f in formulas.itertuples() if f.block_id not in taken]
-            level = [f for f in free if f.block_bbox[1] < nb[3] and f.block_bbox[3] > nb[1] and f.block_bbox[2] <= nb[0] + 1]
-            far = lambda f, nb=nb: abs((f.block_bbox[1] + f.block_bbox[3]) / 2 - (nb[1] + nb[3]) / 2)
+        for n in sorted(numbers, key=lambda r: (r["block_bbox"][1], r["block_bbox"][0], r["block_id"])):
+            left, top, _, bottom = n["block_bbox"]
+            far = lambda f, top=top, bottom=bottom: abs((f["block_bbox"][1] + f["block_bbox"][3]) / 2 - (top + bottom) / 2)
+            free = [f for f in formulas if f["block_id"] not in taken]
+            level = [f for f in free if f["block_bbox"][1] < bottom and f["block_bbox"][3] > top and f["block_bbox"][2] <= left + 1]
             near = level or [f for f in free if far(f) <= reach]
             if near:
-                best = min(near, key=lambda f: (far(f), f.block_id))
-                taken.add(best.block_id)
-                out.append((n.doc_id, n.page_num, n.block_content.strip().strip("()"), int(best.block_id), best.block_content))
-        return pd.DataFrame(out, columns=["doc_id", "page_num", "entity_id", "block_id", "content"])
+                best = min(near, key=lambda f: (far(f), f["block_id"]))
+                taken.add(best["block_id"])
+                out.append({"doc_id": n["doc_id"], "page_num": n["page_num"], "entity_id": (n["block_content"] or "").strip().strip("()"), "block_id": best["block_id"], "content": best["block_content"]})
+        return out
 
-    kind = blocks.schema["doc_id"].dataType.simpleString()
-    return blocks.groupBy("doc_id", "page_num").applyInPandas(claim, f"doc_id {kind}, page_num int, entity_id string, block_id int, content string")
+    some = blocks.where("block_label in ('formula', 'formula_number')")
+    return fold_groups(some, ["doc_id", "page_num"], claim, with_key(blocks, "page_num int, entity_id string, block_id int, content string"))
 
 
 def centre(bbox: Column) -> tuple[Column, Column]:
@@ -279,19 +298,18 @@ def repair_note_splits(blocks: DataFrame) -> DataFrame:
     """An empty footnote block takes its text back from the latest earlier block of the page that
     swallowed it (everything from the note's mark on); each swallowed text is used once."""
 
-    def repair(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("block_id").reset_index(drop=True)
-        content = [c or "" for c in pdf.block_content]
-        for i in range(len(pdf)):
-            if pdf.block_label[i] == "footnote" and not content[i].strip():
-                for j in range(i - 1, -1, -1):
-                    m = re.search(r"\n\s*(\$\s*\^\{?\d+\}?\s*\$.*)$", content[j], re.S)
-                    if m and pdf.block_label[j] != "footnote":
-                        content[i], content[j] = m[1].strip(), content[j][: m.start()].rstrip()
+    def repair(rows: list[dict]) -> list[dict]:
+        rows = sorted(rows, key=lambda r: r["block_id"])
+        for i, r in enumerate(rows):
+            if r["block_label"] == "footnote" and not (r["block_content"] or "").strip():
+                for earlier in reversed(rows[:i]):
+                    m = re.search(r"\n\s*(\$\s*\^\{?\d+\}?\s*\$.*)$", earlier["block_content"] or "", re.S)
+                    if m and earlier["block_label"] != "footnote":
+                        r["block_content"], earlier["block_content"] = m[1].strip(), earlier["block_content"][: m.start()].rstrip()
                         break
-        return pdf.assign(block_content=content)
+        return rows
 
-    return blocks.groupBy("doc_id", "page_num").applyInPandas(repair, blocks.schema)
+    return fold_groups(blocks, ["doc_id", "page_num"], repair, blocks.schema)
 
 
 def rescale_boxes(df: DataFrame, kx: Column | float, ky: Column | float, bbox: str = "block_bbox") -> DataFrame:
