@@ -103,6 +103,31 @@ def test_drop_near_duplicates(docs, empty):
     assert simhash.drop_near_duplicates(nameless).count() == 3
 
 
+def test_drop_near_duplicates_around_the_threshold(spark):
+    """Against all pairs: similarities from 0.7 to 0.95, short texts, a repeated line, a chain in blocks."""
+    rng = random.Random(21)
+    grams = lambda t: {" ".join(h.words(t)[i : i + 5]) for i in range(max(1, len(h.words(t)) - 4))}
+    texts = []
+    for _ in range(40):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice([9, 60, 200]))]
+        texts.append(base)
+        for cut in (rng.uniform(0.05, 0.3), rng.uniform(0.18, 0.22)):
+            texts.append(base[: round(len(base) * (1 - cut))])
+    texts.append(texts[0] * 1 + ["x"] * 5)
+    texts.append(texts[0] * 1 + ["x"] * 500)
+    chain = [f"c{k}" for k in range(300)]
+    texts += [chain[k : k + 200] for k in range(0, 100, 5)]
+    texts = [" ".join(t) for t in texts]
+    rng.shuffle(texts)
+    sets = [grams(t) for t in texts]
+    want = h.components(len(texts), lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
+    d = h.documents(spark, [(i, t, "s") for i, t in enumerate(texts)])
+    for options in ({}, {"block": 4}):
+        got = {r.doc_id: r.component_id for r in simhash.similar_documents(d, **options).collect()}
+        assert [got[i] for i in range(len(texts))] == want
+    assert {r.doc_id for r in simhash.drop_near_duplicates(d).collect()} == set(want)
+
+
 def test_exact_dedup(docs, empty):
     for keep, pick in (("largest", max), ("smallest", min)):
         got = exact_dedup.exact_duplicates(docs, keep=keep).collect()
