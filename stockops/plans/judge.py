@@ -155,7 +155,7 @@ def e9(t):
 
 @query("e10_extract_code", [])
 def e10(t):
-    body = F.concat(F.substring("text", 1, 30), F.expr(r"concat('\n```python\nimport m', doc_id % 9, '\nx = ', doc_id, '\n```\n```\nfunction f(x)\n x\nend\n```\n```py\nx = (\n```\n```python\nimport m', doc_id % 9, '\nx =  ', doc_id, '\n```')"))
+    body = F.concat(F.coalesce("text", F.lit("")), F.expr(r"concat('\n```python\nimport m', doc_id % 9, '\nx = ', doc_id, '\n```\n```\nfunction f(x)\n x\nend\n```\n```py\nx = (\n```\n```python\nimport m', doc_id % 9, '\nx =  ', doc_id, '\n```')"))
     df = e.extract_code(t.documents.withColumn("body", body), "doc_id", "body")
     return df.select("doc_id", "position", "language", "is_valid", joined("dependencies"))
 

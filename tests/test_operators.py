@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from stockops.functions.columns import norm_cdf
 from stockops.operators import corpus, evaluation, graph, inventory, orders, quality, retrieval, topology
 from stockops.operators import decisions as b
+from stockops.plans import catalog
 
 T0 = datetime(2024, 1, 31, 12)
 AT = "2024-01-31 12:00:00"
@@ -313,6 +314,15 @@ def test_code_snippets(spark):
     assert got == [("python", True, ["os"]), ("text", False, []), ("julia", False, [])]
 
 
+def test_code_query_reads_whole_texts(spark, tmp_path):
+    """A fence that stands late in a document, and a document without text."""
+    late = "word " * 200 + "\n```python\nimport json\ny = 2\n```\n"
+    spark.createDataFrame([(7, late), (8, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = catalog.queries()["e10_extract_code"](spark, str(tmp_path)).collect()
+    assert {r.position for r in rows if r.dependencies == "json"} == {0}
+    assert [sum(str(r.doc_id) == k for r in rows) for k in "78"] == [4, 3]
+
+
 def test_quality_rules(spark):
     df = spark.createDataFrame([("1", -1.0, "ok"), ("2", None, "BAD"), ("3", 2.0, "OK")], "id string, qty double, status string")
     got = {r.rule: (r.n_rows, r.first_id) for r in quality.check_violations(df, {"qty": quality.not_negative("qty"), "status": quality.outside_domain("status", ["ok"])}).collect()}
