@@ -18,11 +18,12 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER_ASCII, connected_components, durable, ship, unite, written
-from .paragraphs import sorted_buckets
+from .common import LOWER_ASCII, connected_components, durable, if_small, ship, unite, written
+from .jaccard import block_links, compare_sets, in_blocks, linked_blocks
+from .paragraphs import band_keys, shingles, word_hashes
 
 ship(__name__)
 ship("stockops.llm.common")
@@ -136,49 +137,13 @@ def grid_links(nodes: DataFrame, group_bits: int, radius: int, max_distance: int
 def cell_links(rows: DataFrame, max_distance: int) -> DataFrame:
     """(node, fp, grp, cell, home) -> (src, dst) verified spanning links of the rows of each cell."""
 
-    def link(it):
-        held: list[pa.RecordBatch] = []
-
-        def flush(batches):
-            if not batches:
-                return [], []
-            t = pa.Table.from_batches(batches)
-            ids = t["node"].to_numpy()
-            fps = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in t["fp"].chunks]).view(np.uint64).reshape(len(ids), -1)
-            home = t["home"].to_numpy(zero_copy_only=False).astype(bool)
-            grp, cell = t["grp"].to_numpy(), t["cell"].to_numpy()
-            cuts = np.flatnonzero((cell[1:] != cell[:-1]) | (grp[1:] != grp[:-1])) + 1
-            src, dst = [], []
-            for s, e in zip([0, *cuts], [*cuts, len(ids)], strict=True):
-                if e - s > 1 and home[s:e].any():
-                    for a, b in forest(ids[s:e], fps[s:e], home[s:e], max_distance):
-                        src.append(a)
-                        dst.append(b)
-            return src, dst
-
-        def out(pair):
-            return pa.RecordBatch.from_arrays([pa.array(pair[0], pa.int64()), pa.array(pair[1], pa.int64())], ["src", "dst"])
+    def compare(ids, payload):
+        fps = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in payload.chunks]).view(np.uint64).reshape(len(ids), -1)
+        home = fps[:, -1].astype(bool)
+        return forest(ids, fps[:, :-1], home, max_distance) if home.any() else []
 
-        for batch in it:
-            if not batch.num_rows:
-                continue
-            grp, cell = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-            differs = np.flatnonzero((grp != grp[-1]) | (cell != cell[-1]))
-            last = int(differs[-1]) + 1 if len(differs) else 0
-            if not last and held and (held[-1].column(2)[-1], held[-1].column(3)[-1]) == (batch.column(2)[0], batch.column(3)[0]):
-                held.append(batch)  # the open cell goes on
-                continue
-            held.append(batch.slice(0, last))
-            yield out(flush([b for b in held if b.num_rows]))
-            held = [batch.slice(last)]
-        yield out(flush([b for b in held if b.num_rows]))
-
-    return (
-        rows.select("node", "fp", "grp", "cell", "home")
-        .repartition("grp", "cell")
-        .sortWithinPartitions("grp", "cell")
-        .mapInArrow(link, "src long, dst long")
-    )
+    payload = F.concat("fp", F.array(F.col("home").cast("long")))
+    return block_links(rows.select("grp", "cell", F.col("node").alias("id"), payload.alias("payload")), compare)
 
 
 def near_duplicates(
@@ -212,160 +177,130 @@ def fingerprint_hex(lane: int = 0):
     return F.lpad(F.lower(F.hex(F.col("fp")[lane])), 16, "0")
 
 
-def minhash_keys(hashes: np.ndarray, bands: int, rows: int) -> list[int]:
-    """One signed 64-bit key for each band of a MinHash signature. No hash gives no key."""
-    if not len(hashes):
-        return []
-    with np.errstate(over="ignore"):
-        seeds = np.arange(1, bands * rows + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)
-        low = np.full(len(seeds), 2**64 - 1, np.uint64)
-        for at in range(0, len(hashes), 1 << 14):
-            h = (hashes[at : at + (1 << 14), None] ^ seeds) * np.uint64(GOLDEN)
-            h ^= h >> np.uint64(32)
-            low = np.minimum(low, (h * np.uint64(MIX_B)).min(0))
-        keys = np.arange(1, bands + 1, dtype=np.uint64)
-        for values in low.reshape(bands, rows).T:
-            keys = (keys * np.uint64(MIX_A)) ^ values
-            keys ^= keys >> np.uint64(29)
-    return keys.view(np.int64).tolist()
-
-
-def set_digest(hashes: np.ndarray) -> tuple[int, int]:
-    """Two signed longs that name a sorted set of shingle hashes."""
-    h = xxhash.xxh128_intdigest(hashes.tobytes())
-    return (h >> 64) - 2**63, (h & 2**64 - 1) - 2**63
-
-
-def sketches(docs: DataFrame, width: int, lanes: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, h1, h2, fp, keys) of the set of shingles of every whole text; repeats do not count."""
+def sketches(docs: DataFrame, width: int, lanes: int, bands: int, rows: int, part_bytes: int = 1 << 20) -> DataFrame:
+    """(doc_id, row, h, fp, keys) of the set of shingles of every whole text; repeats do not count.
+
+    ``row``: hash of the text. ``h``: hash of the set; a set of no shingles has no keys. Texts are worked
+    on in parts of some ``part_bytes``, or one text if it is longer."""
 
     def batches(it):
         for batch in it:
-            out: list[list] = [[], [], [], []]
-            for text in batch.column(1):
-                grams = np.unique(shingle_hashes(text.as_py(), width))
-                for column, value in zip(out, (*set_digest(grams), lanes_of(grams, lanes), minhash_keys(grams, bands, rows)), strict=True):
-                    column.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], ["doc_id", "h1", "h2", "fp", "keys"])
+            texts, first, n = batch.column(2).to_pylist(), 0, 0
+            for i, text in enumerate(texts):
+                n += len(text or b"")
+                if n < part_bytes and i < len(texts) - 1:
+                    continue
+                with np.errstate(over="ignore"):
+                    sets = [shingle_set(t, width) for t in texts[first : i + 1]]
+                    some = [s for s in sets if len(s)]
+                    keys = iter(band_keys(np.concatenate(some), np.cumsum([0, *map(len, some[:-1])]), bands, rows).tolist() if some else [])
+                    fps = [lanes_of(s, lanes) for s in sets]
+                part = batch.slice(first, len(sets))
+                columns = [part.column(0), part.column(1), pa.array(map(set_name, sets), pa.int64()), pa.array(fps, pa.list_(pa.int64())), pa.array([next(keys) if len(s) else [] for s in sets], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "h", "fp", "keys"])
+                first, n = i + 1, 0
+
+    return named(docs).mapInArrow(batches, "doc_id long, row long, h long, fp array<long>, keys array<long>")
+
+
+def shingle_set(text: bytes | None, width: int) -> np.ndarray:
+    """Distinct shingles of a text, sorted; a text of fewer words is one shingle."""
+    words = (text or b"").translate(LOWER_ASCII).split()
+    return np.unique(shingles(word_hashes(words), min(width, len(words)))) if words else np.empty(0, np.uint64)
+
+
+def set_name(grams: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(grams.tobytes()) - 2**63
+
+
+def named(docs: DataFrame) -> DataFrame:
+    """(doc_id, row, text): ``row`` tells rows apart that repeat a doc_id with different texts."""
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("row"), text.cast("binary").alias("text"))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(batches, "doc_id long, h1 long, h2 long, fp array<long>, keys array<long>")
 
+def same_row(a: str, b: str) -> Column:
+    return F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.row") == F.col(f"{b}.row"))
 
-def shingle_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(component, id, fp, grams) of the texts of ``wanted`` (id, h1, h2, component, fp), read again."""
+
+def shingle_sets(docs: DataFrame, wanted: DataFrame, width: int, max_broadcast: int) -> DataFrame:
+    """(grp, pivot, k, id, payload) of the texts of ``wanted`` (doc_id, row, grp, pivot, k, id), read again."""
 
     def batches(it):
         for batch in it:
-            keep, sets = [], []
-            for k, (text, h1, h2) in enumerate(zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                grams = np.unique(shingle_hashes(text.as_py(), width))
-                if set_digest(grams) == (h1, h2):
-                    keep.append(k)
-                    sets.append(grams.view(np.int64))
-            rest = batch.select(["component", "id", "fp"]).take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(sets, pa.list_(pa.int64()))], ["component", "id", "fp", "grams"])
-
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    found = texts.join(wanted, "id").select("text", "h1", "h2", "component", "id", "fp")
-    return found.mapInArrow(batches, "component long, id long, fp array<long>, grams array<long>").dropDuplicates(["id", "grams"])
-
-
-def jaccard_forest(ids: np.ndarray, fps: np.ndarray, sets: list[np.ndarray], threshold: float, max_distance: int) -> list[tuple[int, int]]:
-    """Spanning links of rows whose exact Jaccard similarity reaches the threshold. Pairs beyond
-    ``max_distance`` bits, and pairs that are linked already, are not compared."""
-    n = len(ids)
-    root, sizes = np.arange(n), np.array([len(s) for s in sets], np.int64)
-    for i in range(n - 1):
-        after = np.arange(i + 1, n)
-        small, large = np.minimum(sizes[i], sizes[after]), np.maximum(sizes[i], sizes[after])
-        after = after[(root[after] != root[i]) & (small >= threshold * large)]
-        after = after[np.bitwise_count(fps[after] ^ fps[i]).sum(1, dtype=np.int64) <= max_distance]
-        for j in after:
-            if root[i] != root[j]:
-                a, b = (i, j) if sizes[i] <= sizes[j] else (j, i)
-                at = np.minimum(np.searchsorted(sets[b], sets[a]), sizes[b] - 1)
-                both = int((sets[b][at] == sets[a]).sum())
-                if both >= threshold * (sizes[i] + sizes[j] - both):
-                    root[root == max(root[i], root[j])] = min(root[i], root[j])
-    return [(int(ids[i]), int(ids[r])) for i, r in enumerate(root) if i != r and ids[i] != ids[r]]
+            with np.errstate(over="ignore"):
+                sets = [shingle_set(t.as_py(), width).view(np.int64) for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(sets, pa.list_(pa.int64()))], ["grp", "pivot", "k", "id", "payload"])
 
+    found = named(docs).alias("t").join(if_small(wanted, 64, max_broadcast).alias("w"), same_row("t", "w")).select("text", "grp", "pivot", "k", "id")
+    # rows that repeat doc_id and text give their set more than once
+    return found.mapInArrow(batches, "grp long, pivot long, k int, id long, payload array<long>")
 
-def block_links(rows: DataFrame, threshold: float, max_distance: int) -> DataFrame:
-    """(grp, cell, id, fp, grams) -> (src, dst) verified spanning links of the rows of each (grp, cell)."""
 
-    def link(it):
-        for bucket in sorted_buckets(it):
-            found = []
-            if bucket.num_rows > 1:
-                fps = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in bucket["fp"].chunks]).view(np.uint64).reshape(bucket.num_rows, -1)
-                sets = [np.asarray(g.values).view(np.uint64) for c in bucket["grams"].chunks for g in c]
-                found = jaccard_forest(bucket["id"].to_numpy(), fps, sets, threshold, max_distance)
-            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["src", "dst"])
+def similar_rows(docs: DataFrame, threshold: float, width: int, lanes: int, bands: int, rows: int, max_distance: int, block: int, max_broadcast: int) -> DataFrame:
+    """(doc_id, row, component) of each row of ``docs``; a component is named by one of its sets."""
+    prints = written(sketches(docs, width, lanes, bands, rows), "sketches")
+    nodes = durable(prints.groupBy(F.col("h").alias("id")).agg(F.min(F.struct("doc_id", "row")).alias("at"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
+    cells = nodes.select("id", F.posexplode("keys").alias("band", "key")).select(F.xxhash64("band", "key").alias("grp"), "id")
+    met = in_blocks(cells, 16 * block).join(nodes.select("id", F.col("fp").alias("payload")), "id")
+    maybe = connected_components(linked_blocks(written(met, "cells"), compare_prints(max_distance), 16 * block))
+    wanted = in_blocks(maybe.withColumnRenamed("component", "grp"), block).join(nodes, "id").select("at.doc_id", "at.row", "grp", "pivot", "k", "id")
+    sets = written(shingle_sets(docs, durable(wanted), width, max_broadcast), "shingles")
+    comps = connected_components(linked_blocks(sets, compare_sets(threshold), block)).withColumnRenamed("id", "h")
+    return prints.select("doc_id", "row", "h").join(comps, "h", "left").select("doc_id", "row", F.coalesce("component", "h").alias("component"))
 
-    return rows.select("grp", "cell", "id", "fp", "grams").repartition("grp", "cell").sortWithinPartitions("grp", "cell", "id").mapInArrow(link, "src long, dst long")
 
+def compare_prints(limit: int):
+    """Compares rows by the Hamming distance of their fingerprints."""
 
-def verified_links(sets: DataFrame, threshold: float, max_distance: int, block: int) -> DataFrame:
-    """(component, id, fp, grams) -> (src, dst) spanning links by exact Jaccard within components.
+    def compare(ids, payload):
+        fps = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in payload.chunks]).view(np.uint64).reshape(len(ids), -1)
+        return forest(ids, fps, np.ones(len(ids), bool), limit)
 
-    A component of more than ``block`` rows is dealt out to blocks. Its first row visits every block;
-    what is not linked to that row then meets all rows of the component, block by block. Only rows
-    that are linked to the first row both are never compared.
-    """
-    sizes = sets.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("k"))
-    sized = sets.join(sizes, "component")
-    pivot = (F.col("id") == F.col("component")) & (F.col("k") > 1)
-    spread = F.when(pivot, F.sequence(F.lit(0), F.col("k") - 1)).otherwise(F.array(F.pmod(F.xxhash64("id"), F.col("k")).cast("int")))
-    first = durable(block_links(sized.select(F.col("component").alias("grp"), F.explode(spread).alias("cell"), "id", "fp", "grams"), threshold, max_distance))
-    large = durable(sizes.where("k > 1").select("component"))
-    if large.isEmpty():
-        return first
-    classes = connected_components(first).withColumnRenamed("component", "class")
-    marked = sets.join(large, "component").join(classes, "id", "left").withColumn("rest", F.coalesce("class", "id") != F.col("component"))
-    counts = marked.groupBy("component").agg(*[F.ceil(F.count(F.when(F.col("rest") == side, 1)) / block).cast("int").alias(name) for side, name in ((True, "kr"), (False, "km"))]).where("kr > 0")
-    mine = F.pmod(F.xxhash64("id", F.lit(1)), F.when(F.col("rest"), F.col("kr")).otherwise(F.col("km"))).cast("int")
-    upto = lambda k: F.sequence(F.lit(0), F.col(k) - 1)
-    # cells: pairs of blocks of the rest, and each such block with each block of the linked rows
-    name = lambda kind, a, b: F.concat_ws("-", F.lit(kind), a.cast("string"), b.cast("string"))
-    meets = F.when(~F.col("rest"), F.transform(upto("kr"), lambda b: name("m", b, F.col("blk")))).otherwise(
-        F.concat(F.transform(upto("kr"), lambda b: name("r", F.least(b, "blk"), F.greatest(b, "blk"))), F.transform(upto("km"), lambda m: name("m", F.col("blk"), m)))
-    )
-    dealt = marked.join(counts, "component").withColumn("blk", mine).select(F.col("component").alias("grp"), F.explode(meets).alias("cell"), "id", "fp", "grams")
-    return first.union(block_links(dealt.withColumn("cell", F.xxhash64("cell")), threshold, max_distance))
-
-
-def similar_documents(docs: DataFrame, threshold: float = 0.8, width: int = 5, lanes: int = 8, bands: int = 16, rows: int = 3, max_distance: int = 144, block: int = 1000) -> DataFrame:
+    return compare
+
+
+def similar_documents(
+    docs: DataFrame, threshold: float = 0.8, width: int = 5, lanes: int = 2, bands: int = 16, rows: int = 3, max_distance: int = 44, block: int = 1000, max_broadcast: int = 8 << 20
+) -> DataFrame:
     """One row for each row of ``docs``: doc_id, component_id (smallest doc_id reachable by links).
 
     Two texts are linked if the Jaccard similarity of their sets of shingles reaches ``threshold``;
     this is decided on the sets themselves. Candidates share a band of a MinHash signature and differ
     in at most ``max_distance`` of the fingerprint's bits: a pair at 0.8 shares no band with a chance
-    of 0.00001, and differs in 78 bits on average (deviation 8; 96 and 9 for sets of four and five).
-    All rows of a component of candidates are compared, whichever candidates joined it.
+    of 0.00001, and differs in 19 bits on average (deviation 4; 24 and 4.5 for sets of four and five).
+    All rows of a component of candidates are compared, whichever candidates joined it. Buckets and
+    components of more than some rows are dealt out to blocks. Sets are named by 64-bit hashes.
 
-    Null or empty texts link to each other. Row rules are those of ``near_duplicates``.
+    Null or empty texts link to each other. Rows that repeat a doc_id with other texts are rows of their
+    own. A component without any doc_id has none. Repeated rows each get a row; an empty table gives an
+    empty table; other columns are ignored.
     """
-    prints = written(sketches(docs, width, lanes, bands, rows), "sketches")
-    nodes = durable(prints.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
-    cells = nodes.where("node is not null").select("node", "fp", F.posexplode("keys").alias("grp", "cell")).withColumn("home", F.lit(True))
-    maybe = connected_components(cell_links(cells, max_distance))
-    wanted = nodes.select(F.col("node").alias("id"), "h1", "h2", "fp").join(maybe, "id")
-    links = verified_links(written(shingle_sets(docs, wanted, width), "shingles"), threshold, max_distance, block)
-    comps = connected_components(links)
-    classes = nodes.join(comps.withColumnRenamed("id", "node"), "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("component_id"))
-    return prints.select("doc_id", "h1", "h2").join(classes, ["h1", "h2"]).select("doc_id", "component_id")
+    found = durable(similar_rows(docs, threshold, width, lanes, bands, rows, max_distance, block, max_broadcast))
+    least = found.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return found.join(least, "component").select("doc_id", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one row of each near-duplicate group: that of the smallest doc_id.
+def drop_near_duplicates(docs: DataFrame, max_broadcast: int = 8 << 20, **options) -> DataFrame:
+    """``docs`` with one row of each near-duplicate group: that of the smallest doc_id (then the smallest
+    hash of its text); rows without doc_id come last.
 
-    Of rows that repeat this doc_id the one with the shortest text (then the smallest hash) stays.
-    Rows without doc_id cannot be named by a decision and stay.
+    Rows are judged, not doc_ids: rows that repeat a doc_id with unrelated texts all stay; of rows equal
+    in doc_id and text one stays, whatever their other columns. Null or empty texts are one group. Texts
+    are not shuffled while the rows that go fit ``max_broadcast`` bytes. An empty table stays empty.
     """
-    found = similar_documents(docs.select("doc_id", "text"), **options)
-    losers = found.where("doc_id <> component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(losers, "doc_id", "left_anti")
-    first = Window.partitionBy("doc_id").orderBy("doc_id", F.length("text"), F.xxhash64("text"))
-    once = named.withColumn("__rn", F.row_number().over(first)).where("__rn = 1")
-    return once.select(docs.columns).union(docs.where("doc_id is null"))
+    settings = {"threshold": 0.8, "width": 5, "lanes": 2, "bands": 16, "rows": 3, "max_distance": 44, "block": 1000}
+    rows = similar_rows(docs.select("doc_id", "text"), **(settings | options), max_broadcast=max_broadcast)
+    rows = durable(rows.groupBy("doc_id", "row", "component").agg(F.count(F.lit(1)).alias("n")))
+    best = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("best"))
+    judged = rows.join(best, "component").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("row") == F.col("best.row")))
+    judged = durable(judged.where("not stays or n > 1").select("doc_id", "row", "stays"))
+    text = F.col("text").cast("string")
+    held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("row"), F.struct(*[docs[c] for c in docs.columns]).alias("whole")).alias("d")
+    found = held.join(if_small(judged, 24, max_broadcast).alias("j"), same_row("d", "j"), "left").select("d.*", "stays")
+    out = found.where("stays is null").select("whole.*")
+    if judged.where("stays").isEmpty():
+        return out
+    # of rows equal in doc_id and text one stays
+    copies = found.where("stays").withColumn("nr", F.row_number().over(Window.partitionBy("doc_id", "row").orderBy(F.xxhash64("whole"))))
+    return out.union(copies.where("nr = 1").select("whole.*"))

@@ -103,6 +103,17 @@ def test_drop_near_duplicates(docs, empty):
     assert simhash.drop_near_duplicates(nameless).count() == 3
 
 
+def test_drop_near_duplicates_judges_rows(spark):
+    """Rows that repeat a doc_id with other texts all stay; equal rows and copies under any id go."""
+    rng = random.Random(12)
+    a, b, c, d = (prose(40, rng) for _ in range(4))
+    rows = [(1, a, "s"), (1, b, "s"), (1, c, "s"), (2, d, "s"), (2, d, "t"), (3, b, "s"), (None, c, "s"), (None, d, "s"), (None, prose(40, rng), "s"), (4, None, "s"), (5, "", "s")]
+    for most in (8 << 20, 0):
+        kept = simhash.drop_near_duplicates(h.documents(spark, rows).withColumn("row", F.lit("x")), max_broadcast=most)
+        assert sorted((str(r.doc_id), r.text) for r in kept.collect() if r.text) == sorted([("1", a), ("1", b), ("1", c), ("2", d), ("None", rows[8][1])])
+        assert [r.doc_id for r in kept.collect() if not r.text] == [4]
+
+
 def test_drop_near_duplicates_around_the_threshold(spark):
     """Against all pairs: similarities from 0.7 to 0.95, short texts, a repeated line, a chain in blocks."""
     rng = random.Random(21)
@@ -369,29 +380,93 @@ def test_repeated_passages(spark, empty):
     rows = [(i, " ".join(sentence(9) for _ in range(8)), "s") for i in range(40)]
     rows += [(100 + i, f"{prose(7, rng)} {passage} {prose(5, rng)}", "s") for i in range(6)]
     rows += [(200, f"a\n{line}\nb", "s"), (201, f"c\n{near}", "s"), (202, line.upper(), "s")]
-    rows += [(300, None, "s"), (301, "", "s"), (302, "short.", "s"), (303, "short.", "s"), (None, passage, "s")]
-    got = paragraphs.repeated_passages(h.documents(spark, rows).withColumn("keys", F.lit(1))).collect()
-    assert {r.doc_id for r in got} == {100 + i for i in range(6)} | {200, 201, 202}
-    classes = defaultdict(set)
-    for r in got:
-        classes[r.class_id].add(r.doc_id)
-    assert {200, 201, 202} in classes.values()
-    assert {r.doc_id for r in got if not r.removed} == {100, 200}
-    assert all(r.first_doc_id == (100 if r.doc_id < 200 else 200) for r in got)
-    assert all(r.n_words >= 40 for r in got)
+    own = prose(40, rng)
+    rows += [(300, None, "s"), (301, "", "s"), (302, "short.", "s"), (303, "short.", "s"), (None, passage, "s"), (310, f"{own}\n{prose(9, rng)}\n{own}", "s")]
+    for options in ({}, {"block": 2, "max_broadcast": 0}):
+        got = paragraphs.repeated_passages(h.documents(spark, rows).withColumn("keys", F.lit(1)), **options).collect()
+        assert {r.doc_id for r in got} == {100 + i for i in range(6)} | {200, 201, 202, None}
+        classes = defaultdict(set)
+        for r in got:
+            classes[r.class_id].add(r.doc_id)
+        assert {200, 201, 202} in classes.values()
+        assert {r.doc_id for r in got if not r.removed} == {100, 200}
+        assert all(r.first_doc_id == (200 if (r.doc_id or 100) >= 200 else 100) for r in got)
+        assert all(r.n_words >= 40 for r in got)
     assert paragraphs.repeated_passages(empty).isEmpty()
 
 
+def test_repeated_passages_keep_rows_of_one_id_apart(spark):
+    rng = random.Random(14)
+    a, b = prose(60, rng), prose(60, rng)
+    rows = [(1, f"{prose(20, rng)} {a}", "s"), (1, f"{b} {prose(20, rng)}", "s"), (2, f"{prose(9, rng)} {a}", "s"), (3, f"{prose(9, rng)} {b}", "s"), (4, a, "s"), (4, a, "s")]
+    got = paragraphs.repeated_passages(h.documents(spark, rows)).collect()
+    assert sorted((r.doc_id, r.first_doc_id, r.removed) for r in got if r.n_words > 30) == [(1, 1, False), (1, 1, False), (2, 1, True), (3, 1, True), (4, 1, True)]
+    alone = paragraphs.repeated_passages(h.documents(spark, [(4, a, "s"), (4, a, "s"), (5, b, "s")]))
+    assert alone.isEmpty()
+
+
+@pytest.mark.parametrize("joint", [" ", "\n", ". ", " - "])
+def test_repeated_passages_against_all_runs_of_words(spark, joint):
+    """Verbatim passages of 51 words and more, pasted anywhere, over lines of any length: each document
+    that shares such a run with another one is found, and none that shares fewer than 12 words is."""
+    rng = random.Random(33)
+    wide = [f"v{i}" for i in range(5000)]
+    text = lambda n: [rng.choice(wide) for _ in range(n)]
+    passages = [text(rng.randrange(51, 90)) for _ in range(8)] + [text(rng.randrange(3, 10)) for _ in range(8)]
+    rows = []
+    for i in range(120):
+        w = text(rng.randrange(40, 200))
+        if i % 3:
+            at = rng.randrange(len(w))
+            w[at:at] = rng.choice(passages)
+        every = rng.choice([4, 7, 30, 1000])
+        rows.append((i, joint.join(" ".join(w[k : k + every]) for k in range(0, len(w), every)), "s"))
+    runs = defaultdict(lambda: defaultdict(set))
+    for n in (12, 51):
+        for i, t, _ in rows:
+            w = [x for x in h.words(t) if x not in ".-"] if joint == " - " else h.words(t)
+            for k in range(len(w) - n + 1):
+                runs[n][tuple(w[k : k + n])].add(i)
+    shared = {n: {i for ids in runs[n].values() if len(ids) > 1 for i in ids} for n in runs}
+    found = {r.doc_id for r in paragraphs.repeated_passages(h.documents(spark, rows), min_passage=35).collect()}
+    if joint in (" ", "\n"):
+        assert found >= shared[51] and found <= shared[12]
+        assert len(shared[51]) > 30
+
+
+def test_lines_with_near_copies_equal_all_pairs(spark):
+    """Classes of lines are the components of exact Jaccard over all pairs of lines."""
+    rng = random.Random(8)
+    lines = [[f"v{rng.randrange(10**6)}" for _ in range(rng.choice([8, 20, 60]))] for _ in range(30)]
+    for base in list(lines):
+        for cut in (rng.uniform(0.02, 0.3), 0.2):
+            lines.append(base[: max(8, round(len(base) * (1 - cut)))])
+    lines = [" ".join(x) for x in lines]
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in lines]
+    want = h.components(len(lines), lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
+    docs = h.documents(spark, [(i, t, "s") for i, t in enumerate(lines)])
+    units = paragraphs.units(docs, 8, 4, 4, 5, 40, 3).where("is_line").withColumnRenamed("h", "id")
+    nodes = units.groupBy("id").agg(F.first("keys").alias("keys"))
+    for block, most in ((1000, 1 << 20), (3, 0)):
+        got = {r.id: r.component for r in paragraphs.line_classes(nodes, units.select("id", "doc_id", "row", "start", "end"), docs, 5, 0.8, block, most).collect()}
+        ids = {r.doc_id: r.id for r in units.collect()}
+        classes, named = defaultdict(set), defaultdict(set)
+        for i in range(len(lines)):
+            classes[want[i]].add(ids[i])
+            named[got.get(ids[i], ids[i])].add(ids[i])
+        assert sorted(map(sorted, classes.values())) == sorted(map(sorted, named.values()))
+
+
 def test_banding_recall():
     """Bands of the default settings catch nearly all pairs at the threshold."""
     rng = np.random.default_rng(1)
     hit = 0
     with np.errstate(over="ignore"):
-        for _ in range(300):
+        for _ in range(600):
             shared, a, b = (rng.integers(0, 2**63, n).astype(np.uint64) for n in (80, 10, 10))
-            x, y = paragraphs.band_keys(np.concatenate([shared, a]), 5, 2), paragraphs.band_keys(np.concatenate([shared, b]), 5, 2)
-            hit += any(p == q for p, q in zip(x, y, strict=True))
-    assert hit >= 294
+            x, y = (paragraphs.band_keys(np.concatenate([shared, own]), np.zeros(1, np.int64), 10, 4)[0] for own in (a, b))
+            hit += bool((x == y).any())
+    assert hit >= 588
 
 
 def sainte_lague(votes, seats):
