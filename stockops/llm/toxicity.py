@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, ship
+from .common import held_out, ship, written
 
 ship(__name__)
 
@@ -113,11 +113,15 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50
     return b
 
 
-def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_entries: int = 5_000, min_toxic: int = 3, min_weight: float = 3.0) -> Lexicon:
+def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_entries: int = 5_000, min_toxic: int = 3, min_weight: float = 3.0, min_harmless: int = 2) -> Lexicon:
     """Fit lexicon, exceptions and curve on at most ``max_rows`` labelled rows, chosen by id hash.
 
-    Counts of entries are gathered by Spark; only entries above the thresholds and, of those, the
-    ``max_entries`` heaviest reach the driver. Without two classes of labels the lexicon is empty.
+    The rows are read and folded once and kept as a table. Counts of entries are gathered by Spark; only
+    entries above the thresholds and, of those, the ``max_entries`` heaviest reach the driver. A lexicon
+    word with a neighbour is an exception if at least ``min_harmless`` clean texts hold the pair and the
+    pair itself is no more likely in toxic texts than in clean ones; the ``max_entries`` most frequent
+    pairs are kept. Of rows that repeat a doc_id one text counts. Null texts and null ids are not learnt
+    from. Without two classes of labels the lexicon is empty.
     """
     chosen = (
         labels.where("toxic in (0, 1) and doc_id is not null")
@@ -127,14 +131,19 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_entrie
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(max_rows)
     )
-    train = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text is not null").join(F.broadcast(chosen), "doc_id")
+
+    def folded(it):
+        for batch in it:
+            yield pa.RecordBatch.from_arrays([pa.array([" ".join(fold(t.as_py())) for t in batch.column(0)], pa.string()), batch.column(1)], ["words", "toxic"])
+
+    train = written(texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(folded, "words string, toxic int"), "training")
 
     def count(it):
         for batch in it:
             tally: dict[str, list[int]] = {}
-            for text, toxic in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                words = fold(text.as_py())
-                for e in {e for w in set(words) for e in entries(w)}:
+            for words, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for e in {e for w in set(words.split(" ")) if w for e in entries(w)}:
                     tally.setdefault(e, [0, 0])[toxic] += 1
             names = list(tally)
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([tally[e][1] for e in names], pa.int64()), pa.array([tally[e][0] for e in names], pa.int64())], ["entry", "n_toxic", "n_clean"])
@@ -163,8 +172,8 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_entrie
         machine = Lexicon(weights).automaton()
         for batch in it:
             tally: dict[tuple[str, str], list[int]] = {}
-            for text, label in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                words = fold(text.as_py())
+            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = text.split()
                 pad = ["", *words, ""]
                 for pair in {p for i in hits(words, machine) for p in ((pad[i], words[i]), (words[i], pad[i + 2])) if all(p)}:
                     tally.setdefault(pair, [0, 0])[label] += 1
@@ -175,7 +184,8 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_entrie
         train.mapInArrow(neighbours, "a string, b string, n_toxic long, n_clean long")
         .groupBy("a", "b")
         .agg(F.sum("n_toxic").alias("n_toxic"), F.sum("n_clean").alias("n_clean"))
-        .where("n_clean >= 5 and n_clean >= 9 * n_toxic")
+        .where(F.col("n_clean") >= min_harmless)
+        .where(weight <= 0)
         .orderBy(F.desc("n_clean"), "a", "b")
         .limit(max_entries)
     )
@@ -185,10 +195,11 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_entrie
     def measure(it):
         machine = Lexicon(weights).automaton()
         for batch in it:
-            rows = np.array([describe(fold(t.as_py()), machine, exceptions) for t in batch.column(0)]).reshape(-1, 3)
+            rows = np.array([describe(t.split(), machine, exceptions) for t in batch.column(0).to_pylist()]).reshape(-1, 3)
             yield pa.RecordBatch.from_arrays([batch.column(1).cast(pa.int64()), *(pa.array(rows[:, k]) for k in range(3))], ["toxic", "a", "b", "c"])
 
     sample = np.array([tuple(r) for r in train.mapInArrow(measure, "toxic long, a double, b double, c double").collect()], float)
+    sample = sample[np.lexsort(sample.T)]  # sums of doubles depend on their order
     lexicon.curve = tuple(logistic(sample[:, 1:], sample[:, 0]))
     return lexicon
 
@@ -213,7 +224,12 @@ def score(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.3) -> DataFram
 
 
 def drop_toxic(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.3) -> DataFrame:
-    """``docs`` without the rows whose score reaches the threshold, in one pass and without a shuffle."""
+    """``docs`` without the rows whose score reaches the threshold, in one pass and without a shuffle.
+
+    Rows are judged by their own text; null and empty texts and rows without doc_id are judged alike, and
+    stay if clean texts do. Repeated rows share their fate; an empty table stays empty; other columns are
+    kept as they are.
+    """
     weights, exceptions, curve = lexicon.weights, lexicon.exceptions, np.array(lexicon.curve)
 
     def batches(it):
