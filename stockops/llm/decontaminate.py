@@ -4,7 +4,7 @@ Every batch of documents is a shard. Its words become numbers of the test vocabu
 cannot take part in a match and cut the text), the suffixes that could hold a window are sorted by
 prefix doubling, and every test suffix is binary-searched in that array. Matches are extended to
 their longest verbatim length and reported with their place in document and item. The test set
-travels in blocks of bounded size, whatever its total, and documents are never shuffled.
+travels in blocks of bounded size, one at a time, and documents are never shuffled.
 """
 
 from __future__ import annotations
@@ -13,10 +13,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import ship, written
 
 ship(__name__)
 
@@ -126,17 +127,47 @@ def search(shard: np.ndarray, block: TestBlock) -> tuple[np.ndarray, np.ndarray,
     return which, origin[at], length
 
 
-def blocks_of(benchmark: DataFrame, window: int, max_words: int) -> Iterator[TestBlock]:
-    """Test items in blocks of at most ``max_words`` words (or one item), read one block at a time."""
-    held, n = [], 0
-    for row in benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).toLocalIterator():
-        words = words_of(row[1])
-        if held and n + len(words) > max_words:
-            yield TestBlock(held, window)
-            held, n = [], 0
-        held.append((row[0] or "", words))
+def blocks_of(benchmark: DataFrame, window: int, max_words: int) -> Iterator[tuple[Broadcast, bool]]:
+    """Test items in blocks of some ``max_words`` words at most, dealt by hash, each with whether it is
+    the last. One block exists at a time: it is gathered when it is asked for, and taken from driver and
+    executors when the next one is, so its results must be written by then."""
+    sc = benchmark.sparkSession.sparkContext
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.col("text").cast("string").alias("text"))
+    # a word and what parts it from the next are two characters at least
+    n = max(1, -(-(items.agg(F.sum(F.length("text"))).head()[0] or 0) // (2 * max_words)))
+    block = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
+    held = None
+    for k in range(n):
+        if held is not None:
+            held.destroy()
+        held = sc.broadcast(TestBlock([(r[0], words_of(r[1])) for r in items.where(block == k).collect()], window))
+        yield held, k == n - 1
+
+
+def numbered(texts: pa.ChunkedArray | pa.Array, block: TestBlock, shard_words: int) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """Texts of a batch in shards of some ``shard_words`` words: first text, word numbers of each text."""
+    get = block.vocabulary.get
+    first, numbers, n = 0, [], 0
+    for i, text in enumerate(texts):
+        words = words_of(text.as_py())
+        numbers.append(np.fromiter((get(w, 0) for w in words), np.int64, len(words)))
         n += len(words)
-    yield TestBlock(held, window)
+        if n >= shard_words or i == len(texts) - 1:
+            yield first, numbers
+            first, numbers, n = i + 1, [], 0
+
+
+def matches(numbers: list[np.ndarray], block: TestBlock) -> Iterator[tuple[int, int, int, int, int]]:
+    """Longest matches in one shard: text, item, its word, first word, word after the last."""
+    sizes = np.array([len(x) for x in numbers], np.int64)
+    begin = np.cumsum(sizes + 1) - sizes - 1
+    shard = np.zeros(int((sizes + 1).sum()), np.int64)
+    for b, x in zip(begin, numbers, strict=True):
+        shard[b : b + len(x)] = x
+    which, at, length = search(shard, block)
+    for d, w, a, n in zip(np.searchsorted(begin, at, "right") - 1, which, at, length, strict=True):
+        start = int(a - begin[d])
+        yield int(d), int(block.owner[w]), int(block.place[w]), start, start + int(n)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_block_words: int = 2_000_000, shard_words: int = 4_000_000) -> DataFrame:
@@ -146,47 +177,42 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_b
     item_id, word offset in the item, word range in the document. ``items``: their item_ids,
     distinct, sorted as strings. ``n_hit``: document words inside any of them.
 
-    Null texts have no words; an item without words never occurs; a null item_id counts as the empty
-    string. Repeated documents each get a row, repeated items count by their id. Empty tables give
-    an empty table or no hits; other columns are ignored.
+    Test items come in blocks of some ``max_block_words`` words; of several blocks each reads the
+    documents once more and adds the rows it hits. Null texts have no words; an item without words never
+    occurs; a null item_id counts as the empty string. Repeated documents each get a row, repeated items
+    count by their id. Empty tables give an empty table or no hits; other columns are ignored.
     """
-    sc = docs.sparkSession.sparkContext
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast(SPAN).alias("spans"))
-    blocks = [sc.broadcast(b) for b in blocks_of(benchmark, window, max_block_words)]
-    for k, held in enumerate(blocks):
-        last = k == len(blocks) - 1
+    kind = pa.list_(pa.struct([("item_id", pa.string()), ("item_start", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("row"), text.alias("text"))
 
-        def shards(it, held=held, last=last):
+    def judged(held: Broadcast) -> DataFrame:
+        def shards(it):
             block = held.value
-            get = block.vocabulary.get
-
-            def done(batch, numbers, earlier):
-                sizes = np.array([len(x) for x in numbers], np.int64)
-                begin = np.cumsum(sizes + 1) - sizes - 1
-                shard = np.zeros(int((sizes + 1).sum()), np.int64)
-                for b, x in zip(begin, numbers, strict=True):
-                    shard[b : b + len(x)] = x
-                which, at, length = search(shard, block)
-                spans: list[list] = [list(x) for x in earlier]
-                for d, w, a, n in zip(np.searchsorted(begin, at, "right") - 1, which, at, length, strict=True):
-                    s = int(a - begin[d])
-                    spans[d].append({"item_id": block.names[block.owner[w]], "item_start": int(block.place[w]), "start": s, "end": s + int(n)})
-                kind = pa.list_(pa.struct([("item_id", pa.string()), ("item_start", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
-                columns = [batch.column(0)] + [batch.column(1)] * (not last) + [pa.array(sizes), pa.array(spans, kind)]
-                return pa.RecordBatch.from_arrays(columns, ["doc_id"] + ["text"] * (not last) + ["n_words", "spans"])
-
             for batch in it:
-                first, numbers, n = 0, [], 0
-                for i, text in enumerate(batch.column(1)):
-                    words = words_of(text.as_py())
-                    numbers.append(np.array([get(w, 0) for w in words], np.int32))
-                    n += len(words)
-                    if n >= shard_words or i == batch.num_rows - 1:
-                        part = batch.slice(first, i + 1 - first)
-                        yield done(part, numbers, [x or [] for x in part.column(3).to_pylist()])
-                        first, numbers, n = i + 1, [], 0
-
-        out = out.mapInArrow(shards, f"doc_id long, {'' if last else 'text string, '}n_words long, spans {SPAN}")
+                for first, numbers in numbered(batch.column(2), block, shard_words):
+                    spans: list[list] = [[] for _ in numbers]
+                    for d, item, place, start, end in matches(numbers, block):
+                        spans[d].append({"item_id": block.names[item], "item_start": place, "start": start, "end": end})
+                    part = batch.slice(first, len(numbers))
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(x) for x in numbers], pa.int64()), pa.array(spans, kind)], ["doc_id", "row", "n_words", "spans"])
+
+        return rows.mapInArrow(shards, f"doc_id long, row long, n_words long, spans {SPAN}")
+
+    hits = None
+    for held, last in blocks_of(benchmark, window, max_block_words):
+        if hits is None:
+            out = judged(held) if last else written(judged(held), "block")
+            hits = out.where(F.size("spans") > 0).select("doc_id", "row", "spans")
+            single = last
+        else:
+            more = judged(held).where(F.size("spans") > 0).select("doc_id", "row", "spans")
+            hits = hits.union(more if last else written(more, "block"))
+    if not single:
+        # rows that repeat doc_id and text have the same hits
+        hits = hits.groupBy("doc_id", "row").agg(F.array_distinct(F.flatten(F.collect_set("spans"))).alias("all"))
+        on = F.col("o.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col("o.row") == F.col("h.row"))
+        out = out.alias("o").join(hits.alias("h"), on, "left").select("o.doc_id", "n_words", F.coalesce("all", "spans").alias("spans"))
     return out.select("doc_id", "n_words", covered("spans").alias("n_hit"), F.array_sort(F.array_distinct("spans.item_id")).alias("items"), "spans")
 
 
@@ -201,10 +227,24 @@ def covered(spans: str):
     return F.aggregate(ends, zero, step, lambda acc: acc["n"])
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """``docs`` without the documents that hold a test passage. Rows without doc_id are judged by
-    their text hash alone, so they are removed if any such row with an equal text is hit."""
-    key = F.xxhash64("text")
-    marked = docs.withColumn("__row", F.coalesce(F.col("doc_id").cast("long"), key))
-    hit = contamination(marked.select(F.col("__row").alias("doc_id"), "text"), benchmark, **options).where("n_hit > 0").select(F.col("doc_id").alias("__row")).distinct()
-    return marked.join(hit, "__row", "left_anti").select(docs.columns)
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_block_words: int = 2_000_000, shard_words: int = 4_000_000) -> DataFrame:
+    """``docs`` without the rows that hold a test passage, judged one by one while they are read; nothing
+    is shuffled. Between several blocks of the test set what is left is written down.
+
+    Null and empty texts hold no passage and stay; rows that repeat a doc_id are judged by their own
+    texts; an empty table stays empty; other columns are kept as they are.
+    """
+    schema = docs.schema
+    for held, last in blocks_of(benchmark, window, max_block_words):
+
+        def clean(it, held=held):
+            block = held.value
+            for batch in it:
+                stay = np.ones(batch.num_rows, bool)
+                for first, numbers in numbered(batch.column("text"), block, shard_words):
+                    stay[[first + d for d, *_ in matches(numbers, block)]] = False
+                yield batch.filter(pa.array(stay))
+
+        docs = docs.mapInArrow(clean, schema)
+        docs = docs if last else written(docs, "block")
+    return docs
