@@ -3,20 +3,25 @@
 Base spans (e-mail, IP, card and phone numbers) are found by column expressions only: the text is
 split at the matches of a pattern, and lengths of gaps and matches add up to positions.
 
-Then terms that give a protected entity away are found. An entity is a base match by kind and value.
-For entities that several different texts hold, the corpus tells how strongly a nearby term reveals
-them: ``PMI(term; entity) = log2(N * co / (df_term * df_entity))`` over different texts, set against
-the entity's own information ``IC = log2(N / df_entity)``. A term that carries at least ``widen`` of
-the information is generalised, one that carries at least ``remove`` of it is removed, in the texts
-where it stands near the entity. Copies of a text count once, so they are no evidence.
+Then terms that give a protected entity away are found. An entity is a *mention*, the value of a base
+match, or a *class*, any match of one kind. A term and an entity co-occur in a text that holds both,
+wherever they stand. Over different texts the corpus tells how strongly the term reveals the entity:
+``PMI(term; entity) = log2(N * co / (df_term * df_entity))``, set against the entity's own information
+``IC = log2(N / df_entity)``. A term that carries at least ``widen`` of it is generalised, one that
+carries at least ``remove`` of it is removed, at every place of the texts that hold the entity. By
+chance ``co`` texts with a term would all hold an entity with probability ``2 ** (-co * IC)``; the
+evidence must leave less than ``chance`` such cases among all pairs that were tried, so how many texts
+are needed follows from the data. Copies of a text count once.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, if_small
 
 #: Fixed patterns, by kind in the order in which spans of one start are listed. Possessive forms of
 #: the plain patterns: they match the same and never backtrack over a long run.
@@ -52,9 +57,13 @@ def passes(kind: str, value: Column) -> Column:
     return F.length(digits).between(9, 15)
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """array<struct<start, value>> of leftmost non-overlapping matches, in code points."""
+def matches(text: Column, pattern: str, at_once: int = 512) -> Column:
+    """array<struct<start, value>> of leftmost non-overlapping matches, in code points.
+
+    Gaps and matches are added up for some at a time and shifted then, so work grows with their number.
+    """
     pieces = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("value"))
+    parts = F.transform(F.sequence(F.lit(0), F.floor(F.size(pieces) / at_once).cast("int")), lambda j: F.slice(pieces, j * at_once + 1, F.lit(at_once)))
     nothing = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,value:string>>").alias("found"))
 
     def step(acc, p):
@@ -64,7 +73,13 @@ def matches(text: Column, pattern: str) -> Column:
             F.struct((start + F.length(p["value"])).alias("at"), F.concat(acc["found"], more).alias("found"))
         )
 
-    return F.aggregate(pieces, nothing, step, lambda acc: acc["found"])
+    def shift(acc, part):
+        moved = F.transform(part["found"], lambda m: F.struct((m["start"] + acc["at"]).alias("start"), m["value"].alias("value")))
+        return F.struct((acc["at"] + part["at"]).alias("at"), F.concat(acc["found"], F.array(moved)).alias("found"))
+
+    laid = F.transform(parts, lambda part: F.aggregate(part, nothing, step))
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<struct<start:int,value:string>>>").alias("found"))
+    return F.flatten(F.aggregate(laid, none, shift)["found"])
 
 
 def spans_of(text: Column, rank: int, kind: str) -> Column:
@@ -82,75 +97,79 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*parts))
 
 
-def nearby_terms(text: Column, spans: Column, reach: int) -> Column:
-    """Whole terms within ``reach`` characters of each span: entity, term, start, end."""
-    kind = "array<struct<entity:string,term:string,start:int,end:int>>"
+def terms_of(text: Column) -> Column:
+    """Distinct lower-case terms of a text outside base patterns. A pattern is consumed as a whole, so its
+    parts are no terms; what is longer than three characters and all letters, digits or _ is one."""
+    found = F.regexp_extract_all(text, F.lit("|".join([*PATTERNS.values(), TERM])), F.lit(0))
+    return F.array_distinct(F.transform(F.filter(found, is_term), F.lower))
 
-    def around(s):
-        entity = F.concat_ws(":", s["kind"], F.lower(s["value"]))
-        low = F.greatest(F.lit(0), s["start"] - reach)
-        pre, post = F.substring(text, low + 1, s["start"] - low), F.substring(text, s["end"] + 1, F.lit(reach))
 
-        def terms(part, at, cut_first, cut_last):
-            found = F.filter(matches(part, TERM), lambda m: F.length(m["value"]) >= 3)
-            found = F.filter(found, lambda m: ~(cut_first & (m["start"] == 0)) & ~(cut_last & (m["start"] + F.length(m["value"]) == reach)))
-            return F.transform(found, lambda m: F.struct(entity.alias("entity"), F.lower(m["value"]).alias("term"), (at + m["start"]).alias("start"), (at + m["start"] + F.length(m["value"])).alias("end")))
+def is_term(x: Column) -> Column:
+    return (F.length(x) >= 3) & x.rlike(rf"^{TERM}$")
 
-        return F.concat(terms(pre, low, low > 0, F.lit(False)), terms(post, s["end"], F.lit(False), F.length(post) == reach))
 
-    near = F.flatten(F.transform(spans, around))
-    # a term inside another base span is covered already
-    near = F.filter(near, lambda t: ~F.exists(spans, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
-    return F.when(F.size(spans) > 0, near).otherwise(F.array().cast(kind))
+def entities_of(base: str) -> Column:
+    """Distinct mentions (kind:value) and classes (kind) of a text."""
+    return F.array_distinct(F.concat(F.transform(base, lambda s: F.concat_ws(":", s["kind"], F.lower(s["value"]))), F.transform(base, lambda s: s["kind"])))
 
 
-def revealing_terms(near: DataFrame, texts: DataFrame, copies: DataFrame, n_texts: int, min_support: int, widen: float, remove: float, max_broadcast: int) -> DataFrame:
+def revealing_terms(rows: DataFrame, found: DataFrame, min_support: int, widen: float, remove: float, chance: float, max_broadcast: int) -> DataFrame:
     """(entity, term, action) of the terms that disclose too much.
 
-    ``near``: (text_hash, entity, term). ``texts``: (text_hash, text), rows of one hash being equal.
-    ``copies``: (text_hash, n) of the texts that more than one row holds.
+    ``rows``: (text_hash, text); ``found``: (text_hash, base) of the same rows. Equal texts have one hash.
     """
-    pairs = durable(near.groupBy("entity", "term").agg(F.count_distinct("text_hash").alias("co")).where(F.col("co") >= min_support))
-    if pairs.isEmpty():
-        return pairs.select("entity", "term", F.lit("").alias("action"))
-    entities = near.groupBy("entity").agg(F.count_distinct("text_hash").alias("df_entity"))
+    held = durable(found.groupBy("text_hash").agg(F.count(F.lit(1)).alias("n"), F.first("base").alias("base")))
+    n_texts = max(1, held.count())
+    holders = held.where(F.size("base") > 0).select("text_hash", "n", F.explode(entities_of("base")).alias("entity"))
+    known = durable(holders.groupBy("entity").agg(F.count(F.lit(1)).alias("df_entity")).where(F.col("df_entity") >= min_support))
+    # only texts of entities that could have evidence are searched for their terms
+    asked = durable(holders.join(if_small(known.select("entity"), 64, max_broadcast), "entity").groupBy("text_hash").agg(F.first("n").alias("n"), F.collect_list("entity").alias("entities")))
+    near = rows.join(if_small(asked, 128, max_broadcast), "text_hash").select("n", "entities", F.explode(terms_of(F.col("text"))).alias("term"))
+    pairs = near.select(F.explode("entities").alias("entity"), "term", (1.0 / F.col("n")).alias("share")).groupBy("entity", "term").agg(F.round(F.sum("share")).alias("co"))
+    pairs = durable(pairs.where(F.col("co") >= min_support).join(if_small(known, 64, max_broadcast), "entity"))
+    n_pairs = max(1, pairs.count())
     # n copies of a text count 1 / n each; words are summed before they meet the pairs
-    known = copies.count() <= max_broadcast
-    weighed = texts.join(F.broadcast(copies) if known else copies, "text_hash", "left").withColumn("share", 1.0 / F.coalesce("n", F.lit(1)))
+    copies = if_small(held.where("n > 1").select("text_hash", "n"), 16, max_broadcast)
+    weighed = rows.join(copies, "text_hash", "left").withColumn("share", 1.0 / F.coalesce("n", F.lit(1)))
     words = weighed.select("share", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
     spread = words.groupBy("term").agg(F.round(F.sum("share")).alias("df_term"))
-    told = pairs.join(spread, "term").join(entities, "entity")
+    told = pairs.join(spread, "term")
+    information = F.log2(F.lit(float(n_texts)) / F.col("df_entity"))
     pmi = F.log2(F.lit(float(n_texts)) * F.col("co") / (F.col("df_term") * F.col("df_entity")))
-    part = F.try_divide(pmi, F.log2(F.lit(float(n_texts)) / F.col("df_entity")))
-    return durable(told.withColumn("part", part).where(F.col("part") >= widen).select("entity", "term", F.when(F.col("part") >= remove, "removed").otherwise("widened").alias("action")))
+    told = told.withColumn("part", F.try_divide(pmi, information)).where((F.col("part") >= widen) & (F.col("co") * information >= math.log2(n_pairs / chance)))
+    return durable(told.select("entity", "term", F.when(F.col("part") >= remove, "removed").otherwise("widened").alias("action")))
 
 
-def personal_data(docs: DataFrame, reach: int = 48, min_support: int = 3, widen: float = 0.85, remove: float = 0.95, max_broadcast: int = 200_000) -> DataFrame:
+def personal_data(docs: DataFrame, min_support: int = 3, widen: float = 0.85, remove: float = 0.95, chance: float = 0.01, max_broadcast: int = 8 << 20) -> DataFrame:
     """One row for each row of ``docs``: doc_id, text_hash, base, extra.
 
     ``base``: base spans by start and kind. ``extra``: spans of revealing terms, kind ``removed`` or
-    ``widened``. Null texts count as empty and have no spans. Repeated rows each get a row. Empty
-    tables give empty tables; other columns are ignored.
+    ``widened`` (removal wins where both apply); they lie outside base patterns. Null texts count as
+    empty and have no spans. Repeated rows each get a row. Empty tables give empty tables; other columns
+    are ignored.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    found = rows.select("doc_id", F.xxhash64("text").alias("text_hash"), "text", base_spans(F.col("text")).alias("base"))
-    found = durable(found.select("doc_id", "text_hash", "base", nearby_terms(F.col("text"), F.col("base"), reach).alias("near")))
-    near = found.select("text_hash", F.explode("near").alias("t")).select("text_hash", "t.*")
-    held = durable(found.groupBy("text_hash").agg(F.count(F.lit(1)).alias("n")))
-    texts = rows.select(F.xxhash64("text").alias("text_hash"), "text")
-    told = revealing_terms(near, texts, held.where("n > 1"), max(1, held.count()), min_support, widen, remove, max_broadcast)
-    few = told.count()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
+    found = durable(rows.select("doc_id", "text_hash", base_spans(F.col("text")).alias("base")))
+    told = revealing_terms(rows.select("text_hash", "text"), found.select("text_hash", "base"), min_support, widen, remove, chance, max_broadcast)
     none = F.array().cast(SPAN)
-    if not few:
+    if told.isEmpty():
         return found.select("doc_id", "text_hash", "base", none.alias("extra"))
-    near = near.distinct()
-    hit = near.join(F.broadcast(told) if few <= max_broadcast else told, ["entity", "term"])
-    span = F.struct(F.col("start"), F.lit(len(KINDS)).alias("rank"), F.col("action").alias("kind"), F.col("end"), F.col("term").alias("value"))
-    hit = hit.groupBy("text_hash").agg(F.array_sort(F.collect_set(span)).alias("extra"))
-    # a term near two entities may be both widened and removed: removal wins
-    hit = hit.withColumn("extra", F.filter("extra", lambda x: (x["kind"] == "removed") | ~F.exists(F.col("extra"), lambda y: (y["kind"] == "removed") & (y["start"] == x["start"]))))
-    return found.join(hit, "text_hash", "left").select("doc_id", "text_hash", "base", F.coalesce("extra", none).alias("extra"))
+    # terms to act on by text, and their places in one copy of it
+    asked = found.where(F.size("base") > 0).groupBy("text_hash").agg(F.first("base").alias("base"))
+    acts = asked.select("text_hash", F.explode(entities_of("base")).alias("entity")).join(if_small(told, 96, max_broadcast), "entity").groupBy("text_hash", "term").agg(F.min("action").alias("action"))
+    acts = durable(acts)
+    wanted = if_small(acts.select("text_hash").distinct(), 16, max_broadcast)
+    spots = rows.join(wanted, "text_hash", "left_semi").select("text_hash", F.explode(term_places(F.col("text"))).alias("t")).select("text_hash", "t.*").distinct()
+    span = F.struct("start", F.lit(len(KINDS)).alias("rank"), F.col("action").alias("kind"), "end", F.col("term").alias("value"))
+    extra = spots.join(acts, ["text_hash", "term"]).groupBy("text_hash").agg(F.array_sort(F.collect_list(span)).alias("extra"))
+    return found.join(extra, "text_hash", "left").select("doc_id", "text_hash", "base", F.coalesce("extra", none).alias("extra"))
+
+
+def term_places(text: Column) -> Column:
+    """Terms of a text with their places, in code points."""
+    found = F.filter(matches(text, "|".join([*PATTERNS.values(), TERM])), lambda m: is_term(m["value"]))
+    return F.transform(found, lambda m: F.struct(F.lower(m["value"]).alias("term"), m["start"].alias("start"), (m["start"] + F.length(m["value"])).alias("end")))
 
 
 def listed(spans: Column) -> Column:
