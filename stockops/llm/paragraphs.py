@@ -193,7 +193,8 @@ def candidates(nodes: DataFrame, max_broadcast: int) -> DataFrame:
 def line_classes(nodes: DataFrame, lines: DataFrame, docs: DataFrame, width: int, threshold: float, block: int, max_broadcast: int) -> DataFrame:
     """(id, component) of the lines that have a verified near copy. nodes: id, keys; lines: id, doc_id, row, start."""
     wanted = durable(in_blocks(candidates(nodes, max_broadcast).withColumnRenamed("component", "grp"), block))
-    where = lines.join(wanted, "id").groupBy("id", "grp", "pivot", "k").agg(F.min(F.struct("doc_id", "row", "start")).alias("at"))
+    # a line that many rows hold is one place before it is joined
+    where = lines.groupBy("id").agg(F.min(F.struct("doc_id", "row", "start")).alias("at")).join(wanted, "id")
     spots = where.groupBy("at.doc_id", "at.row").agg(F.collect_list(F.struct("at.start", "id", "grp", "pivot", "k")).alias("spots"))
     spots = durable(spots)
     n_bytes = spots.agg(F.sum(F.lit(32) + 48 * F.size("spots"))).head()[0] or 0

@@ -204,11 +204,44 @@ def test_toxicity_disguises_and_odd_texts(spark, toxic, empty):
     assert {r.predicted for r in toxicity.score(d, blank).collect()} == {0}
 
 
-def test_exception_phrases(toxic):
+def test_exception_phrases(spark, toxic):
     _, _, lexicon = toxic
     machine = lexicon.automaton()
     assert toxicity.describe(["w1", "ioser", "w2"], machine, set())[0] > 0
     assert toxicity.describe(["w1", "ioser", "w2"], machine, {("w1", "ioser")}) == [0.0, 0.0, 0.0]
+    # a harmless phrase is learnt from clean texts that hold a lexicon word, and then clears such texts
+    rows, labels = toxic_rows(600)
+    rows = [(i, f"{t} sore loser cup" if i % 75 == 1 else t, s) for i, t, s in rows]
+    again = toxicity.learn(h.documents(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int, quality int"))
+    assert ("sore", "ioser") in again.exceptions and ("ioser", "cup") in again.exceptions
+    d = h.documents(spark, [(1, "w1 w2 w3 sore loser cup w4", "s"), (2, "w1 w2 w3 loser w4", "s")])
+    assert {r.doc_id: r.predicted for r in toxicity.score(d, again).collect()} == {1: 0, 2: 1}
+
+
+def test_aho_corasick_equals_plain_search():
+    """Greatest weight of an entry at each word, by trying all entries at all words."""
+    rng = random.Random(15)
+    word = lambda: "".join(rng.choice("abc") for _ in range(rng.randrange(1, 7)))
+    for _ in range(60):
+        weights = {}
+        for _ in range(rng.randrange(0, 12)):
+            weights[rng.choice([" {} ", " {}"]).format(word())] = round(rng.uniform(0.5, 4), 3)
+        words = [word() for _ in range(rng.randrange(0, 40))]
+        want = {}
+        for i, w in enumerate(words):
+            fit = [x for e, x in weights.items() if (e.endswith(" ") and e.strip() == w) or (not e.endswith(" ") and w.startswith(e[1:]))]
+            if fit:
+                want[i] = max(fit)
+        assert toxicity.hits(words, toxicity.Lexicon(weights).automaton()) == want
+
+
+def test_toxicity_of_rows_without_ids_and_of_clashing_columns(spark, toxic):
+    _, _, lexicon = toxic
+    d = spark.createDataFrame([(None, "w1 w2 idiot idiot w3", "x"), (None, "w1 w2 w3", "y"), (5, None, "z")], "doc_id long, text string, score string").withColumn("predicted", F.lit("p"))
+    assert sorted((str(r.doc_id), r.predicted) for r in toxicity.score(d, lexicon).collect()) == [("5", 0), ("None", 0), ("None", 1)]
+    kept = toxicity.drop_toxic(d, lexicon)
+    assert kept.columns == d.columns and sorted(str(r.score) for r in kept.collect()) == ["y", "z"]
+    assert toxicity.drop_toxic(d.where("false"), lexicon).isEmpty()
 
 
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/")]
@@ -262,7 +295,7 @@ def test_decontamination(spark, docs, empty):
         rows.append((k, ", ".join(w), "s"))
     rows += [(100, None, "s"), (101, "", "s"), (102, "tiny ITEM", "s"), (102, "tiny ITEM", "s"), (103, "aa " * 400 + "é " + "aa " * 15, "s"), (104, "a1-b2 " * 30_000, "s")]
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("spans", F.lit(1))
-    for block_words in (1_000_000, 20):
+    for block_words in (1_000_000, 200):
         found = decontaminate.contamination(h.documents(spark, rows).withColumn("spans", F.lit("x")), bench, max_block_words=block_words, shard_words=500)
         got = sorted((r.doc_id, r.n_words, r.n_hit, list(r["items"])) for r in found.collect())
         want = []
@@ -281,7 +314,19 @@ def test_decontamination(spark, docs, empty):
         assert got == sorted(want)
     assert decontaminate.contamination(empty, bench).isEmpty()
     assert decontaminate.contamination(docs, bench.where("false")).where("n_hit > 0").isEmpty()
-    assert decontaminate.drop_contaminated(h.documents(spark, rows), bench).count() == sum(x[2] == 0 for x in want)
+    for block_words in (1_000_000, 200):
+        left = decontaminate.drop_contaminated(h.documents(spark, rows), bench, max_block_words=block_words)
+        assert sorted(r.doc_id for r in left.collect()) == sorted(x[0] for x in want if x[2] == 0)
+    assert decontaminate.drop_contaminated(empty, bench).isEmpty()
+
+
+def test_decontamination_judges_rows(spark):
+    leak = prose(12)
+    d = h.documents(spark, [(1, leak, "a"), (1, prose(20), "b"), (None, leak, "c"), (None, prose(20), "d"), (2, None, "e")]).withColumn("n_words", F.lit("x"))
+    bench = spark.createDataFrame([(None, leak), (3, None)], "item_id long, text string")
+    assert sorted(r.source for r in decontaminate.drop_contaminated(d, bench).collect()) == ["b", "d", "e"]
+    got = decontaminate.contamination(d, bench).collect()
+    assert sorted((str(r.doc_id), r.n_hit, tuple(r["items"])) for r in got) == [("1", 0, ()), ("1", 12, ("",)), ("2", 0, ()), ("None", 0, ()), ("None", 12, ("",))]
 
 
 def test_sharding(docs, empty):
@@ -301,6 +346,20 @@ def test_sharding(docs, empty):
     assert sharding.assign_shards(empty, [1.0] * 24).isEmpty()
 
 
+def test_sharding_without_ids_and_of_whole_rows(spark, docs, empty):
+    d = h.documents(spark, [(None, f"t{i}", "s") for i in range(50)] + [(7, "same", "s")] * 50).withColumns({"nr": F.lit("x"), "bucket": F.lit("y")})
+    got = sharding.assign_shards(d, [1.0] * 5, rows_per_bucket=4).collect()
+    slots = defaultdict(list)
+    for r in got:
+        slots[r.shard].append(r.slot)
+    assert len({r.shard for r in got if r.doc_id is None}) == 1 and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    whole = sharding.sharded_documents(docs.drop("shard"), [1.0] * 24)
+    assert whole.columns == [*docs.drop("shard").columns, "shard"]
+    law = {r.doc_id: r.shard for r in sharding.assign_shards(docs, [1.0] * 24).collect()}
+    assert all(r.shard == law[r.doc_id] for r in whole.collect()) and whole.count() == len(ROWS)
+    assert sharding.sharded_documents(empty, [1.0] * 24).isEmpty()
+
+
 def test_rendezvous_weights(spark):
     n = spark.range(20_000).select(F.col("id").alias("doc_id"))
     share = {r.s: r["count"] / 20_000 for r in n.select(sharding.rendezvous(F.col("doc_id"), [1.0, 2.0, 0.0, 1.0]).alias("s")).groupBy("s").count().collect()}
@@ -340,7 +399,7 @@ def test_base_spans(spark, empty):
 
 
 def test_revealing_terms_are_removed(spark):
-    rows = [(i, f"{prose(6)} agent Zorblax wrote from boss@corp.example today {i}", "s") for i in range(8)]
+    rows = [(i, f"{prose(6)} agent Zorblax wrote. {prose(60)} Write to boss@corp.example today {i}", "s") for i in range(8)]
     rows += [(100 + i, f"today {prose(20)} agent {i}", "s") for i in range(200)] + [(500 + i, "copy Quux me@x.y copy", "s") for i in range(9)]
     d = h.documents(spark, rows)
     got = {r.doc_id: [(s["kind"], s["value"]) for s in r.extra] for r in pii.personal_data(d).collect()}
@@ -350,6 +409,59 @@ def test_revealing_terms_are_removed(spark):
     assert "Zorblax" not in clean[0] and "[EMAIL]" in clean[0] and "[...]" in clean[0] and clean[100] == rows[8][1]
 
 
+def test_disclosure_equals_counts_over_texts(spark):
+    """Spans of revealing terms against PMI by counting texts, with copies, null ids and repeated ids."""
+    rng = random.Random(19)
+    names, mails = [f"name{k}" for k in range(12)], [f"m{k}@x.y" for k in range(6)]
+    texts = []
+    for _ in range(300):
+        w = prose(rng.randrange(5, 30), rng).split()
+        if rng.random() < 0.4:
+            k = rng.randrange(6)
+            w.insert(rng.randrange(len(w)), mails[k])
+            if rng.random() < 0.9:
+                w.insert(rng.randrange(len(w)), names[k])
+        if rng.random() < 0.05:
+            w.insert(0, rng.choice(names))
+        if rng.random() < 0.1:
+            w.append("+1 234 567 8901")
+        texts.append(" ".join(w))
+    texts += texts[:40] + [None, ""]
+    d = h.documents(spark, [(i % 250 if i % 7 else None, t, "s") for i, t in enumerate(texts)]).withColumns({"base": F.lit("x"), "extra": F.lit("y"), "n": F.lit(1)})
+    for most in (8 << 20, 0):
+        got = sorted((r.text_hash, ",".join(f"{s['kind']}:{s['start']}:{s['end']}" for s in r.extra)) for r in pii.personal_data(d, max_broadcast=most).collect())
+        different = sorted({t or "" for t in texts})
+        skip = re.compile("|".join(p for _, p in PATTERNS) + r"|\w+")
+        terms = {t: [(m[0].lower(), m.start(), m.end()) for m in skip.finditer(t) if re.fullmatch(r"\w{3,}", m[0])] for t in different}
+        kinds = {t: {f"email:{m}" for m in mails if m in t.split()} | ({"email"} if "@" in t else set()) | ({"phone", "phone:+1 234 567 8901"} if "+1" in t else set()) for t in different}
+        n, df_e, df_t, co = len(different), defaultdict(int), defaultdict(int), defaultdict(int)
+        for t in different:
+            for e in kinds[t]:
+                df_e[e] += 1
+            for w in set(re.findall(r"\w+", t.lower())):
+                df_t[w] += 1
+            for w in {x[0] for x in terms[t]}:
+                for e in kinds[t]:
+                    co[e, w] += 1
+        tried = {p: c for p, c in co.items() if c >= 3 and df_e[p[0]] >= 3}
+        told = {}
+        for (e, w), c in tried.items():
+            ic = np.log2(n / df_e[e])
+            part = np.log2(n * c / (df_t[w] * df_e[e])) / ic
+            if part >= 0.85 and c * ic >= np.log2(len(tried) / 0.01):
+                told[e, w] = "removed" if part >= 0.95 else "widened"
+        want = []
+        for t in texts:
+            t = t or ""
+            spans = []
+            for w, a, b in terms[t]:
+                acts = [told[e, w] for e in kinds[t] if (e, w) in told]
+                if acts:
+                    spans.append((a, f"{min(acts)}:{a}:{b}"))
+            want.append(",".join(s for _, s in sorted(spans)))
+        assert sorted(s for _, s in got) == sorted(want) and sum(map(bool, want)) > 50
+
+
 def test_quality(spark, empty):
     rng = random.Random(2)
     rows, labels = [], []
@@ -486,6 +598,24 @@ def test_apportionment(spark, seats):
     assert [got[f"{i:02d}"] for i in range(26)] == sainte_lague(votes, seats)
 
 
+def test_mixed_documents_are_what_is_taken(spark, docs):
+    """Copies of each row are its taken words over its size, rounded; texts are never cut."""
+    rng = random.Random(23)
+    rows = [(i, prose(rng.randrange(1, 30), rng), rng.choice(["a", "a", "a", "b", "c", None])) for i in range(400)] + [(None, "no id here", "b")] * 3 + [(5, "again", "a")] * 4 + [(900, None, "a"), (901, "", "b")]
+    d = h.documents(spark, rows).withColumns({"at": F.lit("x"), "shard": F.lit("y"), "copies": F.lit("z")})
+    for options in ({}, {"rows_per_shard": 20, "group": 3, "max_block": 4}):
+        taken = defaultdict(float)
+        for r in mixing.mix(d, **options).collect():
+            taken[r.doc_id] += r.taken / max(1, r.size)
+        copies = defaultdict(int)
+        out = mixing.mixed_documents(d, **options)
+        assert out.columns == d.columns
+        for r in out.collect():
+            copies[r.doc_id] += 1
+        assert all(abs(taken[i] - copies[i]) <= (0.5 if i not in (None, 5) else 4) for i in {*taken, *copies}) and not copies[900]
+        assert sum(abs(taken[i] - copies[i]) for i in taken) < 40
+
+
 def test_mixing(docs, empty):
     got = mixing.mix(docs).collect()
     size = {}

@@ -7,6 +7,7 @@ import sys
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parent))
 import helpers as h  # noqa: E402
@@ -47,11 +48,46 @@ def test_stages(spark, folder, tmp_path):
     assert 1010 not in ids["decontamination"] and set(ids["decontamination"]) == set(ids["near_duplicates"]) - {1010}
     words = lambda df: sum(len(h.words(r.text)) for r in df.collect())
     assert abs(words(seen["mixing"]) - words(seen["decontamination"])) < 0.1 * words(seen["decontamination"])
-    assert seen["sharding"].count() == len(ids["mixing"])
+    assert seen["sharding"].columns == [*columns, "shard"]
+    assert sorted(map(str, seen["sharding"].drop("shard").collect())) == sorted(map(str, seen["mixing"].collect()))
     out = corpus_pipeline.run(spark, folder)
     assert sorted(map(str, out.collect())) == sorted(map(str, seen["sharding"].collect()))
 
 
+def test_stages_on_nulls_repeats_and_empty_tables(spark, folder):
+    """Null ids, texts and sources, rows that repeat an id, clashing columns and no rows at all."""
+    rng = random.Random(17)
+    rows = [(None, prose(30, rng), None), (None, None, "s"), (1, prose(30, rng), "s"), (1, prose(30, rng), "t"), (2, "", None), (3, prose(6000, rng), "s")] + [(10 + i, prose(40, rng), "s") for i in range(20)]
+    clash = dict.fromkeys(("row", "h", "fp", "component", "stays", "nr", "at", "whole", "size", "copies", "n_shards", "spans", "score", "words"), None)
+    docs = h.documents(spark, rows).withColumns({c: F.lit(c) for c in clash})
+    for _, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, folder)
+        assert out.drop("shard").columns == docs.columns
+        assert stage(spark, docs.where("false"), folder).isEmpty()
+        ids = [str(r.doc_id) for r in out.collect()]
+        assert ids.count("1") >= 2 or stage is corpus_pipeline.mix
+        assert {"3", *(str(10 + i) for i in range(20))} <= set(ids) or stage is corpus_pipeline.mix
+
+
+def test_near_copies_that_are_caught(spark):
+    """Recall over documents with one word in 40 changed, and clean documents left alone."""
+    rng = random.Random(29)
+    wide = [f"v{i}" for i in range(3000)]
+    rows, copies = [], 0
+    for i in range(150):
+        w = [rng.choice(wide) for _ in range(rng.randrange(60, 400))]
+        rows.append((i, " ".join(w), "s"))
+        if i % 3 == 0:
+            for k in range(rng.randrange(1, 4)):
+                v = list(w)
+                for _ in range(len(v) // 60):
+                    v[rng.randrange(len(v))] = rng.choice(wide)
+                rows.append((1000 + 10 * i + k, " ".join(v), "s"))
+                copies += 1
+    kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, h.documents(spark, rows), "").collect()}
+    assert set(range(150)) <= kept and len(kept) - 150 <= 0.1 * copies
+
+
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_registered_queries_run(spark, folder, name):
     df = queries.QUERIES[name](spark, folder)
