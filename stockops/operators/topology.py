@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import at, by_keys, labels, page, plus_hours, ratio
+from ..functions.durable import durable
 from .inventory import utilization_by_location
 
 
@@ -32,25 +33,25 @@ def location_by_id(locations: DataFrame, keys) -> DataFrame:
     return by_keys(locations, keys)
 
 
-def locations_tree(locations: DataFrame, max_depth: int = 16) -> DataFrame:
-    """Forest by parent: id, root_id, depth, path (ids from the root).
+def locations_tree(locations: DataFrame) -> DataFrame:
+    """Forest by parent, of any depth: id, root_id, depth, path (ids from the root), code, capacity_units.
 
-    A parent that is null or not in the set makes a root. Levels are joined one at a time, at most
-    ``max_depth``, and only while a level has rows; rows on a cycle are never reached.
+    A parent that is null or not in the set makes a root. Every round doubles the part of each path that
+    is known, so their number is the logarithm of the depth; a round ends in a checkpoint. Rows on a
+    cycle, or below one, never reach a root and are left out: rounds end when none is settled any more.
     """
     nodes = locations.select("id", F.col("parent_location_id").alias("parent"), "code", "capacity_units")
-    parents = nodes.select(F.col("id").alias("parent"))
-    known = nodes.where("parent is not null").join(parents, "parent", "left_semi").select("id", "parent", "code", "capacity_units")
-    roots = nodes.join(known.select("id"), "id", "left_anti")
-    level = roots.select("id", F.col("id").alias("root_id"), F.lit(0).alias("depth"), F.array("id").alias("path"), "code", "capacity_units")
-    out = level
-    for depth in range(1, max_depth):
-        above = level.select(F.col("id").alias("parent"), "root_id", "path")
-        level = known.join(above, "parent").select("id", "root_id", F.lit(depth).alias("depth"), F.concat("path", F.array("id")).alias("path"), "code", "capacity_units")
-        if level.isEmpty():
+    known = nodes.select(F.col("id").alias("parent"), F.lit(True).alias("known"))
+    nodes = durable(nodes.join(known, "parent", "left").withColumn("up", F.when(F.col("known"), F.col("parent"))).select("id", "up", F.array("id").alias("path"), "code", "capacity_units"))
+    left = nodes.where("up is not null").count()
+    while left:
+        above = nodes.select(F.col("id").alias("up"), F.col("up").alias("further"), F.col("path").alias("before"))
+        grown = nodes.join(above, "up").select("id", F.col("further").alias("up"), F.concat("before", "path").alias("path"), "code", "capacity_units")
+        nodes = durable(nodes.where("up is null").union(grown))
+        before, left = left, nodes.where("up is not null").count()
+        if left == before:
             break
-        out = out.union(level)
-    return out
+    return nodes.where("up is null").select("id", F.col("path")[0].alias("root_id"), (F.size("path") - 1).alias("depth"), "path", "code", "capacity_units")
 
 
 def sibling_order(tree: DataFrame) -> DataFrame:
@@ -105,7 +106,8 @@ def device_health(devices: DataFrame, observations: DataFrame, as_of: str, windo
         F.count(F.lit(1)).alias("n_obs"),
         F.sum(F.col("is_missing").cast("int")).alias("n_missing"),
         F.sum(F.col("observed_qty").isNull().cast("int")).alias("n_null"),
-        F.avg("confidence").alias("avg_confidence"),
+        # a mean of doubles depends on their order
+        F.avg(F.col("confidence").cast("decimal(18,9)")).cast("double").alias("avg_confidence"),
     )
     zero = F.lit(0).cast("long")
     return devices.join(per, "id", "left").withColumns(
@@ -133,6 +135,6 @@ def device_anomalies(devices: DataFrame, observations: DataFrame, as_of: str, wi
         ((F.col("status") == "offline") & (F.col("n_obs") > 0), "offline_with_observations"),
         ((F.col("status") != "offline") & (F.col("n_obs") == 0), "online_without_observations"),
         (F.col("observed_missing_rate") > F.col("missing_rate"), "missing_rate_spike"),
-        (F.round("avg_confidence", 9) < min_confidence, "low_confidence")  # a mean of doubles depends on their order,
+        (F.round("avg_confidence", 9) < min_confidence, "low_confidence"),
     )
     return df.withColumn("anomalies", found).where(F.size("anomalies") > 0)

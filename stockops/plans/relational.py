@@ -306,21 +306,26 @@ def v2(t):
     return top.device_by_id(t.devices, t.observations.where("is_missing").select("device_id")).select("id", "device_type", "noise_sigma")
 
 
+def exact6(column: str):
+    """Six digits by decimals, as a mean of few decimals may end in a five."""
+    return F.round(F.col(column).cast("decimal(20,12)"), 6).cast("double").alias(column)
+
+
 def health(hours: int) -> str:
     return f"""
 , h AS (SELECT d.id, d.warehouse_id, d.status, d.missing_rate, max(observed_at) AS last_seen, count(o.id) AS n_obs, CAST(sum(CASE WHEN is_missing THEN 1 ELSE 0 END) AS BIGINT) AS n_missing,
-  CAST(sum(CASE WHEN observed_qty IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_null, avg(confidence) AS avg_confidence
+  CAST(sum(CASE WHEN observed_qty IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_null, avg(CAST(confidence AS DECIMAL(18, 9))) AS avg_confidence
   FROM devices d LEFT JOIN observations o ON o.device_id = d.id AND observed_at >= TIMESTAMP '{EVENTS_AS_OF}' - INTERVAL {hours} HOUR AND observed_at <= TIMESTAMP '{EVENTS_AS_OF}' GROUP BY d.id, d.warehouse_id, d.status, d.missing_rate)"""
 
 
-@query("v3_device_health", ["devices", "observations"], health(24) + " SELECT id, epoch_us(last_seen) AS last_seen, n_obs, n_missing, n_null, round(avg_confidence, 6) AS avg_confidence FROM h")
+@query("v3_device_health", ["devices", "observations"], health(24) + " SELECT id, epoch_us(last_seen) AS last_seen, n_obs, n_missing, n_null, CAST(round(CAST(avg_confidence AS DECIMAL(20, 12)), 6) AS DOUBLE) AS avg_confidence FROM h")
 def v3(t):
-    return top.device_health(t.devices, t.observations, EVENTS_AS_OF, 24).select("id", us("last_seen"), "n_obs", "n_missing", "n_null", r6("avg_confidence"))
+    return top.device_health(t.devices, t.observations, EVENTS_AS_OF, 24).select("id", us("last_seen"), "n_obs", "n_missing", "n_null", exact6("avg_confidence"))
 
 
-@query("v4_device_anomaly_candidates", ["devices", "observations"], health(720) + " SELECT id, n_obs, n_missing, round(n_missing * 1.0 / nullif(n_obs, 0), 6) AS observed_missing_rate, round(avg_confidence, 6) AS avg_confidence FROM h")
+@query("v4_device_anomaly_candidates", ["devices", "observations"], health(720) + " SELECT id, n_obs, n_missing, round(n_missing * 1.0 / nullif(n_obs, 0), 6) AS observed_missing_rate, CAST(round(CAST(avg_confidence AS DECIMAL(20, 12)), 6) AS DOUBLE) AS avg_confidence FROM h")
 def v4(t):
-    return top.device_anomaly_candidates(t.devices, t.observations, EVENTS_AS_OF, 720).select("id", "n_obs", "n_missing", r6("observed_missing_rate"), r6("avg_confidence"))
+    return top.device_anomaly_candidates(t.devices, t.observations, EVENTS_AS_OF, 720).select("id", "n_obs", "n_missing", r6("observed_missing_rate"), exact6("avg_confidence"))
 
 
 @query("v5_device_anomalies", ["devices", "observations"], health(720) + """
