@@ -267,17 +267,30 @@ def rank_actions(df: DataFrame, group: list[str], beam: int = 3) -> DataFrame:
 
 def pareto_frontier(df: DataFrame, group: list[str], attributes: list[str], near: float = 0.05) -> DataFrame:
     """Options of each group with ``dominated`` (at least as bad everywhere, worse somewhere) and
-    ``near_dominated`` (within ``near`` everywhere of one with a higher score). Pairs meet only within
-    a group, which holds the options of one decision."""
-    a = df.select(*group, F.col("action_id").alias("other"), F.col("score").alias("other_score"), *[F.col(c).alias(f"o_{c}") for c in attributes])
-    pairs = df.join(a, group).where("other <> action_id")
-    no_worse, better, close = F.lit(True), F.lit(False), F.lit(True)
-    for c in attributes:
-        no_worse, better, close = no_worse & (F.col(f"o_{c}") >= F.col(c)), better | (F.col(f"o_{c}") > F.col(c)), close & (F.col(f"o_{c}") >= F.col(c) - near)
-    marks = pairs.groupBy(*group, "action_id").agg(F.bool_or(no_worse & better).alias("dominated"), F.bool_or(close & (F.col("other_score") > F.col("score"))).alias("near_dominated"))
-    out = df.join(marks, [*group, "action_id"], "left").fillna(False, ["dominated", "near_dominated"])
-    every = Window.partitionBy(*group)
-    return out.withColumn("reduction", F.avg(F.col("dominated").cast("double")).over(every))
+    ``near_dominated`` (within ``near`` everywhere of one with a higher score).
+
+    A group holds the options of one decision, which someone has listed: they are gathered in one array
+    and compared in place, so nothing meets itself in a join.
+    """
+    options = df.groupBy(*group).agg(F.collect_list(F.struct(*[df[c] for c in df.columns if c not in group])).alias("options"))
+
+    def marks(x):
+        no_worse, better, close = lambda o: F.lit(True), lambda o: F.lit(False), lambda o: F.lit(True)
+        for c in attributes:
+            no_worse = lambda o, c=c, f=no_worse: f(o) & (o[c] >= x[c])
+            better = lambda o, c=c, f=better: f(o) | (o[c] > x[c])
+            close = lambda o, c=c, f=close: f(o) & (o[c] >= x[c] - near)
+        other = lambda o: o["action_id"] != x["action_id"]
+        return F.struct(
+            x.alias("option"),
+            F.exists("options", lambda o: other(o) & no_worse(o) & better(o)).alias("dominated"),
+            F.exists("options", lambda o: other(o) & close(o) & (o["score"] > x["score"])).alias("near_dominated"),
+        )
+
+    marked = options.select(*group, F.transform("options", marks).alias("m"))
+    share = F.size(F.filter("m", lambda o: o["dominated"])) / F.size("m")
+    out = marked.select(*group, share.alias("reduction"), F.explode("m").alias("m"))
+    return out.select(*group, "m.option.*", F.coalesce("m.dominated", F.lit(False)).alias("dominated"), F.coalesce("m.near_dominated", F.lit(False)).alias("near_dominated"), "reduction")
 
 
 def threshold_trigger(df: DataFrame, safety_days: float = 7.0) -> DataFrame:

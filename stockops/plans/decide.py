@@ -267,6 +267,7 @@ def b13(t):
 
 
 def confident(t):
+    t.keep("order_lines", "moves", "balances", "observations")
     sens = signals(t).select(F.col("id").alias("device_id"), F.col("reliability").alias("sensor"), (F.col("signal") == "LOW").cast("int").alias("n_low"))
     reg = regimes(t).select("product_id", "regime")
     best = ranked(t).where("rank = 1").select("order_id", "margin", "margin_class")
@@ -278,19 +279,19 @@ def confident(t):
 CONF_NEEDS = list(dict.fromkeys([*TRIGGER_NEEDS, *ACT_NEEDS]))
 
 
-def tail(ctes: str, names: list[str]) -> str:
-    """The listed CTEs of another chain, renamed apart where two chains share a name."""
+def tail(ctes: str) -> str:
+    """The CTEs of another chain, to be joined to one."""
     return ctes.strip().lstrip(",").strip()
 
 
 CONFIDENCE = (
     TRIGGER
     + ", "
-    + tail(RANKED, [])
+    + tail(RANKED)
     + ", "
-    + tail(SIGNAL, []).replace("h AS (", "h AS (", 1)
+    + tail(SIGNAL)
     + ", "
-    + tail(REGIME, [])
+    + tail(REGIME)
     + """,
 mar AS (SELECT product_id, min((margin, margin_class)) AS m FROM order_lines l JOIN (SELECT order_id, margin, margin_class FROM ranked WHERE rn = 1) r ON r.order_id = l.order_id GROUP BY product_id),
 joinc AS (SELECT trg.*, sigc.reliability AS sensor, CASE WHEN signal = 'LOW' THEN 1 ELSE 0 END AS n_low, regime.regime, m[1] AS margin, m[2] AS margin_class FROM trg LEFT JOIN sigc ON sigc.id = trg.device_id LEFT JOIN regime USING (product_id) LEFT JOIN mar USING (product_id)),

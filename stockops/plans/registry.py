@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.durable import written
 from ..sources.logical import load, with_clause
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +26,11 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return load(self.spark, self.sf_dir, name, self._cache)
 
+    def keep(self, *names: str) -> None:
+        """Write tables that a query reads many times once; later uses read what was written."""
+        for name in names:
+            self._cache[name] = written(getattr(self, name), name)
+
 
 def query(name: str, needs: Sequence[str] = (), sql: str | None = None):
     """Register ``fn(tables)``. ``sql``: a SELECT, or further CTEs that start with a comma."""
