@@ -11,7 +11,6 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,6 +21,7 @@ from ..functions.python import ship
 
 ship(__name__)
 
+#: The form of a numbered heading.
 HEADING = r"^#+\s*([\dA-Z]+(?:\.[\dA-Z]+){0,2})\.?(?:\s+(.*))?$"
 #: Fixed patterns: how each kind of reference is written, over lower-cased text without dollar signs.
 REFERENCES = {
@@ -35,6 +35,7 @@ REFERENCES = {
     "referenced_sections": r"section\s+([a-z\d]+\.\d+(?:\.\d+)?)",
 }
 MAX_CHUNK = 1000
+#: Labels of blocks that are no text.
 SKIPPED = ("header", "footer", "number", "footnote", "header_image", "footer_image", "aside_text")
 
 
@@ -248,25 +249,33 @@ def pending_work(items: DataFrame, log: DataFrame, key: str = "chunk_id") -> Dat
     return items.join(last.select(key), key, "left_anti")
 
 
-def token_batches(items: DataFrame, budget: int, seed: int, shards: int = 16) -> DataFrame:
-    """Batches of at most ``budget`` estimated tokens (length / 4 + 50), in seeded order.
+def token_batches(items: DataFrame, budget: int, seed: int, rows_per_shard: int = 20_000) -> DataFrame:
+    """Batches of at most ``budget`` estimated tokens (length / 4 + 50), in seeded order: chunk_id, shard,
+    batch, tokens.
 
-    items: chunk_id, content. The greedy fold runs within shards of the seeded hash, in order of it.
+    items: chunk_id, content. The greedy fold runs within shards of some ``rows_per_shard`` items, by
+    ranges of the seeded hash and in order of it; a task folds sorted rows as they come and holds none.
     """
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        batch, used, out = 0, 0, []
-        for r in pdf.sort_values(["seed_key", "chunk_id"]).itertuples():
-            if used and used + r.tokens > budget:
-                batch, used = batch + 1, 0
-            used += r.tokens
-            out.append((r.chunk_id, int(r.shard), batch, int(r.tokens)))
-        return pd.DataFrame(out, columns=["chunk_id", "shard", "batch", "tokens"])
+    def fold(it):
+        shard, batch, used = None, 0, 0
+        for rows in it:
+            out = []
+            for s, n in zip(rows.column(1).to_pylist(), rows.column(3).to_pylist(), strict=True):
+                if s != shard:
+                    shard, batch, used = s, 0, 0
+                if used and used + n > budget:
+                    batch, used = batch + 1, 0
+                used += n
+                out.append(batch)
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(out, pa.int32()), rows.column(3)], ["chunk_id", "shard", "batch", "tokens"])
 
     key = F.md5(F.concat(F.col("chunk_id"), F.lit(str(seed))).cast("binary"))
-    df = items.select("chunk_id", (F.floor(F.length("content") / 4) + 50).alias("tokens"), key.alias("seed_key"))
-    df = df.withColumn("shard", F.conv(F.substring("seed_key", 1, 6), 16, 10).cast("long") % shards)
-    return df.groupBy("shard").applyInPandas(fold, "chunk_id string, shard long, batch int, tokens long")
+    shards = max(1, -(-items.count() // rows_per_shard))
+    place = F.conv(F.substring("seed_key", 1, 8), 16, 10).cast("long")
+    df = items.select("chunk_id", key.alias("seed_key"), (F.floor(F.length("content") / 4) + 50).alias("tokens"))
+    df = df.select("chunk_id", F.shiftright(place * shards, 32).alias("shard"), "seed_key", "tokens")
+    return df.repartition("shard").sortWithinPartitions("shard", "seed_key", "chunk_id").mapInArrow(fold, "chunk_id string, shard long, batch int, tokens long")
 
 
 def attach_figures(figures: DataFrame, blocks: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import labels
+from ..functions.durable import durable
 from ..functions.python import ship
 
 ship(__name__)
@@ -265,13 +266,13 @@ def code_closure(roots: DataFrame, calls: DataFrame, max_depth: int = 5) -> Data
     """Definitions reachable from root names: root, name, depth (the longest found up to the bound).
 
     Callees come before callers when ordered by depth descending. Frontiers are distinct (root, name)
-    rows, so cycles end at the bound.
+    rows, so cycles end at the bound. Edges and levels are kept, so none is made twice.
     """
-    edges = calls.select(F.col("caller").alias("name"), F.col("callee").alias("next")).distinct()
-    level = roots.select("root", "name").distinct().withColumn("depth", F.lit(0))
+    edges = durable(calls.select(F.col("caller").alias("name"), F.col("callee").alias("next")).distinct())
+    level = durable(roots.select("root", "name").distinct().withColumn("depth", F.lit(0)))
     out = level
     for depth in range(1, max_depth + 1):
-        level = level.join(edges, "name").select("root", F.col("next").alias("name"), F.lit(depth).alias("depth")).distinct()
+        level = durable(level.join(edges, "name").select("root", F.col("next").alias("name"), F.lit(depth).alias("depth")).distinct())
         out = out.union(level)
     return out.groupBy("root", "name").agg(F.max("depth").alias("depth"))
 
