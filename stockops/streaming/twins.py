@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -18,10 +18,27 @@ def stream_latest_snapshot(observations: DataFrame, delay: str = "1 hour") -> Da
     return out.select("product_id", "location_id", "observed_at", "r.*")
 
 
-def stream_device_health(observations: DataFrame, delay: str = "1 hour", window: str = "24 hours", slide: str = "24 hours") -> DataFrame:
+def stream_device_health(observations: DataFrame, delay: str = "1 hour", window: str = "24 hours", slide: str = "1 hour") -> DataFrame:
     """Counts and missing rate of each device in event-time windows; late rows past the watermark go."""
     df = observations.withWatermark("observed_at", delay) if observations.isStreaming else observations
     out = df.groupBy(F.window("observed_at", window, slide).alias("w"), "device_id").agg(
         F.count(F.lit(1)).alias("n_obs"), F.sum(F.col("is_missing").cast("int")).alias("n_missing"), F.sum(F.col("observed_qty").isNull().cast("int")).alias("n_null"), F.avg("confidence").alias("avg_confidence"), F.max("observed_at").alias("last_seen")
     )
     return out.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "device_id", "n_obs", "n_missing", "n_null", "avg_confidence", "last_seen", F.try_divide("n_missing", "n_obs").alias("missing_rate"))
+
+
+def run_to_table(stream: DataFrame, keys: list[str], folder: str) -> DataFrame:
+    """Run an aggregate in update mode until its source is used up, and read its table.
+
+    Every batch appends the rows that it changed to a folder of its own, so no batch rewrites what others
+    wrote and one that is repeated replaces itself; reading keeps the row of the last batch of each key.
+    State older than the stream's watermark is dropped.
+    """
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+
+    stream.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start().awaitTermination()
+    rows = stream.sparkSession.read.parquet(f"{folder}/rows")
+    last = Window.partitionBy(*keys).orderBy(F.desc("batch"))
+    return rows.withColumn("rn", F.row_number().over(last)).where("rn = 1").drop("rn", "batch")

@@ -23,22 +23,28 @@ def rows_of(df):
     return sorted(str(tuple(round(v, 9) if isinstance(v, float) else v for v in r)) for r in df.collect())
 
 
-def run(spark, path, twin, tmp_path):
-    out = f"{tmp_path}/{twin.__name__}"
+KEYS = {"stream_latest_snapshot": ["product_id", "location_id"], "stream_device_health": ["window_start", "device_id"]}
 
-    def keep(batch, _):
-        batch.write.mode("overwrite").parquet(out)
 
+def run(spark, path, twin, tmp_path, delay="10 days", name="out"):
     stream = spark.readStream.schema(OBS).option("maxFilesPerTrigger", 1).parquet(path)
-    twin(stream, "10 days").writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{out}-log").trigger(availableNow=True).start().awaitTermination()
-    return rows_of(spark.read.parquet(out))
+    return twins.run_to_table(twin(stream, delay), KEYS[twin.__name__], f"{tmp_path}/{twin.__name__}-{name}")
 
 
 def test_streams_equal_batches(spark, tmp_path):
     obs = observations(spark)
     obs.repartition(4).write.parquet(f"{tmp_path}/obs")
     for twin in (twins.stream_latest_snapshot, twins.stream_device_health):
-        assert run(spark, f"{tmp_path}/obs", twin, tmp_path) == rows_of(twin(obs))
+        assert rows_of(run(spark, f"{tmp_path}/obs", twin, tmp_path)) == rows_of(twin(obs))
+
+
+def test_rows_past_the_watermark_are_dropped(spark, tmp_path):
+    early, late = observations(spark).where("event_id = 1"), observations(spark).where("event_id = 12")
+    for k, rows in enumerate((late, late, early)):
+        rows.coalesce(1).write.mode("append").parquet(f"{tmp_path}/obs")
+        run(spark, f"{tmp_path}/obs", twins.stream_device_health, tmp_path, "1 minute", "late")
+    got = run(spark, f"{tmp_path}/obs", twins.stream_device_health, tmp_path, "1 minute", "late")
+    assert {r.device_id for r in got.collect()} == {"d2"} and early.first().device_id == "d1"
 
 
 def test_jsonl_skips_bad_lines(spark, tmp_path):
