@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,10 +46,6 @@ def labels(*pairs: tuple[Column, str]) -> Column:
     return F.array_compact(F.array(*[F.when(c, F.lit(n)) for c, n in pairs]))
 
 
-def either(conditions: Sequence[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions)
-
-
 def norm_cdf(z: Column) -> Column:
     """Standard normal distribution function by a five-term polynomial (error below 7.5e-8)."""
     a = F.abs(z)

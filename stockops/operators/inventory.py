@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import at, by_keys, either, lowered, page, ratio, weighted_mean
+from ..functions.columns import at, by_keys, lowered, page, ratio, weighted_mean
 
 
 def current_inventory(
@@ -197,7 +197,3 @@ def utilization_by_location(observations: DataFrame, locations: DataFrame, start
     df = loc.join(by_loc, "location_id", "left").withColumn("n_obs", F.coalesce("n_obs", F.lit(0)))
     df = df.withColumn("utilization", F.when(F.col("capacity_units") > 0, ratio(F.col("observed_qty"), F.col("capacity_units"))))
     return df.orderBy(F.desc_nulls_last("utilization"), F.asc("code"), F.asc("location_id"))
-
-
-def touches(df: DataFrame, columns: list[str], value: str) -> Column:
-    return either([F.col(c) == value for c in columns])
