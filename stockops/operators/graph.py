@@ -159,26 +159,19 @@ def code_entities(fragments: DataFrame) -> DataFrame:
 def call_graph(entities: DataFrame) -> DataFrame:
     """Calls resolved to definitions: caller, callee, kind.
 
-    Order of preference: the qualified name; for self, the caller's class; a class, a function, then
-    a method of that short name if it is the only one.
+    A call goes to the definition of its full name (for self, in the caller's class), a class before a
+    function; else to the method of that short name, if it is the only one. Both steps are joins on a
+    unique name, so a method name that every class has is no hot key.
     """
     defs = entities.where("kind <> 'call'").select(F.col("kind").alias("target_kind"), F.col("name").alias("target")).distinct()
-    short = F.regexp_extract("target", r"([^.]+)$", 1)
-    defs = defs.withColumn("short", short).withColumn("same", F.count(F.lit(1)).over(Window.partitionBy("short", "target_kind")))
     calls = entities.where("kind = 'call'").select(F.col("name").alias("caller"), F.col("detail").alias("raw")).distinct()
     owner = F.regexp_extract("caller", r"^([^.]+)\.", 1)
     full = F.when(F.col("raw").startswith("self.") & (owner != ""), F.concat(owner, F.lit("."), F.substring_index("raw", ".", -1))).otherwise(F.col("raw"))
-    calls = calls.withColumn("full", full).withColumn("short", F.substring_index("raw", ".", -1)).withColumn("bare", ~F.contains("raw", F.lit(".")))
-    hit = calls.join(defs, "short").withColumn(
-        "rank",
-        F.when(F.col("target") == F.col("full"), 0)
-        .when(F.col("bare") & (F.col("target_kind") == "class"), 1)
-        .when(F.col("bare") & (F.col("target_kind") == "function"), 2)
-        .when((F.col("target_kind") == "method") & (F.col("same") == 1), 3),
-    )
-    w = Window.partitionBy("caller", "raw").orderBy("rank", "target")
-    best = hit.where("rank is not null").withColumn("rn", F.row_number().over(w)).where("rn = 1")
-    return best.select("caller", F.col("target").alias("callee"), F.col("target_kind").alias("kind")).distinct()
+    found = calls.withColumn("target", full).join(defs, "target", "left")
+    exact = found.where("target_kind is not null").groupBy("caller", "raw", "target").agg(F.min("target_kind").alias("target_kind"))
+    only = defs.where("target_kind = 'method'").groupBy(F.substring_index("target", ".", -1).alias("short")).agg(F.min("target").alias("target"), F.count(F.lit(1)).alias("n")).where("n = 1")
+    other = found.where("target_kind is null").select("caller", F.substring_index("raw", ".", -1).alias("short")).join(only, "short").select("caller", "target", F.lit("method").alias("target_kind"))
+    return exact.select("caller", "target", "target_kind").union(other).distinct().select("caller", F.col("target").alias("callee"), F.col("target_kind").alias("kind"))
 
 
 def code_schema(entities: DataFrame, calls: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..functions.durable import written
 from ..operators import corpus as c
 from ..operators import graph as g
 from ..operators import retrieval as r
@@ -63,7 +64,18 @@ def c6(t):
     return c.assign_to_region(t.blocks, t.regions).select("doc_id", "block_id", "region_id")
 
 
-@query("c7_match_formula_numbers", ["blocks"])
+@query("c7_match_formula_numbers", ["blocks"], """
+, fo AS (SELECT doc_id, page_num, block_id, block_bbox[2] AS top, block_bbox[3] AS rgt, block_bbox[4] AS bottom FROM blocks WHERE block_label = 'formula'),
+nu AS (SELECT doc_id, page_num, trim(trim(block_content), '()') AS entity_id, block_bbox[1] AS lft, block_bbox[2] AS top, block_bbox[4] AS bottom, row_number() OVER (PARTITION BY doc_id, page_num ORDER BY block_bbox[2], block_bbox[1], block_id) AS i FROM blocks WHERE block_label = 'formula_number'),
+pr AS (SELECT n.doc_id, n.page_num, n.i, n.entity_id, f.block_id, abs((f.top + f.bottom) / 2 - (n.top + n.bottom) / 2) AS far, f.top < n.bottom AND f.bottom > n.top AND f.rgt <= n.lft + 1 AS level FROM nu n JOIN fo f ON f.doc_id = n.doc_id AND f.page_num = n.page_num),
+op AS (SELECT * FROM pr WHERE level OR far <= 100),
+-- numbers of a page claim in order; what was claimed is carried along
+rc AS (SELECT DISTINCT doc_id, page_num, 0 AS i, CAST([] AS INT[]) AS taken FROM nu
+  UNION ALL SELECT rc.doc_id, rc.page_num, rc.i + 1, CASE WHEN b.block_id IS NULL THEN taken ELSE list_append(taken, CAST(b.block_id AS INT)) END
+  FROM rc JOIN nu ON nu.doc_id = rc.doc_id AND nu.page_num = rc.page_num AND nu.i = rc.i + 1
+  LEFT JOIN LATERAL (SELECT arg_min(block_id, (NOT level, far, block_id)) AS block_id FROM op WHERE op.doc_id = rc.doc_id AND op.page_num = rc.page_num AND op.i = rc.i + 1 AND NOT list_contains(rc.taken, CAST(op.block_id AS INT))) b ON true)
+SELECT nu.doc_id, nu.page_num, nu.entity_id, rc.taken[-1] AS block_id FROM rc JOIN nu ON nu.doc_id = rc.doc_id AND nu.page_num = rc.page_num AND nu.i = rc.i
+  JOIN rc AS bf ON bf.doc_id = rc.doc_id AND bf.page_num = rc.page_num AND bf.i = rc.i - 1 WHERE len(rc.taken) > len(bf.taken)""")
 def c7(t):
     return c.match_formula_numbers(t.blocks, reach=100.0).select("doc_id", "page_num", "entity_id", "block_id")
 
@@ -134,7 +146,14 @@ def c13(t):
     return c.pending_work(t.chunks, log).select("chunk_id")
 
 
-@query("c14_token_batches", ["chunks"])
+@query("c14_token_batches", ["chunks"], """
+, nn AS (SELECT CAST(greatest(1, ceil(count(*) / 20000.0)) AS BIGINT) AS shards FROM chunks),
+it AS (SELECT chunk_id, md5(concat(chunk_id, '42')) AS k, CAST(length(content) // 4 + 50 AS BIGINT) AS tokens FROM chunks),
+sh AS (SELECT *, (CAST(concat('0x', substr(k, 1, 8)) AS BIGINT) * shards) >> 32 AS shard FROM it, nn),
+od AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY k, chunk_id) AS i FROM sh),
+ba AS (SELECT shard, i, chunk_id, tokens, 0 AS batch, tokens AS used FROM od WHERE i = 1
+  UNION ALL SELECT o.shard, o.i, o.chunk_id, o.tokens, batch + CASE WHEN used + o.tokens > 4000 THEN 1 ELSE 0 END, CASE WHEN used + o.tokens > 4000 THEN o.tokens ELSE used + o.tokens END FROM ba JOIN od o ON o.shard = ba.shard AND o.i = ba.i + 1)
+SELECT chunk_id, shard, batch, tokens FROM ba""")
 def c14(t):
     return c.token_batches(t.chunks, 4000, 42)
 
@@ -169,7 +188,10 @@ def c16(t):
     return df.select("doc_id", "page_num", "region_id", n.cast("long").alias("n_blocks"))
 
 
-@query("c17_repair_note_splits", ["blocks"])
+@query("c17_repair_note_splits", ["blocks"], r"""
+, nt AS (SELECT f.doc_id, f.page_num, f.block_id, f.block_content AS note FROM blocks f JOIN blocks h ON h.doc_id = f.doc_id AND h.page_num = f.page_num AND h.block_id = f.block_id - 1 WHERE f.block_label = 'footnote' AND h.block_label <> 'footnote')
+SELECT b.doc_id, b.block_id, md5(CASE WHEN b.block_label = 'footnote' THEN coalesce(regexp_replace(own.note, '^\s+|\s+$', '', 'g'), '') WHEN sw.note IS NOT NULL THEN regexp_replace(b.block_content, '\s+$', '') ELSE b.block_content END) AS content_md5
+FROM blocks b LEFT JOIN nt own ON own.doc_id = b.doc_id AND own.block_id = b.block_id LEFT JOIN nt sw ON sw.doc_id = b.doc_id AND sw.block_id = b.block_id + 1""")
 def c17(t):
     # a note that was swallowed: its text follows the block before it
     notes = t.blocks.where("block_label = 'footnote'").select("doc_id", "page_num", (F.col("block_id") - 1).alias("block_id"), F.col("block_content").alias("note"))
@@ -254,50 +276,77 @@ def g9(t):
     return g.parent_chunk_link(t.chunks).select("chunk_id", "defined_in_chunk", "parent_uuid")
 
 
+WORDS = r"filter(transform(split(coalesce(text, ''), '\n'), l -> regexp_extract_all(l, '[A-Za-z]+', 0)), w -> size(w) > 0)"
+NAMES = "transform(w, (x, i) -> concat('f', doc_id, '_', i, '_', x[0]))"
+DEFINITION = r"concat('def ', n, '(x):\n    return ', coalesce(get(names, i + 1), concat('K', doc_id + 3)), '(', array_join(concat(array('x'), transform(get(w, i), v -> concat('v_', v))), ', '), ')')"
+METHOD = r"concat('    def m(self):\n        return self.m(', coalesce(get(names, 0), 'len'), '(1), K', doc_id + 1, '())')"
+
+
+def programs(t):
+    """Documents as programs: every line is a function that calls the next one with the words of the line;
+    a class begins and the last line ends with classes of other documents. doc_id, names, defs, method."""
+    df = t.documents.select("doc_id", F.expr(WORDS).alias("w")).withColumn("names", F.expr(NAMES))
+    return df.select("doc_id", "names", F.expr(f"transform(names, (n, i) -> {DEFINITION})").alias("defs"), F.expr(METHOD).alias("method"))
+
+
 def fragments(t):
-    """Small programs whose names and calls come from the documents."""
-    return t.spark.sql(
-        r"""SELECT concat('F', doc_id) AS fragment_id, concat('class K', doc_id % 50, ':\n    def m', doc_id % 7, '(self):\n        return f', (doc_id + 1) % 60, '(self.m', doc_id % 3, '())\n\n\ndef f', doc_id % 60, '(x):\n    return K', (doc_id + 3) % 50, '().m', (doc_id + 3) % 7, '(x)\n',
-        CASE WHEN doc_id % 11 = 0 THEN 'def broken(:\n' ELSE '' END) AS code, doc_id FROM {docs}""",
-        docs=t.documents,
-    )
+    """One program a document; one in eleven does not parse."""
+    code = F.expr(r"concat('class K', doc_id, ':\n', method, '\n\n\n', array_join(defs, '\n\n\n'), '\n', CASE WHEN doc_id % 11 = 0 THEN 'def broken(:\n' ELSE '' END)")
+    return programs(t).select(F.concat(F.lit("F"), "doc_id").alias("fragment_id"), code.alias("code"), "doc_id")
+
 
+PROGRAMS = """
+, ws AS (SELECT doc_id, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_extract_all(l, '[A-Za-z]+')), lambda x: len(x) > 0) AS w FROM documents),
+nm AS (SELECT *, concat('F', doc_id) AS fragment_id, concat('K', doc_id) AS cls, list_transform(w, lambda x, i: concat('f', doc_id, '_', i - 1, '_', x[1])) AS names FROM ws),
+nx AS (SELECT *, CASE WHEN len(names) > 0 THEN list_append(names[2:], concat('K', doc_id + 3)) ELSE [] END AS nexts FROM nm),
+en AS (SELECT fragment_id, doc_id, 'class' AS kind, cls AS name, NULL AS detail FROM nx UNION ALL SELECT fragment_id, doc_id, 'method', cls || '.m', cls FROM nx
+  UNION ALL SELECT fragment_id, doc_id, 'call', cls || '.m', unnest(['self.m', coalesce(names[1], 'len'), concat('K', doc_id + 1)]) FROM nx
+  UNION ALL SELECT fragment_id, doc_id, 'function', unnest(names), NULL FROM nx UNION ALL SELECT fragment_id, doc_id, 'call', unnest(names), unnest(nexts) FROM nx),
+ok AS (SELECT * FROM en WHERE doc_id % 11 <> 0),
+df AS (SELECT DISTINCT kind, name, detail FROM ok WHERE kind <> 'call'),
+cg AS (SELECT DISTINCT c.name AS caller, df.name AS callee, df.kind FROM ok c JOIN df ON df.name = CASE WHEN c.detail = 'self.m' THEN c.name ELSE c.detail END WHERE c.kind = 'call')"""
 
-@query("g10_code_entities", [])
+
+@query("g10_code_entities", [], PROGRAMS + " SELECT fragment_id, kind, name, detail FROM ok")
 def g10(t):
     return g.code_entities(fragments(t))
 
 
-@query("g11_call_graph", [])
+@query("g11_call_graph", [], PROGRAMS + " SELECT caller, callee, kind FROM cg")
 def g11(t):
     return g.call_graph(g.code_entities(fragments(t)))
 
 
 def schema_of(t):
-    entities = g.code_entities(fragments(t))
+    entities = written(g.code_entities(fragments(t)), "entities")
     return g.code_schema(entities, g.call_graph(entities))
 
 
-@query("g12_code_schema", [])
+SCHEMA = PROGRAMS + f""",
+sc AS (SELECT kind, name, detail AS class_ref, {uuid_sql("concat(kind, ':', name)")} AS id FROM df),
+rf AS (SELECT caller AS name, {", ".join(f"string_agg(DISTINCT CASE WHEN kind = '{k}' THEN {uuid_sql("concat(kind, ':', callee)")} END, ',' ORDER BY CASE WHEN kind = '{k}' THEN {uuid_sql("concat(kind, ':', callee)")} END) AS {k}_refs" for k in ("class", "method", "function"))} FROM cg GROUP BY caller)"""
+
+
+@query("g12_code_schema", [], SCHEMA + " SELECT kind, name, class_ref, id, coalesce(class_refs, '') AS referenced_classes, coalesce(method_refs, '') AS referenced_methods, coalesce(function_refs, '') AS referenced_functions FROM sc LEFT JOIN rf USING (name)")
 def g12(t):
     return schema_of(t).select("kind", "name", "class_ref", "id", joined("referenced_classes"), joined("referenced_methods"), joined("referenced_functions"))
 
 
-@query("g13_code_refs", [])
+@query("g13_code_refs", [], SCHEMA + ", ud AS (SELECT CAST(doc_id AS VARCHAR) AS chunk_id, unnest([names[1], cls]) AS name FROM nx) SELECT DISTINCT chunk_id, kind, name, id FROM ud JOIN sc USING (name)")
 def g13(t):
-    prose = t.documents.select(F.col("doc_id").cast("string").alias("chunk_id"), F.concat(F.substring("text", 1, 60), F.expr(r"concat('\n```python\ny = f', doc_id % 60, '(K', doc_id % 50, '())\n```\n')"), F.col("text")).alias("content"))
-    return g.code_refs(prose, schema_of(t))
+    # the prose of a document and a fence that uses what it defines
+    fence = F.concat(F.lit("\n```python\ny = "), F.coalesce(F.get("names", F.lit(0)), F.lit("len")), F.lit("(K"), "doc_id", F.lit("())\n```\n"))
+    prose = programs(t).select("doc_id", fence.alias("fence")).join(t.documents.select("doc_id", "text"), "doc_id")
+    return g.code_refs(prose.select(F.col("doc_id").cast("string").alias("chunk_id"), F.concat(F.coalesce("text", F.lit("")), "fence").alias("content")), schema_of(t))
 
 
-USAGE = """, bl AS (SELECT concat('F', doc_id) AS block_id, doc_id, concat('f', (doc_id + 1) % 60) AS u1, concat('m', doc_id % 3) AS u2, concat('K', (doc_id + 3) % 50) AS u3, concat('m', (doc_id + 3) % 7) AS u4 FROM documents),
-dc AS (SELECT concat('F', doc_id) AS home, concat('f', doc_id % 60) AS name FROM documents),
-us AS (SELECT DISTINCT name, home, block_id AS used_in FROM (SELECT block_id, unnest([u1, u2, u3, u4]) AS name FROM bl) JOIN dc USING (name) WHERE block_id <> home)"""
+USAGE = PROGRAMS + """,
+us AS (SELECT DISTINCT d.cls AS name, d.fragment_id AS home, u.fragment_id AS used_in FROM nx d JOIN (SELECT fragment_id, unnest(CASE WHEN len(names) > 0 THEN [doc_id + 1, doc_id + 3] ELSE [doc_id + 1] END) AS doc_id FROM nx) u ON u.doc_id = d.doc_id)"""
 
 
 def usage(t):
     frags = fragments(t).withColumnRenamed("fragment_id", "block_id")
-    plain = frags.withColumn("code", F.regexp_replace("code", r"(?m)^\s*(def|class)\s.*$", ""))
-    return g.usage_index(plain, frags.select("block_id", F.expr("concat('f', doc_id % 60)").alias("name")))
+    return g.usage_index(frags, frags.select("block_id", F.concat(F.lit("K"), "doc_id").alias("name")))
 
 
 @query("g14_usage_index", [], USAGE + " SELECT name, home, used_in FROM us")
@@ -310,22 +359,36 @@ def g15(t):
     return g.related_definitions(usage(t), fragments(t).select(F.col("fragment_id").alias("block_id"), (F.col("doc_id") % 10).alias("chapter")))
 
 
-def closure(t):
-    calls = g.call_graph(g.code_entities(fragments(t)))
-    roots = calls.select(F.col("caller").alias("root")).distinct().select("root", F.col("root").alias("name"))
-    return g.code_closure(roots, calls)
+def closure(t, entities):
+    roots = entities.where("kind = 'method'").select(F.col("name").alias("root"), "name")
+    return g.code_closure(roots, g.call_graph(entities))
+
+
+CLOSURE = PROGRAMS + """,
+lv AS (SELECT DISTINCT name AS root, name, 0 AS depth FROM df WHERE kind = 'method' UNION SELECT root, callee, depth + 1 FROM lv JOIN cg ON cg.caller = lv.name WHERE depth < 5),
+cl AS (SELECT root, name, max(depth) AS depth FROM lv GROUP BY root, name)"""
 
 
-@query("g16_code_closure", [])
+@query("g16_code_closure", [], CLOSURE + " SELECT root, name, depth FROM cl")
 def g16(t):
-    return closure(t)
+    return closure(t, written(g.code_entities(fragments(t)), "entities"))
 
 
-@query("g17_assemble_source", [])
+@query("g17_assemble_source", [], CLOSURE + """,
+src AS (SELECT cls || '.m' AS name, cls AS block, concat('    def m(self):', chr(10), '        return self.m(', coalesce(names[1], 'len'), '(1), K', doc_id + 1, '())') AS code FROM nx
+  UNION ALL SELECT cls, cls, concat('class ', cls, ':') FROM nx
+  UNION ALL SELECT name, name, concat('def ', name, '(x):', chr(10), '    return ', nxt, '(', array_to_string(list_concat(['x'], list_transform(ww, lambda v: concat('v_', v))), ', '), ')') FROM (SELECT unnest(names) AS name, unnest(nexts) AS nxt, unnest(w) AS ww FROM nx)),
+bl AS (SELECT root, block, max(depth) AS depth, string_agg(code, chr(10) ORDER BY src.name <> block, depth DESC, src.name) AS code FROM cl JOIN src USING (name) GROUP BY root, block)
+SELECT root, md5(string_agg(code, chr(10) || chr(10) ORDER BY depth DESC, block)) AS source_md5, count(*) AS n_blocks FROM bl GROUP BY root""")
 def g17(t):
-    entities = g.code_entities(fragments(t)).where("kind <> 'call'")
-    sources = entities.groupBy("name").agg(F.min("detail").alias("class_ref")).withColumn("code", F.concat(F.lit("# "), F.col("name")))
-    return g.assemble_source(closure(t), sources).select("root", F.md5("source").alias("source_md5"), "n_blocks")
+    p = programs(t)
+    cls = F.concat(F.lit("K"), "doc_id")
+    none = F.lit(None).cast("string")
+    functions = p.select(F.explode(F.arrays_zip(F.col("names").alias("name"), F.col("defs").alias("code"))).alias("d")).select("d.name", none.alias("class_ref"), "d.code")
+    methods = p.select(F.concat(cls, F.lit(".m")).alias("name"), cls.alias("class_ref"), F.col("method").alias("code"))
+    classes = p.select(cls.alias("name"), none.alias("class_ref"), F.concat(F.lit("class "), cls, F.lit(":")).alias("code"))
+    found = closure(t, written(g.code_entities(fragments(t)), "entities"))
+    return g.assemble_source(found, functions.union(methods).union(classes)).select("root", F.md5("source").alias("source_md5"), "n_blocks")
 
 
 def sims(k: int, where: str = "true") -> str:
