@@ -58,6 +58,19 @@ def reference_edges(chunks: DataFrame) -> DataFrame:
     return references(chunks).join(target_map(chunks), ["entity_id", "chunk_type"]).select("src", "field", "dst")
 
 
+def chunk_objects(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Chunks as objects of a vector store: uuid, chunk_id, chunk_type, content, embedding, links.
+
+    ``vectors``: (chunk_id, embedding); a chunk without one has a null embedding. ``links`` lists field and
+    uuid of every chunk that is referred to, in order. Unknown targets are left out.
+    """
+    ids = deterministic_uuid(chunks).select("chunk_id", "uuid")
+    edges = reference_edges(chunks).join(ids.select(F.col("chunk_id").alias("dst"), F.col("uuid").alias("target")), "dst")
+    links = edges.groupBy(F.col("src").alias("chunk_id")).agg(F.array_sort(F.collect_set(F.struct("field", "target"))).alias("links"))
+    df = chunks.select("chunk_id", "chunk_type", "content").join(ids, "chunk_id").join(vectors.select("chunk_id", "embedding"), "chunk_id", "left").join(links, "chunk_id", "left")
+    return df.select("uuid", "chunk_id", "chunk_type", "content", "embedding", F.coalesce("links", F.array().cast(links.schema["links"].dataType)).alias("links"))
+
+
 def dangling_references(chunks: DataFrame) -> DataFrame:
     """References without a target."""
     return references(chunks).join(target_map(chunks), ["entity_id", "chunk_type"], "left_anti").select("src", "field", "chunk_type", "entity_id")

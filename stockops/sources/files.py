@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..functions.durable import written
+
 
 def read_json_corpus(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """A JSON array (or one object a file) with a schema of its own: nothing is inferred."""
@@ -33,6 +36,29 @@ def upsert_parquet(current: DataFrame, changes: DataFrame, keys: list[str], path
     merged.write.mode("errorifexists").parquet(path)
 
 
+def upsert_objects(objects: DataFrame, path: str, key: str = "uuid", buckets: int = 64) -> None:
+    """Insert objects into a table of buckets of their key, or replace those of an equal key.
+
+    Only buckets that receive objects are read and rewritten, and they are staged in the shared folder
+    before any is replaced. Of objects of one key in ``objects`` the last by hash stays.
+    """
+    spark = objects.sparkSession
+    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+    fresh = written(objects.withColumn("bucket", bucket), "objects")
+    last = Window.partitionBy(key).orderBy(F.xxhash64(*[fresh[c] for c in objects.columns]))
+    merged = fresh.withColumn("rn", F.row_number().over(last)).where("rn = 1").drop("rn")
+    try:
+        current = spark.read.schema(fresh.schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    else:
+        touched = current.join(F.broadcast(fresh.select("bucket").distinct()), "bucket", "left_semi")
+        merged = merged.unionByName(touched.join(fresh.select(key).distinct(), key, "left_anti"))
+    staged = written(merged, "staged")
+    staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+
 def scenarios(spark: SparkSession, rows: list[dict]) -> DataFrame:
     """Parsed scenario records (few, written by hand) as rows with a JSON column for what is expected."""
     import json

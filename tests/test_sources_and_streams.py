@@ -2,6 +2,7 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
+from stockops.operators import graph
 from stockops.sources import files
 from stockops.streaming import twins
 
@@ -70,3 +71,36 @@ def test_scenarios(spark):
     rows = [{"id": "s1", "category": "c", "difficulty": "easy", "query": "q", "expected_output": {"must_include": {"formula": True}}}, {"id": "s2"}]
     got = {r.scenario_id: r.has_expected for r in files.scenarios(spark, rows).collect()}
     assert got == {"s1": True, "s2": False}
+
+
+def test_database_is_read_in_ranges(spark):
+    """The database that comes with Spark, in memory: bounds deal rows out and drop none."""
+    url = "jdbc:derby:memory:stock;create=true"
+    rows = spark.range(100).selectExpr("id AS n", "concat('x', id) AS name")
+    rows.write.format("jdbc").option("url", url).option("dbtable", "things").option("driver", "org.apache.derby.iapi.jdbc.AutoloadedDriver").save()
+    df = files.read_database(spark, url, "things", "n", 10, 60, 4, driver="org.apache.derby.iapi.jdbc.AutoloadedDriver")
+    assert df.rdd.getNumPartitions() == 4
+    assert sorted(r.name for r in df.collect()) == sorted(f"x{i}" for i in range(100))
+
+
+def test_objects_are_inserted_and_replaced_by_key(spark, tmp_path):
+    path = f"file://{tmp_path}/objects"
+    make = lambda rows: spark.createDataFrame(rows, "uuid string, content string, links array<string>")
+    read = lambda: {r.uuid: (r.content, r.links) for r in spark.read.parquet(path).collect()}
+    files.upsert_objects(make([(f"u{i}", f"a{i}", None) for i in range(20)]), path, buckets=4)
+    files.upsert_objects(make([("u3", "b3", ["u4"]), ("new", "c", []), ("new", "c", [])]), path, buckets=4)
+    assert read() == {f"u{i}": (f"a{i}", None) for i in range(20) if i != 3} | {"u3": ("b3", ["u4"]), "new": ("c", [])}
+    before = {p.name for p in (tmp_path / "objects").glob("bucket=*/*.parquet")}
+    files.upsert_objects(make([("u3", "d3", None)]), path, buckets=4)
+    after = {p.name for p in (tmp_path / "objects").glob("bucket=*/*.parquet")}
+    assert read()["u3"] == ("d3", None) and len(read()) == 21 and before & after  # other buckets stay as they are
+
+
+def test_chunks_become_objects_with_links(spark):
+    fields = "chunk_id string, load_order long, chunk_type string, entity_id string, content string, " + ", ".join(f"{f} array<string>" for f in graph.TARGETS)
+    blank = [None] * len(graph.TARGETS)
+    field, kind = next(iter(graph.TARGETS.items()))
+    rows = [("a", 1, "text", None, "see 1.2 and 9.9", ["1.2", "9.9"], *blank[1:]), ("b", 2, kind, "1.2", "it", *blank)]
+    got = {r.chunk_id: r for r in graph.chunk_objects(spark.createDataFrame(rows, fields), spark.createDataFrame([("b", [0.5])], "chunk_id string, embedding array<double>")).collect()}
+    assert got["a"].embedding is None and got["b"].embedding == [0.5] and got["b"].links == []
+    assert [(x.field, x.target) for x in got["a"].links] == [(field, got["b"].uuid)]
