@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import sys
-import uuid
 
 import numpy as np
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.durable import durable, shared_folder, written
+
+__all__ = ["durable", "shared_folder", "written"]
+
 #: Word rule shared by several operators: everything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -22,23 +25,6 @@ def ship(module: str) -> None:
     cloudpickle.register_pickle_by_value(sys.modules[module])
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """Folder that driver and executors share: the session's ``spark.checkpoint.dir``.
-
-    Where the session names none, one is made in the warehouse, which executors share as well.
-    """
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or f"{spark.conf.get('spark.sql.warehouse.dir')}/.checkpoints")
-    return sc.getCheckpointDir()
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint that survives the loss of executors."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def if_small(df: DataFrame, row_bytes: int, max_bytes: int) -> DataFrame:
     """``df`` with a broadcast hint if its counted rows stay within the bound; else Spark shuffles it."""
     return F.broadcast(df) if df.count() * row_bytes <= max_bytes else df
@@ -100,14 +86,3 @@ def connected_components(links: DataFrame, max_rounds: int = 40) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(
         edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     )
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage with a Parquet table in the session's shared checkpoint folder.
-
-    Columns are compressed, so this suits wide intermediate tables better than a checkpoint.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
