@@ -9,7 +9,8 @@ side by side, longest first, so each step works on one contiguous block.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -25,27 +26,42 @@ BAR = "\x01"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def signs(pattern: str) -> Iterator[int | slice | None]:
+    """A glob as bytes; any byte for ``?``, none for ``*``. A backslash takes the next sign as it is."""
+    plain = False
+    for c in pattern.encode("utf-8", "surrogatepass"):
+        if not plain and c == 0x5C:
+            plain = True
+            continue
+        yield c if plain else {0x2A: None, 0x3F: slice(None)}.get(c, c)
+        plain = False
+
+
+def literal(text: str) -> str:
+    return re.sub(r"([*?\\])", r"\\\1", text)
+
+
 class Globs:
     """Shift-And masks of anchored glob patterns over bytes."""
 
     def __init__(self, patterns: Sequence[str]):
-        sizes = [1 + sum(c != "*" for c in p.encode().decode("latin-1")) for p in patterns]
-        words = max(1, -(-sum(sizes) // 64))
+        runs = [list(signs(p)) for p in patterns]
+        words = max(1, -(-sum(1 + sum(c is not None for c in run) for run in runs) // 64))
         self.words, self.finals = words, []
         step, loops, start = np.zeros((256, words), np.uint64), np.zeros(words, np.uint64), np.zeros(words, np.uint64)
         at = 0
-        for pattern in patterns:
+        for run in runs:
             bit = lambda k: (k >> 6, np.uint64(1 << (k & 63)))
             w, b = bit(at)
             start[w] |= b
-            for c in pattern.encode():
-                if c == 0x2A:
+            for c in run:
+                if c is None:
                     w, b = bit(at)
                     loops[w] |= b
                     continue
                 at += 1
                 w, b = bit(at)
-                step[slice(None) if c == 0x3F else c, w] |= b
+                step[c, w] |= b
             self.finals.append(at)
             at += 1
         self.step, self.loops, self.start = step, loops, start
@@ -90,9 +106,11 @@ def judge_urls(
     """One row for each row of ``pages``: page_id, host, path, rule, verdict.
 
     ``rules``: (verdict, host, path). A rule fits its host and all subdomains if the url's path
-    starts with the rule's path; the longest one wins. Where none fits, rule is null and the verdict
-    is block if any of ``globs`` matches host + path, else ``default``. The rule list is a parameter
-    of the call and travels in the task's closure.
+    starts with the rule's path; the longest one wins, of equally long ones the first listed. Where none
+    fits, rule is null and the verdict is block if any of ``globs`` matches host, a byte of one (``\\x01``)
+    and path, else ``default``. Rules hold no glob signs; in globs ``*`` stands for any bytes, ``?`` for one
+    and a backslash takes the next sign as it is. Rules and globs are parameters of the call and travel in
+    the task's closure.
 
     Null urls and urls without ``://`` have empty host and path, which no rule fits. Repeated rows
     each get a row; an empty table gives an empty table; other columns are ignored.
@@ -103,18 +121,16 @@ def judge_urls(
     lengths = np.array([len(x) for x in names] or [0])
 
     def batches(it):
-        table = Globs([f"*.{h}{BAR}{p}*" for _, h, p in rules] + globs)
+        # longest first, so the first bit that is set is the rule that wins
+        order = np.argsort(-lengths, kind="stable")[: len(rules)]
+        table = Globs([f"*.{literal(rules[k][1])}{BAR}{literal(rules[k][2])}*" for k in order] + globs)
         for batch in it:
             hosts, paths = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             fits = table.match([f".{h}{BAR}{p}".encode("utf-8", "surrogatepass") for h, p in zip(hosts, paths, strict=True)])
             mine, rest = fits[:, : len(rules)], fits[:, len(rules) :].any(1)
-            rule, verdict = [], []
-            for i, (h, p) in enumerate(zip(hosts, paths, strict=True)):
-                # exact check of what the automaton reports
-                hits = [k for k in np.flatnonzero(mine[i]) if f".{h}".endswith(f".{rules[k][1]}") and p.startswith(rules[k][2])]
-                best = max(hits, key=lambda k: lengths[k], default=None)
-                rule.append(None if best is None else names[best])
-                verdict.append(rules[best][0] if best is not None else "block" if rest[i] else default)
+            best = [int(order[k]) if hit else None for k, hit in zip(mine.argmax(1) if rules else [0] * len(hosts), mine.any(1), strict=True)]
+            rule = [None if k is None else names[k] for k in best]
+            verdict = [rules[k][0] if k is not None else "block" if other else default for k, other in zip(best, rest, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(rule, pa.string()), pa.array(verdict, pa.string())], ["page_id", "host", "path", "rule", "verdict"])
 
     host, path = host_and_path(F.col("url").cast("string"))
