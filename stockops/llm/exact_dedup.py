@@ -38,7 +38,7 @@ def fold(largest: bool):
         for batch in it:
             if not batch.num_rows:
                 continue
-            t = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            t = batch if held is None else pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in zip(held.columns, batch.columns, strict=True)], batch.schema.names)
             digests = np.frombuffer(b"".join(t.column(1).to_pylist()), "S32")
             new = np.ones(t.num_rows, bool)
             new[1:] = digests[1:] != digests[:-1]
