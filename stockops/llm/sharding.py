@@ -48,7 +48,7 @@ def assign_shards(docs: DataFrame, weights: Sequence[float], rows_per_bucket: in
         F.monotonically_increasing_id().alias("nr"),
     )
     rows = durable(rows)
-    buckets = max(16, -(-rows.count() // rows_per_bucket))
+    buckets = max(16, -(-rows.count() // (rows_per_bucket * len(weights))))
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("nr"), F.lit(buckets)))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     ranges = (
