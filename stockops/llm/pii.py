@@ -155,9 +155,11 @@ def personal_data(docs: DataFrame, min_support: int = 3, widen: float = 0.85, re
     none = F.array().cast(SPAN)
     if told.isEmpty():
         return found.select("doc_id", "text_hash", "base", none.alias("extra"))
-    # terms to act on by text, and their places in one copy of it
-    asked = found.where(F.size("base") > 0).groupBy("text_hash").agg(F.first("base").alias("base"))
-    acts = asked.select("text_hash", F.explode(entities_of("base")).alias("entity")).join(if_small(told, 96, max_broadcast), "entity").groupBy("text_hash", "term").agg(F.min("action").alias("action"))
+    # a text's own terms meet what was told of them; it counts if the text holds the entity
+    holders = found.where(F.size("base") > 0).groupBy("text_hash").agg(F.first("base").alias("base")).select("text_hash", F.explode(entities_of("base")).alias("entity"))
+    holders = durable(holders.join(if_small(told.select("entity").distinct(), 64, max_broadcast), "entity", "left_semi"))
+    texts = rows.join(if_small(holders.select("text_hash").distinct(), 16, max_broadcast), "text_hash", "left_semi").select("text_hash", F.explode(terms_of(F.col("text"))).alias("term"))
+    acts = texts.join(if_small(told, 96, max_broadcast), "term").distinct().join(holders, ["text_hash", "entity"], "left_semi").groupBy("text_hash", "term").agg(F.min("action").alias("action"))
     acts = durable(acts)
     wanted = if_small(acts.select("text_hash").distinct(), 16, max_broadcast)
     spots = rows.join(wanted, "text_hash", "left_semi").select("text_hash", F.explode(term_places(F.col("text"))).alias("t")).select("text_hash", "t.*").distinct()
