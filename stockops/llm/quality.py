@@ -1,9 +1,12 @@
 """Document quality by co-training of a text view and a metadata view.
 
-Each view has a logistic classifier. From labelled rows both start; in every round each view scores a
-pool of unlabelled documents and hands its most confident ones, with the labels it believes in, to the
-other view's training set. In the end each view is calibrated (Platt scaling) on labelled rows kept
-back for that, and the calibrated log-odds are combined to score every document.
+Each view has a logistic classifier. From labelled rows both start; in every round each view scores
+all unlabelled documents and hands its most confident ones, with the labels it believes in, to the other
+view's training set. In the end each view is calibrated (Platt scaling) on labelled rows kept back for
+that, and the calibrated log-odds are combined to score every document.
+
+The text is read once: both views of every row are kept as a table, and every step of a fit is one
+pass over it that adds up gradients and Hessians.
 """
 
 from __future__ import annotations
@@ -12,6 +15,7 @@ import math
 import re
 import zlib
 from collections import Counter
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,11 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, ship
-from .toxicity import logistic
+from .common import held_out, ship, written
 
 ship(__name__)
-ship("stockops.llm.toxicity")
 
 TOKEN = re.compile(r"\S+")
 N_META_HASH = 16
@@ -60,124 +62,197 @@ def content_view(text: str) -> list[float]:
     ]
 
 
-def metadata_view(lang: str | None, source: str | None, n_chars: int | None, size: int, lines: int) -> list[float]:
-    """What is known about the page: language, source, declared and stored size, layout."""
+def metadata_view(lang: str | None, source: str | None, n_chars: int | None) -> list[float]:
+    """What is known about the page without its text: language, source and declared size."""
     out = [0.0] * (2 * N_META_HASH)
     out[zlib.crc32((lang or "").encode()) % N_META_HASH] = 1.0
     out[N_META_HASH + zlib.crc32((source or "").encode()) % N_META_HASH] = 1.0
-    x = math.log1p(max(0, n_chars if n_chars is not None else size))
-    return [*out, x / 10, (x / 10) ** 2, math.log1p(size) / 10, math.log1p(lines) / 5, 1.0 if n_chars is not None and n_chars != size else 0.0, 1.0 if size < 200 else 0.0]
-
-
-def views(text, lang, source, n_chars) -> tuple[list[float], list[float]]:
-    text = text or ""
-    return content_view(text), metadata_view(lang, source, n_chars, len(text), text.count("\n") + 1)
+    x = math.log1p(max(0, n_chars or 0)) / 10
+    return [*out, x, x * x, 1.0 if n_chars is None else 0.0, 1.0 if n_chars is not None and n_chars < 200 else 0.0]
 
 
 @dataclass
 class Model:
-    """Coefficients of both views, their Platt scalings (a, b) and the weight of each view."""
+    """Coefficients of both views, their Platt scalings (a, b) and the weights of the calibrated views."""
 
-    content: np.ndarray
-    metadata: np.ndarray
-    platt: tuple[tuple[float, float], tuple[float, float]]
+    views: tuple[np.ndarray, np.ndarray]
+    platt: tuple[np.ndarray, np.ndarray]
     combine: np.ndarray
 
     def scores(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        z = np.column_stack([self.platt[k][0] + self.platt[k][1] * np.clip(w[0] + x @ w[1:], -30, 30) for k, (w, x) in enumerate(((self.content, a), (self.metadata, b)))])
+        z = calibrated(self.views, self.platt, a, b)
         return 1 / (1 + np.exp(-np.clip(self.combine[0] + z @ self.combine[1:], -30, 30)))
 
 
-def co_train(a: np.ndarray, b: np.ndarray, y: np.ndarray, pool_a: np.ndarray, pool_b: np.ndarray, rounds: int, share: float) -> Model | None:
-    """``a``, ``b``: the two views of labelled rows ``y``. None without both classes."""
-    if len(y) < 8 or y.min() == y.max():
-        return None
-    keep = np.arange(len(y)) % 5 == 4  # kept back for calibration
-    if y[~keep].min() == y[~keep].max():
-        keep[:] = False
-    sets = [[a[~keep], y[~keep]], [b[~keep], y[~keep]]]
-    pools, free = (pool_a, pool_b), np.ones(len(pool_a), bool)
-    positive = y.mean()
-    fit = lambda k: logistic(sets[k][0], sets[k][1], 0.1)
-    for _ in range(rounds):
-        models = [fit(0), fit(1)]
-        for k in (0, 1):
-            left = np.flatnonzero(free)
-            n = max(1, int(share * len(free)))
-            if len(left) < 2 * n:
-                break
-            p = models[k][0] + pools[k][left] @ models[k][1:]
-            order = np.argsort(p, kind="stable")
-            low, high = left[order[: max(1, round(n * (1 - positive)))]], left[order[::-1][: max(1, round(n * positive))]]
-            sure_low = low[p[order[: len(low)]] < -1.5]
-            sure_high = high[p[order[::-1][: len(high)]] > 1.5]
-            new = np.concatenate([sure_low, sure_high])
-            if not len(new):
-                continue
-            told = np.concatenate([np.zeros(len(sure_low)), np.ones(len(sure_high))])
-            other = 1 - k
-            sets[other] = [np.vstack([sets[other][0], pools[other][new]]), np.concatenate([sets[other][1], told])]
-            free[new] = False
-    content, metadata = fit(0), fit(1)
-    held = keep if keep.any() and y[keep].min() != y[keep].max() else np.ones(len(y), bool)
-    platt, z = [], []
-    for w, x in ((content, a[held]), (metadata, b[held])):
-        raw = np.clip(w[0] + x @ w[1:], -30, 30)
-        c = logistic(raw[:, None], y[held], 1e-2)
-        platt.append((float(c[0]), float(c[1])))
-        z.append(c[0] + c[1] * raw)
-    return Model(content, metadata, tuple(platt), logistic(np.column_stack(z), y[held], 1e-1))
-
-
-def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, max_pool: int = 20_000, rounds: int = 4, share: float = 0.05) -> Model | None:
-    """Fit on at most ``max_labelled`` labelled rows and a pool of at most ``max_pool`` others.
-
-    Both are chosen by id hash; rows whose labels are held out serve neither. Only the numbers of the
-    two views of these rows reach the driver.
+def log_odds(w: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return np.clip(w[0] + x @ w[1:], -30, 30)
+
+
+def calibrated(views: Sequence[np.ndarray], platt: Sequence[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.column_stack([c[0] + c[1] * log_odds(w, x) for w, c, x in zip(views, platt, (a, b), strict=True)])
+
+
+@dataclass
+class Round:
+    """What one round has decided: both models and, for each, the log-odds below and above which it is sure."""
+
+    views: tuple[np.ndarray, np.ndarray]
+    sure: tuple[tuple[float, float], tuple[float, float]]
+
+
+def told(rounds: Sequence[Round], a: np.ndarray, b: np.ndarray, free: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Labels that rows were told, for each view by the other one (-1: none), and rows that are still free.
+
+    They follow from the rounds so far, so no state of the pool is ever kept."""
+    labels = [np.full(len(a), -1.0), np.full(len(a), -1.0)]
+    free = free.copy()
+    for r in rounds:
+        picked = np.zeros(len(a), bool)
+        for k, x in enumerate((a, b)):
+            z = log_odds(r.views[k], x)
+            low, high = free & (z <= r.sure[k][0]), free & (z >= r.sure[k][1])
+            labels[1 - k][low], labels[1 - k][high] = 0.0, 1.0
+            picked |= low | high
+        free &= ~picked
+    return labels, free
+
+
+def arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """y (-1: not labelled, -2: held out), fold, and both views of a batch."""
+    n = batch.num_rows
+    flat = lambda c: batch.column(c).flatten().to_numpy().reshape(n, -1)
+    return batch.column("y").to_numpy(), batch.column("fold").to_numpy(), flat("a"), flat("b")
+
+
+def fitted(rows: DataFrame, designs: Callable, starts: Sequence[np.ndarray], ridge: float, steps: int) -> list[np.ndarray]:
+    """Several ridge logistic regressions by Newton's method, each step one pass over ``rows``.
+
+    ``designs(y, fold, a, b)`` gives (features, targets) for each regression. Tasks add up gradients and
+    Hessians, Spark adds up those of all tasks, and only the sums reach the driver.
     """
-    cols = ["doc_id", "text", *(c for c in ("lang", "source", "n_chars"))]
-    have = docs.select(*[F.col(c) if c in docs.columns else F.lit(None).alias(c) for c in cols])
-    ids = have.where("doc_id is not null").where(~held_out(F.col("doc_id"))).select("doc_id").distinct()
-    named = labels.where("quality in (0, 1) and doc_id is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").alias("y"))
+    ws = [np.array(w, float) for w in starts]
+    sizes = [len(w) for w in ws]
+    for _ in range(steps):
+
+        def add(it, ws=ws):
+            sums = [np.zeros(n + n * n) for n in sizes]
+            for batch in it:
+                if batch.num_rows:
+                    for total, w, (x, y) in zip(sums, ws, designs(*arrays(batch)), strict=True):
+                        x = np.column_stack([np.ones(len(x)), x])
+                        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+                        total += np.concatenate([x.T @ (y - p), ((x * (p * (1 - p))[:, None]).T @ x).ravel()])
+            yield pa.RecordBatch.from_arrays([pa.array([np.concatenate(sums)], pa.list_(pa.float64()))], ["sums"])
+
+        added = rows.mapInArrow(add, "sums array<double>").select(F.posexplode("sums").alias("at", "x")).groupBy("at").agg(F.sum("x").alias("x"))
+        found = np.zeros(sum(n + n * n for n in sizes))
+        for at, x in added.collect():
+            found[at] = x
+        ahead, moved, at = [], 0.0, 0
+        for w, n in zip(ws, sizes, strict=True):
+            penalty = np.full(n, ridge)
+            penalty[0] = 1e-4
+            g, h = found[at : at + n] - penalty * w, found[at + n : at + n + n * n].reshape(n, n) + np.diag(penalty + 1e-6)
+            step = np.linalg.solve(h, g)
+            ahead.append(w + step)
+            moved, at = max(moved, float(np.abs(step).max())), at + n + n * n
+        ws = ahead
+        if moved < 1e-6:
+            break
+    return ws
+
+
+def views(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000) -> DataFrame:
+    """Both views of every row, read once and kept as a table: doc_id, y, fold, a, b.
+
+    ``y``: the label of at most ``max_labelled`` rows, chosen by id hash; -1 without one, -2 for rows whose
+    labels are held out. Null texts count as empty; metadata that is missing counts as unknown.
+    """
+    named = labels.where("quality in (0, 1) and doc_id is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").cast("double").alias("y"))
     chosen = named.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    pool = ids.join(named, "doc_id", "left_anti").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_pool).select("doc_id", F.lit(-1).alias("y"))
-    sample = have.join(F.broadcast(chosen.union(pool)), "doc_id")
+    have = docs.select(*[(F.col(c) if c in docs.columns else F.lit(None)).cast(t).alias(c) for c, t in (("doc_id", "long"), ("text", "string"), ("lang", "string"), ("source", "string"), ("n_chars", "long"))])
+    y = F.when(held_out(F.col("doc_id")), -2.0).otherwise(F.coalesce("y", F.lit(-1.0)))
+    rows = have.join(F.broadcast(chosen), "doc_id", "left").select("doc_id", y.alias("y"), F.pmod(F.xxhash64("doc_id"), F.lit(5)).cast("int").alias("fold"), "text", "lang", "source", "n_chars")
 
     def measure(it):
         for batch in it:
-            d = batch.to_pydict()
-            both = [views(*x) for x in zip(d["text"], d["lang"], d["source"], d["n_chars"], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(d["doc_id"], pa.int64()), pa.array(d["y"], pa.int32()), pa.array([x for x, _ in both], pa.list_(pa.float64())), pa.array([x for _, x in both], pa.list_(pa.float64()))], ["doc_id", "y", "a", "b"])
-
-    cast = [F.col("doc_id").cast("long").alias("doc_id"), F.col("y").cast("int").alias("y"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("n_chars").cast("long").alias("n_chars")]
-    rows = sample.select(cast).mapInArrow(measure, "doc_id long, y int, a array<double>, b array<double>").collect()
-    rows.sort(key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0]))
-    named_rows, free_rows = [r for r in rows if r[1] >= 0], [r for r in rows if r[1] < 0]
-    if not named_rows:
+            content = [content_view(t.as_py() or "") for t in batch.column(3)]
+            metadata = [metadata_view(*x) for x in zip(*(batch.column(k).to_pylist() for k in (4, 5, 6)), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(content, pa.list_(pa.float64())), pa.array(metadata, pa.list_(pa.float64()))], ["doc_id", "y", "fold", "a", "b"])
+
+    return written(rows.mapInArrow(measure, "doc_id long, y double, fold int, a array<double>, b array<double>"), "views")
+
+
+def learn(rows: DataFrame, rounds: int = 4, share: float = 0.05, sure: float = 1.5, steps: int = 12) -> Model | None:
+    """Co-train on the rows of ``views``: all rows that are neither labelled nor held out are the pool.
+
+    In every round each view hands its most confident ``share`` of the free pool to the other one, if its
+    log-odds are at least ``sure`` away from those of the labels, so that a view that knows nothing tells
+    nothing. A fifth of the labelled rows calibrates. Only sums and quantiles reach the driver. None
+    without labels of both kinds.
+    """
+    counts = {(r.back, int(r.y)): r["count"] for r in rows.where("y >= 0").groupBy((F.col("fold") == 4).alias("back"), "y").count().collect()}
+    n = lambda y, back=(False, True): sum(counts.get((b, y), 0) for b in back)
+    if not n(0) or not n(1) or n(0) + n(1) < 8:
         return None
-    a, b, y = np.array([r[2] for r in named_rows]), np.array([r[3] for r in named_rows]), np.array([r[1] for r in named_rows], float)
-    pa_, pb_ = np.array([r[2] for r in free_rows]).reshape(-1, a.shape[1]), np.array([r[3] for r in free_rows]).reshape(-1, b.shape[1])
-    return co_train(a, b, y, pa_, pb_, rounds, share)
+    apart = all(counts.get((b, y)) for b in (False, True) for y in (0, 1))  # else all labelled rows fit and calibrate
+    positive = n(1) / (n(0) + n(1))
+    width = rows.select(F.size("a"), F.size("b")).head()
+    ws, done = [np.zeros(width[0] + 1), np.zeros(width[1] + 1)], []
 
+    def designs(done):
+        def of(y, fold, a, b):
+            own = (y >= 0) & ((fold < 4) | (not apart))
+            labels, _ = told(done, a, b, y == -1)
+            out = []
+            for k, x in enumerate((a, b)):
+                use = own | (labels[k] >= 0)
+                out.append((x[use], np.where(own, y, labels[k])[use]))
+            return out
 
-def score(docs: DataFrame, model: Model | None, threshold: float = 0.5) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, held_out, score (1: good), predicted, kept.
+        return of
 
-    Without a model (no labels of both kinds) every score is 0.5. Null texts count as empty; missing
-    metadata counts as unknown. Repeated rows each get a row; empty tables give empty tables.
+    ws = fitted(rows, designs([]), ws, 0.1, steps)
+    for _ in range(rounds):
+
+        def free_odds(it, ws=tuple(ws), done=tuple(done)):
+            for batch in it:
+                if batch.num_rows:
+                    y, _, a, b = arrays(batch)
+                    _, free = told(done, a, b, y == -1)
+                    yield pa.RecordBatch.from_arrays([pa.array(log_odds(ws[0], a[free])), pa.array(log_odds(ws[1], b[free]))], ["a", "b"])
+
+        odds = rows.mapInArrow(free_odds, "a double, b double")
+        limits = odds.approxQuantile(["a", "b"], [share * (1 - positive), 1 - share * positive], 0.001)
+        if not all(limits):
+            break
+        prior = math.log(positive / (1 - positive))
+        done.append(Round(tuple(ws), tuple((min(low, prior - sure), max(high, prior + sure)) for low, high in limits)))
+        ws = fitted(rows, designs(list(done)), ws, 0.1, 3)
+
+    def back(y, fold):
+        return (y >= 0) & ((fold == 4) | (not apart))
+
+    both = tuple(ws)
+    platt = fitted(rows, lambda y, fold, a, b: [(log_odds(w, x)[back(y, fold), None], y[back(y, fold)]) for w, x in zip(both, (a, b), strict=True)], [np.zeros(2), np.zeros(2)], 1e-2, steps)
+    scales = tuple(platt)
+    (combine,) = fitted(rows, lambda y, fold, a, b: [(calibrated(both, scales, a, b)[back(y, fold)], y[back(y, fold)])], [np.zeros(3)], 1e-1, steps)
+    return Model(both, scales, combine)
+
+
+def score(rows: DataFrame, model: Model | None, threshold: float = 0.5) -> DataFrame:
+    """One row for each row of ``views``: doc_id, held_out, score (1: good), predicted, kept.
+
+    Without a model (no labels of both kinds) every score is 0.5. Repeated rows each get a row; an empty
+    table gives an empty table.
     """
-    have = docs.select(*[(F.col(c) if c in docs.columns else F.lit(None)).cast(t).alias(c) for c, t in (("doc_id", "long"), ("text", "string"), ("lang", "string"), ("source", "string"), ("n_chars", "long"))])
 
     def batches(it):
         for batch in it:
-            n = batch.num_rows
-            if model is None or not n:
-                p = np.full(n, 0.5)
-            else:
-                both = [views(t.as_py(), lang.as_py(), s.as_py(), c.as_py()) for t, lang, s, c in zip(*(batch.column(k) for k in range(1, 5)), strict=True)]
-                p = model.scores(np.array([x for x, _ in both]), np.array([x for _, x in both]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p)], ["doc_id", "score"])
-
-    out = have.mapInArrow(batches, "doc_id long, score double")
+            if batch.num_rows:
+                _, _, a, b = arrays(batch)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(len(a), 0.5) if model is None else model.scores(a, b))], ["doc_id", "score"])
+
+    out = rows.mapInArrow(batches, "doc_id long, score double")
     good = F.col("score") >= threshold
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", F.when(good, 1).otherwise(0).alias("predicted"), good.alias("kept"))

@@ -63,8 +63,8 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
-    return quality.score(docs, quality.learn(docs, read_table(spark, sf_dir, "labels")))
+    rows = quality.views(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    return quality.score(rows, quality.learn(rows))
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -261,6 +261,24 @@ def test_url_rules(spark):
     assert url_filter.judge_urls(pages.where("false"), RULES).isEmpty()
 
 
+def test_hundreds_of_url_rules_ties_and_literal_signs(spark):
+    rng = random.Random(41)
+    label = lambda: "".join(rng.choice("ab") for _ in range(rng.randrange(1, 4)))
+    rules = [(rng.choice(["allow", "block"]), ".".join(label() for _ in range(rng.randrange(1, 3))), "/" + "/".join(label() for _ in range(rng.randrange(0, 3)))) for _ in range(300)]
+    rules += [("block", "a", "/*"), ("allow", "b", "/\\x")]
+    urls = [f"http://{'.'.join(label() for _ in range(rng.randrange(1, 4)))}/{'/'.join(label() for _ in range(rng.randrange(0, 4)))}" for _ in range(400)] + ["http://a/*", "http://a/zz", "http://b/\\x", "http://b/x"]
+    globs = [f"*{label()}{label()}?{label()}*" for _ in range(200)]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)] + [(None, urls[0]), (0, urls[0])], "page_id long, url string")
+    got = {(r.page_id, r.url): (r.rule, r.verdict) for r in url_filter.judge_urls(pages, rules, globs).selectExpr("page_id", "concat('http://', host, path) AS url", "rule", "verdict").collect()}
+    for i, u in enumerate(urls):
+        host, _, path = u[7:].partition("/")
+        path = "/" + path
+        fit = [(-len(a + p), k, a + p, v) for k, (v, a, p) in enumerate(rules) if f".{host}".endswith(f".{a}") and path.startswith(p)]
+        want = min(fit)[2:] if fit else (None, "block" if any(glob_matches(g, f".{host}\x01{path}".encode()) for g in globs) else "allow")
+        assert got[i, u] == want, u
+    assert (None, urls[0]) in got
+
+
 def glob_matches(p, t):
     """Set of matched prefixes, one pattern sign at a time."""
     at = {0}
@@ -473,14 +491,42 @@ def test_quality(spark, empty):
             labels.append((i, int(good)))
     d = h.documents(spark, rows)
     lab = spark.createDataFrame(labels, "doc_id long, quality int")
-    model = quality.learn(d, lab)
-    got = quality.score(d, model).collect()
+    rows_ = quality.views(d, lab)
+    model = quality.learn(rows_)
+    got = quality.score(rows_, model).collect()
     held = [r for r in got if r.held_out]
     assert len(got) == 500 and len(held) > 80 and sum((r.predicted == 1) == (r.doc_id % 4 != 0) for r in held) / len(held) > 0.97
-    odd = h.documents(spark, [(1, None, None), (2, "", "s1"), (None, "x " * 50_000, "s1")])
-    assert all(0 <= r.score <= 1 for r in quality.score(odd.drop("n_chars"), model).collect())
-    assert quality.score(empty, model).isEmpty()
-    assert {r.score for r in quality.score(d, quality.learn(d, lab.where("quality = 1"))).collect()} == {0.5}
+    odd = h.documents(spark, [(1, None, None), (2, "", "s1"), (None, "x " * 50_000, "s1"), (1, "again", "s2")]).withColumns({"y": F.lit("x"), "fold": F.lit("y"), "a": F.lit("z")})
+    scores = quality.score(quality.views(odd.drop("n_chars"), lab), model).collect()
+    assert len(scores) == 4 and all(0 <= r.score <= 1 for r in scores)
+    assert quality.score(quality.views(empty, lab), model).isEmpty() and quality.learn(quality.views(empty, lab)) is None
+    good = quality.views(d, lab.where("quality = 1"))
+    assert {r.score for r in quality.score(good, quality.learn(good)).collect()} == {0.5}
+
+
+def test_quality_fits_equal_fits_on_one_machine(spark):
+    """Sums over tasks give the coefficients that one pass over all rows in memory gives."""
+    rng = np.random.default_rng(5)
+    a, b = rng.normal(size=(300, 3)), rng.normal(size=(300, 2))
+    y = (a[:, 0] + b[:, 1] + rng.normal(size=300) > 0).astype(float)
+    rows = spark.createDataFrame([(i, float(y[i]), i % 5, a[i].tolist(), b[i].tolist()) for i in range(300)], "doc_id long, y double, fold int, a array<double>, b array<double>").repartition(7)
+    got = quality.fitted(rows, lambda y, fold, a, b: [(a, y), (b, y)], [np.zeros(4), np.zeros(3)], 0.1, 30)
+    for w, x in zip(got, (a, b), strict=True):
+        x1 = np.column_stack([np.ones(300), x])
+        slope = x1.T @ (y - 1 / (1 + np.exp(-(x1 @ w)))) - np.append(1e-4, np.full(x.shape[1], 0.1)) * w
+        assert np.abs(slope).max() < 1e-4
+
+
+def test_co_training_tells_the_other_view():
+    """Rows a view is sure of are told to the other one, once, by the round that met them first."""
+    z = np.array([[-3.0], [-1.0], [0.0], [4.0], [9.0]])
+    first = quality.Round((np.array([0.0, 1.0]), np.array([0.0, 1.0])), ((-2.0, 5.0), (-30.0, 30.5)))
+    then = quality.Round((np.array([0.0, 1.0]), np.array([0.0, 1.0])), ((-30.0, 30.5), (-0.5, 3.0)))
+    free = np.array([True, True, True, True, True])
+    labels, left = quality.told([first, then], z, z, free)
+    assert labels[1].tolist() == [0, -1, -1, -1, 1] and labels[0].tolist() == [-1, 0, -1, 1, -1] and left.tolist() == [False, False, True, False, False]
+    labels, left = quality.told([first], z, z, np.zeros(5, bool))
+    assert not left.any() and all((x == -1).all() for x in labels)
 
 
 def test_repeated_passages(spark, empty):
