@@ -87,7 +87,12 @@ def c8(t):
     return c.match_table_captions(t.blocks).select("doc_id", "caption_id", "table_id")
 
 
-@query("c9_clean_html", [])
+# what ends in > is (the rest of) a tag; names that stay are marked, as this engine cannot look ahead
+@query("c9_clean_html", [], r"""
+, rn AS (SELECT page_id, regexp_extract_all(html, '(?s)[^<>]*[<>]|[^<>]+') AS runs FROM pages),
+cl AS (SELECT page_id, array_to_string(list_transform(runs, lambda x: CASE WHEN ends_with(x, '>') THEN replace(regexp_replace(regexp_replace(x, '(?i)(\s)((?:colspan|rowspan|href)\s*=)', '\1' || chr(2) || '\2', 'g'),
+  '(?i)\s+[a-z_:][-\w:.]*(?:\s*=\s*(?:"[^"]*"|''[^'']*''|[^\s"''>]+))?', '', 'g'), chr(2), '') ELSE x END), '') AS body FROM rn)
+SELECT page_id, md5(body) AS clean_md5, length(body) AS n_clean FROM cl""")
 def c9(t):
     return t.pages.select("page_id", F.md5(c.clean_html(F.col("html"))).alias("clean_md5"), F.length(c.clean_html(F.col("html"))).alias("n_clean"))
 
