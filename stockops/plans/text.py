@@ -36,7 +36,16 @@ def c2(t):
     return c.extract_references(t.blocks, "block_content").select("doc_id", "block_id", joined("referenced_examples"), joined("referenced_formulas"))
 
 
-@query("c3_chunk_text", ["blocks"])
+@query("c3_chunk_text", ["blocks"], r"""
+, bk AS (SELECT *, regexp_replace(block_content, '^\s+|\s+$', '', 'g') AS content, regexp_extract(block_content, '(?i)^\s*(exercise|example|algorithm)\s+([A-Z]?\d+\.\d+)', 1) AS named, regexp_extract(block_content, '(?i)^\s*(exercise|example|algorithm)\s+([A-Z]?\d+\.\d+)', 2) AS number FROM blocks
+  WHERE block_label NOT IN ('header', 'footer', 'number', 'footnote', 'header_image', 'footer_image', 'aside_text')),
+ty AS (SELECT *, starts_with(content, '#') AS heading, CASE WHEN starts_with(content, '#') THEN 'text' WHEN named <> '' THEN lower(named) WHEN block_label IN ('formula', 'table') THEN 'numbered_' || block_label ELSE 'text' END AS kind,
+  CASE WHEN NOT starts_with(content, '#') AND named <> '' THEN upper(number) END AS entity, row_number() OVER (PARTITION BY doc_id ORDER BY page_num, block_bbox[2], block_bbox[1], block_id) AS i FROM bk WHERE content <> ''),
+ck AS (SELECT doc_id, i, 0 AS seq, kind AS chunk_type, entity AS entity_id, length(content) AS n_chars, 1 AS n_blocks FROM ty WHERE i = 1
+  UNION ALL SELECT doc_id, i, seq + apart::INT, CASE WHEN apart THEN kind ELSE chunk_type END, CASE WHEN apart THEN entity ELSE entity_id END, CASE WHEN apart THEN size ELSE n_chars + 1 + size END, CASE WHEN apart THEN 1 ELSE n_blocks + 1 END
+  FROM (SELECT t.doc_id, t.i, t.kind, t.entity, length(t.content) AS size, ck.seq, ck.chunk_type, ck.entity_id, ck.n_chars, ck.n_blocks,
+    t.heading OR t.entity IS NOT NULL OR (t.kind <> ck.chunk_type AND ck.entity_id IS NULL) OR starts_with(t.kind, 'numbered') OR ck.n_chars + length(t.content) > 1000 AS apart FROM ck JOIN ty t ON t.doc_id = ck.doc_id AND t.i = ck.i + 1))
+SELECT doc_id, seq, chunk_type, entity_id, CAST(max(n_chars) AS INT) AS n_chars, CAST(max(n_blocks) AS INT) AS n_blocks FROM ck GROUP BY doc_id, seq, chunk_type, entity_id""")
 def c3(t):
     df = c.chunk_text(t.blocks)
     return df.select("doc_id", "seq", "chunk_type", "entity_id", F.length("content").alias("n_chars"), F.size("block_ids").alias("n_blocks"))
