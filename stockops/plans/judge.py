@@ -199,8 +199,8 @@ def streamed(t, twin, keys):
         "event_id", "CAST(ts AS TIMESTAMP) AS observed_at", "concat('D', user_id) AS device_id", "concat('P', event_id % 200) AS product_id", "concat('N', event_id % 25) AS location_id",
         "CASE WHEN event_type = 'error' THEN NULL ELSE value END AS observed_qty", "CAST(get_json_object(props, '$.k') AS INT) / CAST(100 AS DOUBLE) AS confidence", "event_type = 'error' AS is_missing",
     )
-    # files of one table come in any order: rows may be as late as the table is long
-    return twins.run_to_table(twin(obs, "3650 days"), keys, f"{shared_folder(spark)}/{twin.__name__}-{uuid.uuid4().hex}")
+    # files of one table come in any order: rows may be as late as its month of events is long
+    return twins.run_to_table(twin(obs, "40 days"), keys, f"{shared_folder(spark)}/{twin.__name__}-{uuid.uuid4().hex}")
 
 
 @query("x1_stream_latest_snapshot", [], """
