@@ -170,7 +170,7 @@ def matches(numbers: list[np.ndarray], block: TestBlock) -> Iterator[tuple[int,
         yield int(d), int(block.owner[w]), int(block.place[w]), start, start + int(n)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_block_words: int = 2_000_000, shard_words: int = 4_000_000) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_block_words: int = 2_000_000, shard_words: int = 500_000) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_words, n_hit, items, spans.
 
     ``spans``: longest verbatim matches of at least ``window`` words (or a whole shorter item):
@@ -227,7 +227,7 @@ def covered(spans: str):
     return F.aggregate(ends, zero, step, lambda acc: acc["n"])
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_block_words: int = 2_000_000, shard_words: int = 4_000_000) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_block_words: int = 2_000_000, shard_words: int = 500_000) -> DataFrame:
     """``docs`` without the rows that hold a test passage, judged one by one while they are read; nothing
     is shuffled. Between several blocks of the test set what is left is written down.
 
