@@ -56,20 +56,25 @@ def similar_forest(ids: np.ndarray, sets: list[np.ndarray], threshold: float) ->
 
 
 def sorted_groups(it: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Groups, as tables, of batches that are sorted by their first two columns."""
+    """Groups of two rows or more, as tables, of batches that are sorted by their first two columns."""
     held: list[pa.RecordBatch] = []
+    key = None
     for batch in it:
         if not batch.num_rows:
             continue
         a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        cuts = [0, *(np.flatnonzero((a[1:] != a[:-1]) | (b[1:] != b[:-1])) + 1), batch.num_rows]
-        for s, e in zip(cuts, cuts[1:], strict=False):
-            part = batch.slice(s, e - s)
-            if held and (held[-1].column(0)[0], held[-1].column(1)[0]) != (part.column(0)[0], part.column(1)[0]):
-                yield pa.Table.from_batches(held)
+        cuts = np.concatenate([[0], np.flatnonzero((a[1:] != a[:-1]) | (b[1:] != b[:-1])) + 1, [batch.num_rows]])
+        several = cuts[1:] - cuts[:-1] > 1
+        several[[0, -1]] = True  # the first and the last group may go on in other batches
+        for k in np.flatnonzero(several):
+            start, end = int(cuts[k]), int(cuts[k + 1])
+            if held and key != (a[start], b[start]):
+                if len(held) > 1 or held[0].num_rows > 1:
+                    yield pa.Table.from_batches(held)
                 held = []
-            held.append(part)
-    if held:
+            key = (a[start], b[start])
+            held.append(batch.slice(start, end - start))
+    if len(held) > 1 or (held and held[0].num_rows > 1):
         yield pa.Table.from_batches(held)
 
 
@@ -81,10 +86,17 @@ def compare_sets(threshold: float) -> Callable:
 def block_links(rows: DataFrame, compare: Callable) -> DataFrame:
     """(grp, cell, id, payload) -> (src, dst) spanning links that ``compare`` finds in each (grp, cell)."""
 
+    def out(found):
+        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["src", "dst"])
+
     def link(it):
+        found = []
         for group in sorted_groups(it):
-            found = compare(group["id"].to_numpy(), group["payload"]) if group.num_rows > 1 else []
-            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["src", "dst"])
+            found += compare(group["id"].to_numpy(), group["payload"])
+            if len(found) > 10_000:
+                yield out(found)
+                found = []
+        yield out(found)
 
     return rows.select("grp", "cell", "id", "payload").repartition("grp", "cell").sortWithinPartitions("grp", "cell", "id").mapInArrow(link, "src long, dst long")
 
