@@ -130,14 +130,17 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: int = 3, see
 
 def mixed_documents(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: int = 3, seed: int = 42, rows_per_shard: int = 2_000, max_block: int = 2048, group: int = 1024) -> DataFrame:
     """The documents of the mix, each as often as it is taken as a whole: a document that a run cuts
-    counts if half of it or more lies inside.
+    counts if half of it or more lies inside, at one end of the run or at both together.
 
     A run takes its shard's documents from one seeded place to another, so texts meet a few numbers for
     each shard and not for each document; they are shuffled only if those numbers are not small. Null and
     empty texts are never taken; row rules are those of ``mix``; an empty table stays empty.
     """
     rows, sources = plan(docs, weights, cap, seed, rows_per_shard, max_block, group)
-    tail, head = ((x > 0) & (2 * x >= F.col("size")) for x in overlaps())
+    tail, head = overlaps()
+    most = 2 * (tail + head) >= F.col("size")
+    # a row at both ends of its run belongs to the end that begins in it
+    tail, head = most & (tail > 0), most & (tail == 0) & (head > 0)
     runs = rows.where("length > 0").groupBy("source", "shard").agg(
         F.max("passes").alias("passes"), F.min(F.when(tail, F.col("at"))).alias("low"), F.max(F.when(tail, F.col("at"))).alias("high"), F.max(F.when(head, F.col("at"))).alias("top")
     )

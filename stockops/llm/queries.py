@@ -100,7 +100,7 @@ ORACLES: dict[str, str] = {
         fit AS (SELECT u.page_id, arg_max(rhost || rpath, length(rhost || rpath)) AS rule, arg_max(verdict, length(rhost || rpath)) AS verdict
                 FROM u JOIN rules ON ('.' || host) LIKE ('%.' || rhost) AND starts_with(path, rpath) GROUP BY u.page_id)
         SELECT u.page_id, u.host, u.path, fit.rule,
-               coalesce(fit.verdict, CASE WHEN regexp_matches('.' || host || chr(1) || path, 'casino|pills|free-bets|ads-track|[.]xxx\\x01') THEN 'block' ELSE 'allow' END) AS verdict
+               coalesce(fit.verdict, CASE WHEN regexp_matches('.' || host, 'casino|pills|free-bets|ads-track|[.]xxx$') OR regexp_matches(path, 'casino|pills|free-bets|ads-track') THEN 'block' ELSE 'allow' END) AS verdict
         FROM u LEFT JOIN fit USING (page_id)""",
     "op5_decontaminate": """
         WITH w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS words FROM documents),

@@ -21,24 +21,29 @@ from .common import ship
 
 ship(__name__)
 
-#: Stands between host and path in the canonical URL; hosts and paths keep their own bytes.
-BAR = "\x01"
+#: Stands between host and path in globs; in the canonical URL a byte that UTF-8 never uses, so no path can forge a host.
+BAR, CUT = "\x01", b"\xff"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def signs(pattern: str) -> Iterator[int | slice | None]:
-    """A glob as bytes; any byte for ``?``, none for ``*``. A backslash takes the next sign as it is."""
+    """A glob as bytes; any byte for ``?``, none for ``*``, the cut for a byte of one. A backslash takes the
+    next sign as it is."""
     plain = False
-    for c in pattern.encode("utf-8", "surrogatepass"):
+    for c in encoded(pattern):
         if not plain and c == 0x5C:
             plain = True
             continue
-        yield c if plain else {0x2A: None, 0x3F: slice(None)}.get(c, c)
+        yield c if plain else {0x2A: None, 0x3F: slice(0, 0xFF), ord(BAR): ord(CUT)}.get(c, c)
         plain = False
 
 
+def encoded(text: str) -> bytes:
+    return text.encode("utf-8", "surrogatepass")
+
+
 def literal(text: str) -> str:
-    return re.sub(r"([*?\\])", r"\\\1", text)
+    return re.sub(r"([*?\\\x01])", r"\\\1", text)
 
 
 class Globs:
@@ -107,9 +112,10 @@ def judge_urls(
 
     ``rules``: (verdict, host, path). A rule fits its host and all subdomains if the url's path
     starts with the rule's path; the longest one wins, of equally long ones the first listed. Where none
-    fits, rule is null and the verdict is block if any of ``globs`` matches host, a byte of one (``\\x01``)
-    and path, else ``default``. Rules hold no glob signs; in globs ``*`` stands for any bytes, ``?`` for one
-    and a backslash takes the next sign as it is. Rules and globs are parameters of the call and travel in
+    fits, rule is null and the verdict is block if any of ``globs`` matches a dot, the host, the cut and the
+    path, else ``default``. Rules hold no glob signs; in globs ``*`` stands for any bytes, ``?`` for one of host
+    or path, a byte of one (``\\x01``) for the cut, and a backslash takes the next sign as it is. A byte of one
+    in a path is a byte like any other. Rules and globs are parameters of the call and travel in
     the task's closure.
 
     Null urls and urls without ``://`` have empty host and path, which no rule fits. Repeated rows
@@ -126,7 +132,7 @@ def judge_urls(
         table = Globs([f"*.{literal(rules[k][1])}{BAR}{literal(rules[k][2])}*" for k in order] + globs)
         for batch in it:
             hosts, paths = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            fits = table.match([f".{h}{BAR}{p}".encode("utf-8", "surrogatepass") for h, p in zip(hosts, paths, strict=True)])
+            fits = table.match([b"." + encoded(h) + CUT + encoded(p) for h, p in zip(hosts, paths, strict=True)])
             mine, rest = fits[:, : len(rules)], fits[:, len(rules) :].any(1)
             best = [int(order[k]) if hit else None for k, hit in zip(mine.argmax(1) if rules else [0] * len(hosts), mine.any(1), strict=True)]
             rule = [None if k is None else names[k] for k in best]

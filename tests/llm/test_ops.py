@@ -299,6 +299,20 @@ def test_globs_equal_plain_matching():
         assert [glob_matches(p, t) for t in texts] == list(got[:, k]), p
 
 
+def test_paths_cannot_forge_hosts(spark):
+    rng = random.Random(8)
+    signs = ["\x01", "\x00", "\x02", "\x7f", ".", "/", "x", "com", "é", "ÿ", "*", "?", "\\", "example.com", "/en/"]
+    urls = ["http://evil.org/x.example.com\x01/en/a", "http://evil.org/x.com\x01/", "http://a.xxx/b", "http://evil.org/a.xxx\x01b", "http://x\x01y.com/z"]
+    urls += ["http://" + "".join(rng.choice(signs) for _ in range(rng.randrange(1, 9))) for _ in range(500)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rows = url_filter.judge_urls(pages, RULES, ["*.xxx\x01*", "*\x02\x01?*", "*\\\x01x*"]).collect()
+    assert len(rows) == len(urls)
+    for r in rows:
+        fit = [(len(a + p), a + p, v) for v, a, p in RULES if f".{r.host}".endswith(f".{a}") and r.path.startswith(p)]
+        bad = r.host.endswith(".xxx") or r.host == "xxx" or (r.host.endswith("\x02") and r.path) or "\x01x" in r.host or "\x01x" in r.path
+        assert (r.rule, r.verdict) == (max(fit)[1:] if fit else (None, "block" if bad else "allow")), urls[r.page_id]
+
+
 def test_decontamination(spark, docs, empty):
     rng = random.Random(11)
     items = [(i, prose(rng.randrange(1, 30), rng)) for i in range(12)] + [(50, "Tiny item"), (51, None), (52, ""), (12, prose(12, rng)), (12, prose(12, rng)), (60, "aa " * 25)]
@@ -662,6 +676,28 @@ def test_mixed_documents_are_what_is_taken(spark, docs):
         assert sum(abs(taken[i] - copies[i]) for i in taken) < 40
 
 
+def test_mixed_documents_of_long_rows(spark):
+    """A long row may stand at both ends of its run: it is judged by what both take of it."""
+    for n in range(2):
+        rows = [(n * 100 + i, "w " * (30_000 if i == 0 else 400), "a") for i in range(5)] + [(n * 100 + 50, "v " * 2_000, "b")]
+        d = h.documents(spark, rows)
+        taken = {r.doc_id: r.taken / r.size for r in mixing.mix(d, weights=(1, 1), seed=n).collect()}
+        copies = defaultdict(int)
+        for r in mixing.mixed_documents(d, weights=(1, 1), seed=n).collect():
+            copies[r.doc_id] += 1
+        assert all(abs(taken[i] - copies[i]) <= 0.5 for i in taken), (taken, copies)
+
+
+def test_mixed_words_of_small_documents_meet_the_targets(spark):
+    rng = random.Random(31)
+    d = h.documents(spark, [(i, prose(rng.randrange(5, 15), rng), "abc"[min(2, i % 7)]) for i in range(6_000)])
+    want = {r.source: r.taken for r in d.join(mixing.mix(d), "doc_id").groupBy("source").agg(F.sum("taken").alias("taken")).collect()}
+    got = defaultdict(int)
+    for r in mixing.mixed_documents(d).select("source", "text").collect():
+        got[r.source] += len(h.words(r.text))
+    assert all(abs(got[s] - want[s]) <= 0.01 * want[s] for s in want)
+
+
 def test_mixing(docs, empty):
     got = mixing.mix(docs).collect()
     size = {}
