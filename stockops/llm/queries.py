@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, mixing, paragraphs, pii, quality, sharding, simhash, toxicity, url_filter
+from . import conversation_trie, decontaminate, exact_dedup, mixing, paragraphs, pii, quality, sharding, simhash, toxicity, url_filter
 from .common import held_out, read_table
 
 #: Rules and wildcard patterns of the registered URL query.
@@ -76,13 +76,41 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.conversation_nodes(read_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash, op2_exact_dedup, op3_toxicity, op4_url_filter, op5_decontaminate, op6_sharding, op7_pii, op8_quality, op9_substring_dedup, op10_mixing)
+    f.__name__: f for f in (op1_simhash, op2_exact_dedup, op3_toxicity, op4_url_filter, op5_decontaminate, op6_sharding, op7_pii, op8_quality, op9_substring_dedup, op10_mixing, op11_conversation_trie)
 }
 
+#: CRC-32 of a decimal id in SQL: bytes after the start value, eight steps for each byte.
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda d: ascii(d)::BIGINT)),
+          lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda x, _: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295)"""
+
 _RULES = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in URL_RULES)
 
 ORACLES: dict[str, str] = {
+    "op11_conversation_trie": f"""
+        WITH o AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, {_CRC} % 6 AS h,
+                          row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS pos
+                   FROM conversations WHERE conv_id IS NOT NULL),
+        convs AS (SELECT DISTINCT conv_id, conv_id - conv_id % 100 AS base, h FROM o),
+        parts AS (SELECT c.conv_id, 0 AS part, pos AS place, role, text FROM convs c JOIN o ON o.conv_id = base AND pos <= c.h
+                  UNION ALL SELECT conv_id, 1, pos, role, text FROM o WHERE pos > h),
+        r AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY part, place) AS depth, sha256(role || chr(0) || text) AS turn, length(text) AS n FROM parts),
+        p AS (SELECT conv_id, depth, n, sha256(string_agg(turn, '') OVER (PARTITION BY conv_id ORDER BY depth)) AS prefix FROM r
+              UNION ALL SELECT conv_id, 0, 0, '' FROM convs),
+        last AS (SELECT conv_id, max(depth) AS depth FROM p GROUP BY conv_id),
+        node AS (SELECT depth, prefix, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(n) AS saved FROM p GROUP BY depth, prefix),
+        m AS (SELECT p.conv_id AS member, node.* FROM p JOIN node USING (depth, prefix)),
+        tree AS (SELECT node.conv_id, node.depth, node.n_convs, node.saved, node.prefix, up.conv_id AS parent_conv_id FROM node LEFT JOIN m up ON up.member = node.conv_id AND up.depth = node.depth - 1),
+        kids AS (SELECT depth - 1 AS depth, parent_conv_id AS conv_id, count(*) AS n_children FROM tree WHERE depth > 0 GROUP BY ALL),
+        sums AS (SELECT up.depth, up.conv_id, sum(t.saved) AS saved_tokens, count(*) FILTER (WHERE k.n_children IS NULL) AS n_leaves
+                 FROM tree t LEFT JOIN kids k USING (depth, conv_id) JOIN m up ON up.member = t.conv_id AND up.depth <= t.depth GROUP BY up.depth, up.conv_id),
+        ends AS (SELECT depth, prefix, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids FROM p JOIN last USING (conv_id, depth) GROUP BY depth, prefix)
+        SELECT t.conv_id, t.depth, t.parent_conv_id, t.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+        FROM tree t LEFT JOIN kids USING (depth, conv_id) JOIN sums USING (depth, conv_id) LEFT JOIN ends ON ends.depth = t.depth AND ends.prefix = t.prefix""",
     "op2_exact_dedup": """
         SELECT doc_id,
                max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,
