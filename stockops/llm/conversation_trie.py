@@ -47,7 +47,7 @@ def numbered(conversations: DataFrame, block: int = BLOCK) -> DataFrame:
 def rebuilt(turns: DataFrame, family: int = 100, heads: int = 6) -> tuple[DataFrame, DataFrame]:
     """Conversations that share beginnings: (turns, conversations) of the same form.
 
-    Conversation c begins with the first h turns of c - c % family, h being crc32(c) % heads, and goes on
+    Conversation c begins with the first h turns of c - c % family (towards zero), h being crc32(c) % heads, and goes on
     with its own turns after its first h. A beginning that is absent or shorter gives what it has.
     """
     base = F.col("conv_id") - F.col("conv_id") % family

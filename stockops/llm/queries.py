@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversation_trie, decontaminate, exact_dedup, mixing, paragraphs, pii, quality, sharding, simhash, toxicity, url_filter
+from . import clustering, conversation_trie, decontaminate, exact_dedup, mixing, paragraphs, pii, quality, sharding, simhash, toxicity, url_filter
 from .common import held_out, read_table
 
 #: Rules and wildcard patterns of the registered URL query.
@@ -80,8 +80,12 @@ def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie.conversation_nodes(read_table(spark, sf_dir, "conversations"))
 
 
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.with_inertia(*clustering.cluster(read_table(spark, sf_dir, "embeddings")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash, op2_exact_dedup, op3_toxicity, op4_url_filter, op5_decontaminate, op6_sharding, op7_pii, op8_quality, op9_substring_dedup, op10_mixing, op11_conversation_trie)
+    f.__name__: f for f in (op1_simhash, op2_exact_dedup, op3_toxicity, op4_url_filter, op5_decontaminate, op6_sharding, op7_pii, op8_quality, op9_substring_dedup, op10_mixing, op11_conversation_trie, op13_centroids)
 }
 
 #: CRC-32 of a decimal id in SQL: bytes after the start value, eight steps for each byte.
@@ -90,7 +94,32 @@ _CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string
 
 _RULES = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in URL_RULES)
 
+
+
+def _lloyd(rounds: int = 5, k: int = 40) -> str:
+    """SQL of the registered clustering: one pair of tables a round."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""
+        d{r} AS (SELECT x.rid, c.c, sum((x.x - c.x) * (x.x - c.x)) AS d FROM x JOIN c{r} c USING (i) GROUP BY x.rid, c.c),
+        a{r} AS (SELECT rid, c, d FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY d, c) AS rn FROM d{r}) WHERE rn = 1)""")
+        if r < rounds:
+            steps.append(f"""
+        m{r} AS (SELECT a.c, x.i, sum(x.x) AS s, count(*) AS n FROM a{r} a JOIN x USING (rid) GROUP BY a.c, x.i),
+        c{r + 1} AS (SELECT c, i, coalesce(CAST((m.s - ((m.s % m.n) + m.n) % m.n) // m.n AS BIGINT), c{r}.x) AS x FROM c{r} LEFT JOIN m{r} m USING (c, i))""")
+    return f"""
+        WITH v AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda e: CAST(floor(256 * CAST(e AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+                   WHERE len(embedding) = 64 AND list_bool_and(list_transform(embedding, lambda e: e IS NOT NULL AND isfinite(e)))),
+        x AS MATERIALIZED (SELECT rid, unnest(range(64)) AS i, unnest(v) AS x FROM v),
+        c0 AS (SELECT c, unnest(range(64)) AS i, unnest(v) AS x FROM (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), v) - 1 AS c, v FROM v WHERE vec_id IS NOT NULL) WHERE c < {k}),
+        {",".join(steps)},
+        names AS (SELECT c, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY i)) AS centroid_sha256 FROM c{rounds} GROUP BY c)
+        SELECT vec_id, CAST(a.c AS INT) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, centroid_sha256
+        FROM a{rounds} a JOIN v USING (rid) JOIN names USING (c)"""
+
+
 ORACLES: dict[str, str] = {
+    "op13_centroids": _lloyd(),
     "op11_conversation_trie": f"""
         WITH o AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, {_CRC} % 6 AS h,
                           row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS pos

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import zlib
 from collections import defaultdict
@@ -22,7 +23,8 @@ def plain_nodes(rows):
     seqs = {}
     for c in own:
         h = zlib.crc32(str(c).encode()) % 6
-        head = [x[2:] for x in sorted(own.get(c - c % 100, []))][:h]
+        base = c - int(math.fmod(c, 100))  # towards zero, as in SQL
+        head = [x[2:] for x in sorted(own.get(base, []))][:h]
         seqs[c] = head + [x[2:] for x in sorted(own[c])][h:]
     members = defaultdict(set)
     for c, s in seqs.items():
