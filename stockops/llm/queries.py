@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import clustering, conversation_trie, decontaminate, exact_dedup, mixing, paragraphs, pii, quality, sharding, simhash, toxicity, url_filter
+from . import clustering, conversation_trie, decontaminate, exact_dedup, mixing, neighbours, paragraphs, pii, quality, sharding, simhash, toxicity, url_filter
 from .common import held_out, read_table
 
 #: Rules and wildcard patterns of the registered URL query.
@@ -80,12 +80,16 @@ def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie.conversation_nodes(read_table(spark, sf_dir, "conversations"))
 
 
+def op12_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
 def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.with_inertia(*clustering.cluster(read_table(spark, sf_dir, "embeddings")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash, op2_exact_dedup, op3_toxicity, op4_url_filter, op5_decontaminate, op6_sharding, op7_pii, op8_quality, op9_substring_dedup, op10_mixing, op11_conversation_trie, op13_centroids)
+    f.__name__: f for f in (op1_simhash, op2_exact_dedup, op3_toxicity, op4_url_filter, op5_decontaminate, op6_sharding, op7_pii, op8_quality, op9_substring_dedup, op10_mixing, op11_conversation_trie, op12_neighbours, op13_centroids)
 }
 
 #: CRC-32 of a decimal id in SQL: bytes after the start value, eight steps for each byte.
@@ -120,6 +124,15 @@ def _lloyd(rounds: int = 5, k: int = 40) -> str:
 
 ORACLES: dict[str, str] = {
     "op13_centroids": _lloyd(),
+    "op12_neighbours": """
+        WITH RECURSIVE v AS (SELECT row_number() OVER () AS rid, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+        u AS (SELECT rid, len(e) AS dims, list_transform(e, lambda x: x / list_max(list_transform(e, lambda y: abs(y)))) AS e FROM v
+              WHERE len(e) > 0 AND list_bool_and(list_transform(e, lambda x: x IS NOT NULL AND isfinite(x))) AND list_max(list_transform(e, lambda x: abs(x))) > 0),
+        links AS (SELECT a.rid AS a, b.rid AS b FROM u a JOIN u b ON a.dims = b.dims AND a.rid <> b.rid WHERE a.e = b.e OR list_cosine_similarity(a.e, b.e) >= 0.9),
+        reach(rid, at) AS (SELECT rid, rid FROM v UNION SELECT reach.rid, links.b FROM reach JOIN links ON links.a = reach.at),
+        part AS (SELECT reach.rid, min(v.vec_id) AS component_id FROM reach JOIN v ON v.rid = reach.at GROUP BY reach.rid),
+        n AS (SELECT a AS rid, count(*) AS n_links FROM links GROUP BY a)
+        SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, coalesce(vec_id = component_id, false) AS kept FROM v JOIN part USING (rid) LEFT JOIN n USING (rid)""",
     "op11_conversation_trie": f"""
         WITH o AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, {_CRC} % 6 AS h,
                           row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS pos
