@@ -129,8 +129,8 @@ ORACLES: dict[str, str] = {
         u AS (SELECT rid, len(e) AS dims, list_transform(e, lambda x: x / list_max(list_transform(e, lambda y: abs(y)))) AS e FROM v
               WHERE len(e) > 0 AND list_bool_and(list_transform(e, lambda x: x IS NOT NULL AND isfinite(x))) AND list_max(list_transform(e, lambda x: abs(x))) > 0),
         links AS (SELECT a.rid AS a, b.rid AS b FROM u a JOIN u b ON a.dims = b.dims AND a.rid <> b.rid WHERE a.e = b.e OR list_cosine_similarity(a.e, b.e) >= 0.9),
-        reach(rid, at) AS (SELECT rid, rid FROM v UNION SELECT reach.rid, links.b FROM reach JOIN links ON links.a = reach.at),
-        part AS (SELECT reach.rid, min(v.vec_id) AS component_id FROM reach JOIN v ON v.rid = reach.at GROUP BY reach.rid),
+        reach(rid, place) AS (SELECT rid, rid FROM v UNION SELECT reach.rid, links.b FROM reach JOIN links ON links.a = reach.place),
+        part AS (SELECT reach.rid, min(v.vec_id) AS component_id FROM reach JOIN v ON v.rid = reach.place GROUP BY reach.rid),
         n AS (SELECT a AS rid, count(*) AS n_links FROM links GROUP BY a)
         SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, coalesce(vec_id = component_id, false) AS kept FROM v JOIN part USING (rid) LEFT JOIN n USING (rid)""",
     "op11_conversation_trie": f"""
