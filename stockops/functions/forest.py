@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .durable import durable
+from .skew import lookup
 
 
 def contracted(nodes: DataFrame, sums: Sequence[str] = ()) -> DataFrame:
@@ -22,13 +23,13 @@ def contracted(nodes: DataFrame, sums: Sequence[str] = ()) -> DataFrame:
     """
     sums = list(sums)
     known = nodes.select(F.col("id").alias("parent"), F.lit(True).alias("known"))
-    state = nodes.join(known, "parent", "left").select("id", F.when(F.col("known"), F.col("parent")).alias("up"), F.col("id").alias("root_id"), F.lit(0).cast("long").alias("depth"), *sums)
+    state = lookup(nodes, known, ["parent"], "left").select("id", F.when(F.col("known"), F.col("parent")).alias("up"), F.col("id").alias("root_id"), F.lit(0).cast("long").alias("depth"), *sums)
     state = durable(state)
     left = state.where("up is not null").count()
     while left:
         open_ = state.where("up is not null")
         above = state.select(F.col("id").alias("up"), F.col("up").alias("further"), F.col("root_id").alias("its_root"), F.col("depth").alias("its_depth"))
-        jumped = open_.join(above, "up").select("id", F.col("further").alias("up"), F.col("its_root").alias("root_id"), (F.col("depth") + 1 + F.col("its_depth")).alias("depth"), *sums)
+        jumped = lookup(open_, above, ["up"]).select("id", F.col("further").alias("up"), F.col("its_root").alias("root_id"), (F.col("depth") + 1 + F.col("its_depth")).alias("depth"), *sums)
         after = state.where("up is null").unionByName(jumped)
         if sums:
             below = open_.groupBy(F.col("up").alias("id")).agg(*[F.sum(c).alias(f"_b_{c}") for c in sums])

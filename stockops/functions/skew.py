@@ -15,11 +15,12 @@ def lookup(df: DataFrame, table: DataFrame, on: Sequence[str], how: str = "inner
     they are fewer than ``most``, whatever the size of ``df``. All others are shuffled. Null keys meet nothing.
     """
     on = list(on)
-    asked = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_asked"))
     total = df.count()
-    hot = asked.where(F.col("_asked") > max(least, total // most)).select(*on)
-    known = table.join(F.broadcast(hot), on, "left_semi")
-    if total <= least or hot.isEmpty():
+    if total <= least:
+        return df.join(table, on, how)
+    hot = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_asked")).where(F.col("_asked") > max(least, total // most)).dropna(subset=on).select(*on)
+    if hot.isEmpty():
         return df.join(table, on, how)
+    known = table.join(F.broadcast(hot), on, "left_semi")
     rest = df.join(F.broadcast(hot), on, "left_anti").join(table, on, how)
     return df.join(F.broadcast(hot), on, "left_semi").join(F.broadcast(known), on, how).unionByName(rest)

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import clip, days_between, labels, norm_cdf, ratio
+from ..functions.scan import BLOCK, running
 
 
 def belief_update(df: DataFrame) -> DataFrame:
@@ -34,23 +35,66 @@ def belief_update(df: DataFrame) -> DataFrame:
     })
 
 
-def belief_sequence(readings: DataFrame, keys: list[str], prior_mean: float, prior_std: float) -> DataFrame:
-    """The same step folded over the readings of each key in order of (observed_at, id).
+#: Lost readings after which what was known before weighs nothing against a new reading (2.25^-400).
+FORGOTTEN = 400
+
+#: What a run of readings does to a belief of precision L and information H = mean * L:
+#: H becomes max(floor, keep * H + add) and L becomes weigh * L + gain, both over 2.25^lost; ``exact`` outranks both.
+EFFECT = "struct<lost:bigint,floor:double,keep:double,add:double,weigh:double,gain:double,exact:double>"
+NO_EFFECT = "struct(0L, double('-Infinity'), 1D, 0D, 1D, 0D, CAST(NULL AS DOUBLE))"
+
+
+def effect(z: Column, vs: Column, lost: Column) -> Column:
+    """Of one reading: corrected value, noise variance, whether it is lost. A value that is null makes the mean
+    zero, a noise that is null tells nothing."""
+    seen, zero = ~F.coalesce(lost, F.lit(False)), F.lit(0.0)
+    told = F.coalesce(F.try_divide(F.lit(1.0), vs), zero)
+    return F.struct(
+        F.when(seen, 0).otherwise(1).cast("long").alias("lost"),
+        F.when(seen, 0.0).otherwise(float("-inf")).alias("floor"),
+        F.when(seen & z.isNull(), 0.0).otherwise(1.0).alias("keep"),
+        F.when(seen, F.coalesce(z * told, zero)).otherwise(0.0).alias("add"),
+        F.lit(1.0).alias("weigh"),
+        F.when(seen, told).otherwise(0.0).alias("gain"),
+        F.when(seen & (vs == 0), F.greatest(zero, F.coalesce(z, zero))).alias("exact"),
+    ).cast(EFFECT)
+
+
+def then(x: Column, y: Column) -> Column:
+    """Effect of x followed by y. It is associative, so readings fold in any split."""
+    gone = ((x["lost"] > FORGOTTEN) & (y["gain"] > 0)) | (y["weigh"] == 0)
+    up = F.pow(F.lit(2.25), F.least(x["lost"], F.lit(FORGOTTEN)).cast("double"))
+    both = F.struct(
+        (x["lost"] + y["lost"]).alias("lost"),
+        F.greatest(y["floor"] * up, F.when(y["keep"] == 0, y["add"] * up).otherwise(x["floor"] + y["add"] * up)).alias("floor"),
+        (y["keep"] * x["keep"]).alias("keep"),
+        (y["keep"] * x["add"] + y["add"] * up).alias("add"),
+        x["weigh"].alias("weigh"),
+        (x["gain"] + y["gain"] * up).alias("gain"),
+        F.coalesce(y["exact"], x["exact"]).alias("exact"),
+    )
+    fresh = F.struct(y["lost"].alias("lost"), F.greatest(y["floor"], y["add"]).alias("floor"), F.lit(0.0).alias("keep"), y["add"].alias("add"), F.lit(0.0).alias("weigh"), y["gain"].alias("gain"), F.coalesce(y["exact"], x["exact"]).alias("exact"))
+    return F.when(gone, fresh).otherwise(both).cast(EFFECT)
 
-    readings: keys, observed_at, id, observed_qty, bias, noise_sigma, is_missing. The series of one
-    key is folded in one task; keys run in parallel.
-    """
-    item = F.struct("observed_at", "id", (F.col("observed_qty") - F.col("bias")).alias("z"), (F.col("noise_sigma") * F.col("noise_sigma")).alias("vs"), (F.col("is_missing") | F.col("observed_qty").isNull()).alias("lost"))
-    start = F.struct(F.lit(prior_mean).alias("m"), F.lit(prior_std**2).alias("v"))
 
-    def step(acc, x):
-        k = F.when(x["vs"] == 0, 1.0).otherwise(F.coalesce(F.try_divide(acc["v"], acc["v"] + x["vs"]), F.lit(0.0)))
-        seen = F.struct(F.greatest(F.lit(0.0), acc["m"] + k * (x["z"] - acc["m"])).alias("m"), ((1 - k) * acc["v"]).alias("v"))
-        return F.when(x["lost"], F.struct(acc["m"].alias("m"), (acc["v"] * 2.25).alias("v"))).otherwise(seen)
+def belief_sequence(readings: DataFrame, keys: list[str], prior_mean: float, prior_std: float, block: int = BLOCK, segment: int = 4096) -> DataFrame:
+    """The same step over the readings of each key in order of (observed_at, id): keys, n_readings, mean, std.
 
-    df = readings.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("series"))
-    df = df.withColumn("end", F.aggregate("series", start, step))
-    return df.select(*keys, F.size("series").alias("n_readings"), F.col("end.m").alias("mean"), F.sqrt("end.v").alias("std"))
+    readings: keys, observed_at, id, observed_qty, bias, noise_sigma, is_missing. Readings are composed, not
+    folded onto the prior: segments of ``segment`` readings become one effect each, in parallel, and the effects
+    of a key are composed in order. Keys of more than ``block`` readings are numbered in ranges.
+    """
+    z, vs = F.col("observed_qty") - F.col("bias"), F.col("noise_sigma") * F.col("noise_sigma")
+    rows = readings.select(*keys, "observed_at", "id", effect(z, vs, F.col("is_missing") | F.col("observed_qty").isNull()).alias("e"))
+    rows = running(rows, keys, ["observed_at", "id"], {"nr": F.lit(1)}, block=block)
+    composed = lambda: F.aggregate(F.transform(F.array_sort(F.collect_list(F.struct("nr", "e"))), lambda x: x["e"]), F.expr(NO_EFFECT).cast(EFFECT), then)
+    parts = rows.groupBy(*keys, F.floor((F.col("nr") - 1) / segment).alias("part")).agg(F.count(F.lit(1)).alias("n"), composed().alias("e")).withColumnRenamed("part", "nr")
+    whole = parts.groupBy(*keys).agg(F.sum("n").alias("n_readings"), composed().alias("e"))
+    precision = 1.0 / max(prior_std, 1e-150) ** 2
+    known = F.col("e.weigh") * precision + F.col("e.gain")
+    mean = F.greatest(F.col("e.floor"), F.col("e.keep") * (prior_mean * precision) + F.col("e.add")) / known
+    std = F.pow(F.lit(1.5), F.col("e.lost").cast("double")) / F.sqrt(known)
+    return whole.select(*keys, F.col("n_readings").cast("int").alias("n_readings"), F.coalesce("e.exact", mean).alias("mean"), F.when(F.col("e.exact").isNull(), std).otherwise(0.0).alias("std"))
 
 
 def supplier_evidence(pos: DataFrame, suppliers: DataFrame, as_of: Column, decay: float = 0.05, prior_strength: float = 10.0) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import labels
 from ..functions.durable import durable
 from ..functions.python import ship
+from ..functions.scan import BLOCK, running
 
 ship(__name__)
 
@@ -115,10 +116,11 @@ def natural_key(value: Column) -> Column:
     return F.transform(F.split(value, r"\."), lambda p: F.struct(F.when(p.rlike(r"^\d+$"), 0).otherwise(1).alias("kind"), F.coalesce(F.try_to_number(p, F.lit("999999999")).cast("long"), F.lit(0)).alias("number"), p.alias("text")))
 
 
-def distinct_references(chunks: DataFrame) -> DataFrame:
-    """Distinct ids of each reference field with their place in natural order."""
+def distinct_references(chunks: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Distinct ids of each reference field with their place in natural order. Fields of more than ``block`` ids
+    are ranked in ranges."""
     df = references(chunks).select("field", "entity_id").distinct()
-    return df.withColumn("place", F.row_number().over(Window.partitionBy("field").orderBy(natural_key(F.col("entity_id")))))
+    return running(df, ["field"], [natural_key(F.col("entity_id"))], {"place": F.lit(1)}, block=block)
 
 
 def parent_chunk_link(chunks: DataFrame) -> DataFrame:

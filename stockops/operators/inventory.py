@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import at, by_keys, lowered, page, ratio, weighted_mean
+from ..functions.scan import BLOCK, running
 
 
 def current_inventory(
@@ -132,12 +133,12 @@ def replay_balances(moves: DataFrame, balances: DataFrame) -> DataFrame:
     return df.withColumn("diff", F.coalesce("on_hand", F.lit(0.0)) - F.coalesce("replayed", F.lit(0.0)))
 
 
-def negative_stock_violations(moves: DataFrame) -> DataFrame:
-    """First move of each key after which the running stock is below zero."""
-    w = Window.partitionBy("product_id", "location_id").orderBy("occurred_at", "id", "delta")
-    running = deltas(moves).withColumn("running", F.sum("delta").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    bad = running.where("running < 0")
-    return bad.groupBy("product_id", "location_id").agg(F.min(F.struct("occurred_at", "id", "delta", "running")).alias("first")).select("product_id", "location_id", "first.occurred_at", "first.id", "first.running")
+def negative_stock_violations(moves: DataFrame, block: int = BLOCK) -> DataFrame:
+    """First move of each key after which the running stock is below zero. Keys of more than ``block`` rows are
+    summed in ranges."""
+    sums = running(deltas(moves), ["product_id", "location_id"], ["occurred_at", "id", "delta"], {"running": F.col("delta")}, block=block)
+    first = F.min(F.struct("occurred_at", "id", "delta", "running")).alias("first")
+    return sums.where("running < 0").groupBy("product_id", "location_id").agg(first).select("product_id", "location_id", "first.occurred_at", "first.id", "first.running")
 
 
 def apply_receipts(balances: DataFrame, receipts: DataFrame) -> DataFrame:
@@ -163,11 +164,11 @@ def arrivals_due(shipments: DataFrame, po_lines: DataFrame, docks: DataFrame, as
     return good.select(cols).union(bad)
 
 
-def allocate_fcfs(lines: DataFrame, stock: DataFrame, penalty_rate: float = 10.0) -> DataFrame:
+def allocate_fcfs(lines: DataFrame, stock: DataFrame, penalty_rate: float = 10.0, block: int = BLOCK) -> DataFrame:
     """First come, first served: each line gets what earlier ones left. lines: id, product_id, ts, qty;
-    stock: product_id, stock. The fill in closed form: greatest(0, least(qty, stock - demand before))."""
-    w = Window.partitionBy("product_id").orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, -1)
-    df = lines.join(stock, "product_id", "left").withColumn("before", F.coalesce(F.sum("qty").over(w), F.lit(0.0)))
+    stock: product_id, stock. The fill in closed form: greatest(0, least(qty, stock - demand before)).
+    Products of more than ``block`` lines are summed in ranges."""
+    df = running(lines, ["product_id"], ["ts", "id"], {"before": F.col("qty")}, exclusive=True, block=block).join(stock, "product_id", "left")
     shipped = F.greatest(F.lit(0.0), F.least("qty", F.coalesce("stock", F.lit(0.0)) - F.col("before")))
     df = df.withColumn("shipped", shipped).withColumn("penalty", (F.col("qty") - F.col("shipped")) * penalty_rate)
     return df.withColumn("status", F.when(F.col("shipped") > 0, "shipped").otherwise("cancelled")).drop("before")

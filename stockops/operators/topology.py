@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import at, by_keys, labels, page, plus_hours, ratio
 from ..functions.durable import durable
+from ..functions.forest import contracted
+from ..functions.scan import BLOCK, running
 from .inventory import utilization_by_location
 
 
@@ -33,37 +35,39 @@ def location_by_id(locations: DataFrame, keys) -> DataFrame:
     return by_keys(locations, keys)
 
 
-def locations_tree(locations: DataFrame) -> DataFrame:
-    """Forest by parent, of any depth: id, root_id, depth, path (ids from the root), code, capacity_units.
+def locations_tree(locations: DataFrame, paths: bool = False) -> DataFrame:
+    """Forest by parent, of any depth: id, parent_id (null at a root), root_id, depth, code, capacity_units.
 
-    A parent that is null or not in the set makes a root. Every round doubles the part of each path that
-    is known, so their number is the logarithm of the depth; a round ends in a checkpoint. Rows on a
-    cycle, or below one, never reach a root and are left out: rounds end when none is settled any more.
+    A parent that is null or not in the set makes a root. Rows on a cycle, or below one, are left out. Memory is
+    one row for each location; ``paths`` adds the ids from the root down, which a chain makes quadratic.
     """
-    nodes = locations.select("id", F.col("parent_location_id").alias("parent"), "code", "capacity_units")
-    known = nodes.select(F.col("id").alias("parent"), F.lit(True).alias("known"))
-    nodes = durable(nodes.join(known, "parent", "left").withColumn("up", F.when(F.col("known"), F.col("parent"))).select("id", "up", F.array("id").alias("path"), "code", "capacity_units"))
-    left = nodes.where("up is not null").count()
-    while left:
+    nodes = locations.select("id", F.col("parent_location_id").alias("parent"))
+    tree = contracted(nodes).withColumn("depth", F.col("depth").cast("int")).join(locations.select("id", "parent_location_id", "code", "capacity_units"), "id")
+    tree = tree.select("id", F.when(F.col("depth") > 0, F.col("parent_location_id")).alias("parent_id"), "root_id", "depth", "code", "capacity_units")
+    return tree.join(paths_from_roots(tree), "id") if paths else tree
+
+
+def paths_from_roots(tree: DataFrame) -> DataFrame:
+    """(id, path): ids from the root. Every round doubles the part of each path that is known."""
+    rounds = max(0, tree.agg(F.max("depth")).head()[0] or 0).bit_length()
+    nodes = tree.select("id", F.col("parent_id").alias("up"), F.array("id").alias("path"))
+    for _ in range(rounds):
         above = nodes.select(F.col("id").alias("up"), F.col("up").alias("further"), F.col("path").alias("before"))
-        grown = nodes.join(above, "up").select("id", F.col("further").alias("up"), F.concat("before", "path").alias("path"), "code", "capacity_units")
+        grown = nodes.where("up is not null").join(above, "up").select("id", F.col("further").alias("up"), F.concat("before", "path").alias("path"))
         nodes = durable(nodes.where("up is null").union(grown))
-        before, left = left, nodes.where("up is not null").count()
-        if left == before:
-            break
-    return nodes.where("up is null").select("id", F.col("path")[0].alias("root_id"), (F.size("path") - 1).alias("depth"), "path", "code", "capacity_units")
+    return nodes.select("id", "path")
 
 
-def sibling_order(tree: DataFrame) -> DataFrame:
-    """Rank among siblings by (code, id)."""
-    w = Window.partitionBy(F.slice("path", 1, F.greatest(F.size("path") - 1, F.lit(1)))).orderBy("code", "id")
-    return tree.withColumn("sibling_rank", F.row_number().over(w))
+def sibling_order(tree: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Rank among siblings by (code, id); roots are siblings of each other."""
+    return running(tree, ["parent_id"], ["code", "id"], {"sibling_rank": F.lit(1)}, block=block)
 
 
 def subtree_rollup(tree: DataFrame) -> DataFrame:
-    """Capacity and number of nodes below and at every node."""
-    up = tree.select(F.explode("path").alias("id"), "capacity_units")
-    return up.groupBy("id").agg(F.sum("capacity_units").alias("capacity_units"), F.count(F.lit(1)).alias("n_nodes"))
+    """Capacity and number of nodes below and at every node, of locations or of their tree."""
+    parent = F.col("parent_id" if "parent_id" in tree.columns else "parent_location_id")
+    nodes = tree.select("id", parent.alias("parent"), F.coalesce(F.col("capacity_units").cast("long"), F.lit(0)).alias("capacity_units"), F.lit(1).cast("long").alias("n_nodes"))
+    return contracted(nodes, ["capacity_units", "n_nodes"]).select("id", "capacity_units", "n_nodes")
 
 
 def capacity_utilization(observations: DataFrame, locations: DataFrame, snapshot_at: str | None = None, lookback_hours: float | None = None, start: str | None = None, end: str | None = None, warehouse_id: str | None = None) -> DataFrame:

@@ -269,12 +269,12 @@ TREE = """, forest AS (SELECT id, id AS root_id, 0 AS depth, id AS path, capacit
 
 @query("t5_locations_tree", ["locations"], TREE + " SELECT id, root_id, depth, path FROM forest")
 def t5(t):
-    return top.locations_tree(t.locations).select("id", "root_id", "depth", joined("path"))
+    return top.locations_tree(t.locations, paths=True).select("id", "root_id", "depth", joined("path"))
 
 
 @query("t6_subtree_rollup", ["locations"], TREE + ", up AS (SELECT unnest(string_split(path, ',')) AS id, capacity_units FROM forest) SELECT id, CAST(sum(capacity_units) AS BIGINT) AS capacity_units, count(*) AS n_nodes FROM up GROUP BY id")
 def t6(t):
-    return top.subtree_rollup(top.locations_tree(t.locations))
+    return top.subtree_rollup(t.locations)
 
 
 UTIL = f"""

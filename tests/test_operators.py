@@ -333,7 +333,7 @@ def test_tree_of_any_depth(spark):
     """A chain of 1000 levels, siblings, an unknown parent, and cycles, which have no root."""
     rows = [(f"n{i}", f"n{i - 1}" if i else None, f"c{i}", 1) for i in range(1000)]
     rows += [("s1", "n10", "s", 5), ("s2", "n10", "s", 5), ("lost", "nowhere", "l", 7), ("x", "y", "x", 1), ("y", "x", "y", 1), ("z", "y", "z", 1)]
-    tree = topology.locations_tree(spark.createDataFrame(rows, "id string, parent_location_id string, code string, capacity_units int"))
+    tree = topology.locations_tree(spark.createDataFrame(rows, "id string, parent_location_id string, code string, capacity_units int"), paths=True)
     got = {r.id: (r.root_id, r.depth, len(r.path)) for r in tree.collect()}
     assert got == {f"n{i}": ("n0", i, i + 1) for i in range(1000)} | {"s1": ("n0", 11, 12), "s2": ("n0", 11, 12), "lost": ("lost", 0, 1)}
     up = {r.id: (r.capacity_units, r.n_nodes) for r in topology.subtree_rollup(tree).collect()}
