@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .durable import durable
+from .durable import forget, written
 from .skew import lookup
 
 
@@ -18,13 +18,13 @@ def contracted(nodes: DataFrame, sums: Sequence[str] = ()) -> DataFrame:
     ancestors, twice as long as before, and what lies below it within that reach: it adds the sums of
     the nodes whose run ends just below it, and its pointer jumps to where the run of the node above
     ends. So rounds are the logarithm of the depth, rows stay one for each node, and each round ends in a
-    reliable checkpoint. Rows on a cycle, or below one, never reach a root and are left out. Ids are
+    table whose size Spark knows (sizes guessed through joins square in every round). Rows on a cycle, or below one, never reach a root and are left out. Ids are
     unique and not null.
     """
     sums = list(sums)
     known = nodes.select(F.col("id").alias("parent"), F.lit(True).alias("known"))
     state = lookup(nodes, known, ["parent"], "left").select("id", F.when(F.col("known"), F.col("parent")).alias("up"), F.col("id").alias("root_id"), F.lit(0).cast("long").alias("depth"), *sums)
-    state = durable(state)
+    state = written(state, "forest")
     left = state.where("up is not null").count()
     while left:
         open_ = state.where("up is not null")
@@ -34,7 +34,8 @@ def contracted(nodes: DataFrame, sums: Sequence[str] = ()) -> DataFrame:
         if sums:
             below = open_.groupBy(F.col("up").alias("id")).agg(*[F.sum(c).alias(f"_b_{c}") for c in sums])
             after = after.join(below, "id", "left").select("id", "up", "root_id", "depth", *[(F.col(c) + F.coalesce(F.col(f"_b_{c}"), F.lit(0))).alias(c) for c in sums])
-        state = durable(after)
+        former, state = state, written(after, "forest")
+        forget(former)
         before, left = left, state.where("up is not null").count()
         if left == before:
             break

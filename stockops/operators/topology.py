@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import at, by_keys, labels, page, plus_hours, ratio
-from ..functions.durable import durable
+from ..functions.durable import written
 from ..functions.forest import contracted
 from ..functions.scan import BLOCK, running
 from .inventory import utilization_by_location
@@ -54,7 +54,7 @@ def paths_from_roots(tree: DataFrame) -> DataFrame:
     for _ in range(rounds):
         above = nodes.select(F.col("id").alias("up"), F.col("up").alias("further"), F.col("path").alias("before"))
         grown = nodes.where("up is not null").join(above, "up").select("id", F.col("further").alias("up"), F.concat("before", "path").alias("path"))
-        nodes = durable(nodes.where("up is null").union(grown))
+        nodes = written(nodes.where("up is null").union(grown), "paths")
     return nodes.select("id", "path")
 
 
