@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import sys
-
 import numpy as np
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.durable import durable, shared_folder, written
+from ..functions.durable import durable, forget, shared_folder, written
+from ..functions.python import ship
 
-__all__ = ["durable", "shared_folder", "written"]
+__all__ = ["durable", "shared_folder", "ship", "written"]
 
 #: Word rule shared by several operators: everything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -20,11 +18,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 LOWER_ASCII = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def ship(module: str) -> None:
-    """Send a module's functions to Python workers by value, so executors need no copy of it."""
-    cloudpickle.register_pickle_by_value(sys.modules[module])
-
-
 def if_small(df: DataFrame, row_bytes: int, max_bytes: int) -> DataFrame:
     """``df`` with a broadcast hint if its counted rows stay within the bound; else Spark shuffles it."""
     return F.broadcast(df) if df.count() * row_bytes <= max_bytes else df
@@ -61,26 +54,30 @@ def connected_components(links: DataFrame, max_rounds: int = 40) -> DataFrame:
 
     Alternating large-star and small-star steps: every step is one aggregation and one join on
     the node, rows never exceed twice the links, and the number of rounds is logarithmic.
-    Only ids that occur in a link are returned; null ends are ignored. Each round ends in a
-    reliable checkpoint, so plans stay short and a lost executor costs one round at most.
+    Only ids that occur in a link are returned; null ends are ignored. Each round ends in a table, so
+    plans stay short, sizes are known and a lost executor costs one round at most. Links settle when
+    their number and a sum of their hashes do.
     """
     edges = (
         links.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
         .where("u is not null and v is not null and u <> v")
         .distinct()
     )
-    edges = durable(edges)
+    edges = written(edges, "components")
+    state = lambda df: tuple(df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.shiftright(F.xxhash64("v", "u"), 32))).head())
+    before = state(edges)
     for _ in range(max_rounds):
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        after = durable(small.where("u <> v").distinct())
-        same = edges.select("u", "v").exceptAll(after).isEmpty() and after.exceptAll(edges).isEmpty()
-        edges = after
-        if same:
+        former, edges = edges, written(small.where("u <> v").distinct(), "components")
+        forget(former)
+        after = state(edges)
+        if after == before:
             break
+        before = after
     else:
         raise RuntimeError("connected components did not settle")
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(

@@ -55,14 +55,14 @@ class TestBlock:
 
 
 def suffix_array(text: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
-    """``starts`` in the order of the first ``depth`` (or more) words of their suffixes."""
+    """``starts`` in the order of the first ``depth`` (or more) words of their suffixes, then of the word before."""
     rank, step = text, 1
     while step < depth:
         ahead = np.zeros_like(rank)
         ahead[:-step] = rank[step:]
         rank = np.unique(rank * (int(rank.max()) + 1) + ahead, return_inverse=True)[1].astype(np.int64)
         step *= 2
-    return starts[np.argsort(rank[starts], kind="stable")]
+    return starts[np.lexsort((text[starts - 1], rank[starts]))]
 
 
 def bisect(text: np.ndarray, order: np.ndarray, depth: int, low: np.ndarray, high: np.ndarray, target: np.ndarray, right: bool) -> np.ndarray:
@@ -77,6 +77,32 @@ def bisect(text: np.ndarray, order: np.ndarray, depth: int, low: np.ndarray, hig
     return low
 
 
+#: Words by which matches grow one at a time before ranks of longer runs are made.
+STEPS = 64
+
+
+def common_words(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Equal words of a from each i and of b from each j, up to a cut (0), by ranks of runs of 1, 2, 4, ... words."""
+    both = np.concatenate([a, [0], b, [0]])
+    both[both == 0] = -1 - np.arange(int((both == 0).sum()))  # no cut equals another
+    j = j + len(a) + 1
+    ranks, step = [np.unique(both, return_inverse=True)[1].astype(np.int64)], 1
+    while True:
+        ahead = np.full(len(both), -1)
+        ahead[:-step] = ranks[-1][step:]
+        longer = np.unique(ranks[-1] * (len(both) + 1) + ahead + 1, return_inverse=True)[1].astype(np.int64)
+        if (longer[np.minimum(i, len(both) - 1)] != longer[np.minimum(j, len(both) - 1)]).all():
+            break
+        ranks.append(longer)
+        step *= 2
+    n = np.zeros(len(i), np.int64)
+    last = len(both) - 1
+    for k in range(len(ranks) - 1, -1, -1):
+        for _ in range(2):
+            n += np.where(ranks[k][np.minimum(i + n, last)] == ranks[k][np.minimum(j + n, last)], 1 << k, 0)
+    return n
+
+
 def search(shard: np.ndarray, block: TestBlock) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Maximal verbatim matches of a shard's numbered words: (test suffix, place in shard, length)."""
     none = np.empty(0, np.int64)
@@ -109,21 +135,29 @@ def search(shard: np.ndarray, block: TestBlock) -> tuple[np.ndarray, np.ndarray,
         target = block.text[block.starts[on] + d]
         lo, hi = low[on], high[on]
         low[on], high[on] = bisect(text, order, d, lo, hi, target, False), bisect(text, order, d, lo, hi, target, True)
+    # where the word before a match is the test's as well, the match is the inside of a longer one: those
+    # places stand together in each range and are left out before any place is listed
+    inside, outside = high.copy(), high.copy()
+    on = np.flatnonzero((block.need == block.window) & (block.place > 0) & (low < high))
+    before = block.text[block.starts[on] - 1]
+    inside[on], outside[on] = bisect(text, order, -1, low[on], high[on], before, False), bisect(text, order, -1, low[on], high[on], before, True)
+    tests = np.arange(len(low))
+    which, low, high = np.concatenate([tests, tests]), np.concatenate([low, outside]), np.concatenate([inside, high])
     count = np.maximum(high - low, 0)
-    which = np.repeat(np.arange(len(count)), count)
+    which = np.repeat(which, count)
     if not len(which):
         return none, none, none
     at = order[np.repeat(low, count) + np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)]
-    # a match whose left neighbours match as well is the inside of a longer one
-    left = (block.text[block.starts[which] - 1] == text[at - 1]) & (block.place[which] > 0) & (text[at - 1] > 0) & (at > 0)
-    left &= block.need[which] == block.window
-    which, at = which[~left], at[~left]
     length = block.need[which].copy()
     grow = np.arange(len(which))
-    while len(grow):
+    for _ in range(STEPS):
         t, s = block.text[np.minimum(block.starts[which[grow]] + length[grow], len(block.text) - 1)], text[np.minimum(at[grow] + length[grow], len(text) - 1)]
         grow = grow[(t == s) & (t > 0)]
         length[grow] += 1
+        if not len(grow):
+            break
+    if len(grow):
+        length[grow] += common_words(block.text, block.starts[which[grow]] + length[grow], text, at[grow] + length[grow])
     return which, origin[at], length
 
 

@@ -166,13 +166,13 @@ def units(docs: DataFrame, min_line: int, min_piece: int, radius: int, width: in
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "is_line", "start", "end", "h", "keys"])
                 first, n = i + 1, 0
 
-    return named(docs).mapInArrow(batches, "doc_id long, row int, is_line boolean, start int, end int, h long, keys array<long>")
+    return named(docs).mapInArrow(batches, "doc_id long, row long, is_line boolean, start int, end int, h long, keys array<long>")
 
 
 def named(docs: DataFrame) -> DataFrame:
     """(doc_id, row, text): ``row`` tells rows apart that repeat a doc_id with different texts."""
     text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash(text).alias("row"), text.cast("binary").alias("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("row"), text.cast("binary").alias("text"))
 
 
 def candidates(nodes: DataFrame, max_broadcast: int) -> DataFrame:

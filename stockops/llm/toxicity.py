@@ -113,14 +113,13 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50
     return b
 
 
-def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_entries: int = 5_000, min_toxic: int = 3, min_weight: float = 3.0, min_harmless: int = 2) -> Lexicon:
+def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, min_toxic: int = 3, min_weight: float = 3.0, min_harmless: int = 2) -> Lexicon:
     """Fit lexicon, exceptions and curve on at most ``max_rows`` labelled rows, chosen by id hash.
 
-    The rows are read and folded once and kept as a table. Counts of entries are gathered by Spark; only
-    entries above the thresholds and, of those, the ``max_entries`` heaviest reach the driver. A lexicon
+    The rows are read and folded once and kept as a table. Counts of entries are gathered by Spark; all
+    entries above the thresholds reach the driver, as many as that bounded number of rows holds. A lexicon
     word with a neighbour is an exception if at least ``min_harmless`` clean texts hold the pair and the
-    pair itself is no more likely in toxic texts than in clean ones; the ``max_entries`` most frequent
-    pairs are kept. Of rows that repeat a doc_id one text counts. Null texts and null ids are not learnt
+    pair itself is no more likely in toxic texts than in clean ones. Of rows that repeat a doc_id one text counts. Null texts and null ids are not learnt
     from. Without two classes of labels the lexicon is empty.
     """
     chosen = (
@@ -160,8 +159,6 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_entrie
         .where(F.col("n_toxic") >= min_toxic)
         .withColumn("weight", weight)
         .where(F.col("weight") >= min_weight)
-        .orderBy(F.desc(F.col("weight") * F.log1p("n_toxic")), "entry")
-        .limit(max_entries)
     )
     lexicon = Lexicon({r["entry"]: float(r["weight"]) for r in found.collect()})
     if not lexicon.weights:
@@ -186,8 +183,6 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_entrie
         .agg(F.sum("n_toxic").alias("n_toxic"), F.sum("n_clean").alias("n_clean"))
         .where(F.col("n_clean") >= min_harmless)
         .where(weight <= 0)
-        .orderBy(F.desc("n_clean"), "a", "b")
-        .limit(max_entries)
     )
     lexicon.exceptions = {(r["a"], r["b"]) for r in harmless.collect()}
     exceptions = lexicon.exceptions

@@ -676,6 +676,29 @@ def test_mixed_documents_are_what_is_taken(spark, docs):
         assert sum(abs(taken[i] - copies[i]) for i in taken) < 40
 
 
+def test_runs_of_one_word_are_no_pairs():
+    """An item of n equal words in a text of 5n: matches are linear in n, whatever their length."""
+    n = 20_000
+    block = decontaminate.TestBlock([("i", [b"a"] * n)], 10)
+    found = list(decontaminate.matches([np.ones(5 * n, np.int64)], block))
+    assert len(found) < 7 * n and max(e - s for _, _, _, s, e in found) == n and {0, 5 * n} <= {x for f in found for x in f[3:]}
+
+
+def test_common_words_equal_plain_steps():
+    rng = random.Random(12)
+    a, b = (np.array([rng.choice([0, 1, 1, 1, 1, 2, 2]) if k % 60 > 9 else 1 for k in range(400)]) for _ in range(2))
+    b[50:300] = a[20:270]
+    i, j = np.array([rng.randrange(400) for _ in range(500)] + [20]), np.array([rng.randrange(400) for _ in range(500)] + [50])
+
+    def steps(x, y):
+        n = 0
+        while x + n < 400 and y + n < 400 and a[x + n] == b[y + n] and a[x + n]:
+            n += 1
+        return n
+
+    assert decontaminate.common_words(a, i, b, j).tolist() == [steps(x, y) for x, y in zip(i, j, strict=True)]
+
+
 def test_mixed_documents_of_long_rows(spark):
     """A long row may stand at both ends of its run: it is judged by what both take of it."""
     for n in range(2):
