@@ -55,11 +55,12 @@ class TestBlock:
 
 
 def suffix_array(text: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
-    """``starts`` in the order of the first ``depth`` (or more) words of their suffixes, then of the word before."""
+    """``starts`` in the order of the first ``depth`` words of their suffixes, then of the word before."""
     rank, step = text, 1
     while step < depth:
         ahead = np.zeros_like(rank)
-        ahead[:-step] = rank[step:]
+        by = min(step, depth - step)  # exactly depth words in the end
+        ahead[:-by] = rank[by:]
         rank = np.unique(rank * (int(rank.max()) + 1) + ahead, return_inverse=True)[1].astype(np.int64)
         step *= 2
     return starts[np.lexsort((text[starts - 1], rank[starts]))]
