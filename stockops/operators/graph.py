@@ -270,13 +270,19 @@ def related_definitions(usage: DataFrame, chapters: DataFrame | None = None) ->
     return df.join(here, "block_id").join(there, "home").where("home_chapter < chapter").select("block_id", "name", "home")
 
 
-def code_closure(roots: DataFrame, calls: DataFrame, max_depth: int = 5) -> DataFrame:
+def code_closure(roots: DataFrame, calls: DataFrame, max_depth: int = 5, algorithms: DataFrame | None = None) -> DataFrame:
     """Definitions reachable from root names: root, name, depth (the longest found up to the bound).
 
-    Callees come before callers when ordered by depth descending. Frontiers are distinct (root, name)
-    rows, so cycles end at the bound. Edges and levels are kept, so none is made twice.
+    Frontiers are distinct (root, name) rows, so cycles end at the bound; ``callgraph.callees_first`` puts what
+    is found in order, whatever circles it holds. ``algorithms``: (name, algorithm); a definition that belongs
+    to an algorithm which is itself among the roots is not entered, as it comes with that one. Edges and
+    levels are kept, so none is made twice.
     """
-    edges = durable(calls.select(F.col("caller").alias("name"), F.col("callee").alias("next")).distinct())
+    edges = calls.select(F.col("caller").alias("name"), F.col("callee").alias("next")).distinct()
+    if algorithms is not None:
+        held = algorithms.join(roots.select(F.col("root").alias("algorithm")).distinct(), "algorithm", "left_semi").select(F.col("name").alias("next"))
+        edges = edges.join(held, "next", "left_anti").select("name", "next")
+    edges = durable(edges)
     level = durable(roots.select("root", "name").distinct().withColumn("depth", F.lit(0)))
     out = level
     for depth in range(1, max_depth + 1):

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions.durable import written
+from ..operators import callgraph as cgr
 from ..operators import corpus as c
 from ..operators import graph as g
 from ..operators import retrieval as r
@@ -328,7 +329,18 @@ def g10(t):
 
 @query("g11_call_graph", [], PROGRAMS + " SELECT caller, callee, kind FROM cg")
 def g11(t):
-    return g.call_graph(g.code_entities(fragments(t)))
+    return g.call_graph(written(g.code_entities(fragments(t)), "entities"))
+
+
+LEVELS = PROGRAMS + """,
+walk AS (SELECT callee AS name, 0 AS k FROM cg WHERE callee NOT IN (SELECT caller FROM cg WHERE caller <> callee) UNION SELECT caller, k + 1 FROM walk JOIN cg ON callee = name WHERE caller <> callee),
+ln AS (SELECT caller AS name FROM cg UNION SELECT callee FROM cg),
+ll AS (SELECT ln.name, ln.name AS component, coalesce(max(k), 0) AS level FROM ln LEFT JOIN walk USING (name) GROUP BY ln.name)"""
+
+
+@query("g16_call_levels", [], LEVELS + " SELECT name, component, level FROM ll")
+def g16_levels(t):
+    return cgr.call_levels(written(g.call_graph(written(g.code_entities(fragments(t)), "entities")), "calls"))
 
 
 def schema_of(t):
@@ -388,6 +400,22 @@ def g16(t):
     return closure(t, written(g.code_entities(fragments(t)), "entities"))
 
 
+@query("g16_callees_first", [], LEVELS + """,
+rt AS (SELECT DISTINCT name AS root FROM df WHERE kind = 'method'),
+held AS (SELECT DISTINCT name FROM df WHERE kind = 'class' AND length(name) % 2 = 0 AND concat(name, '.m') IN (SELECT root FROM rt)),
+dv AS (SELECT root, root AS name, 0 AS depth FROM rt UNION SELECT root, callee, depth + 1 FROM dv JOIN cg ON cg.caller = dv.name WHERE depth < 5 AND callee NOT IN (SELECT name FROM held)),
+dc AS (SELECT root, name, max(depth) AS depth FROM dv GROUP BY root, name)
+SELECT root, dc.name, depth, coalesce(level, 0) AS level, row_number() OVER (PARTITION BY root ORDER BY coalesce(level, 0), dc.name) AS place FROM dc LEFT JOIN ll USING (name)""")
+def g16_order(t):
+    entities = written(g.code_entities(fragments(t)), "entities")
+    calls = written(g.call_graph(entities), "calls")
+    roots = entities.where("kind = 'method'").select(F.col("name").alias("root"), "name")
+    # classes with names of even length come with the algorithm that is their method
+    algorithms = entities.where("kind = 'class' and length(name) % 2 = 0").select("name", F.concat("name", F.lit(".m")).alias("algorithm")).distinct()
+    found = written(g.code_closure(roots, calls, algorithms=algorithms), "closure")
+    return cgr.callees_first(found, cgr.call_levels(calls)).select("root", "name", "depth", "level", F.col("place").cast("long").alias("place"))
+
+
 @query("g17_assemble_source", [], CLOSURE + """,
 src AS (SELECT cls || '.m' AS name, cls AS block, concat('    def m(self):', chr(10), '        return self.m(', coalesce(names[1], 'len'), '(1), K', doc_id + 1, '())') AS code FROM nx
   UNION ALL SELECT cls, cls, concat('class ', cls, ':') FROM nx
