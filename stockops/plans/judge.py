@@ -13,20 +13,17 @@ from ..streaming import twins
 from .registry import joined, query, r6, us
 from .text import query_vectors, sims
 
-# the expected neighbours of a query vector are those of its own label in its own run of 50 ids
-EXPECTED = ", want AS (SELECT q.vec_id AS query_id, v.vec_id AS chunk_id FROM embeddings q JOIN embeddings v ON v.label = q.label AND v.vec_id // 50 = q.vec_id // 50 WHERE q.vec_id % 50 = 0)"
-METRICS = sims(10) + EXPECTED + """,
-sz AS (SELECT query_id, count(*) AS n_expected FROM want GROUP BY query_id),
-ht AS (SELECT w.query_id, count(*) AS n_hit, min(rank) AS best FROM hits h JOIN want w ON w.query_id = h.query_id AND w.chunk_id = h.vec_id GROUP BY w.query_id),
+# what a query vector should find are the vectors of its own label, all of them
+METRICS = sims(10) + """,
+sz AS (SELECT q.vec_id AS query_id, count(*) AS n_expected FROM embeddings q JOIN embeddings v ON v.label = q.label WHERE q.vec_id % 50 = 0 GROUP BY q.vec_id),
+ht AS (SELECT h.query_id, count(*) AS n_hit, min(rank) AS best FROM hits h JOIN embeddings q ON q.vec_id = h.query_id JOIN embeddings v ON v.vec_id = h.vec_id AND v.label = q.label GROUP BY h.query_id),
 me AS (SELECT sz.query_id, sz.query_id % 3 AS case_id, n_expected, coalesce(n_hit, 0) AS n_hit, coalesce(n_hit, 0) / CAST(n_expected AS DOUBLE) AS recall, coalesce(n_hit, 0) / 10.0 AS precision, coalesce(1.0 / best, 0) AS mrr FROM sz LEFT JOIN ht USING (query_id))"""
 
 
 def metrics(t):
     results = r.vector_topk(t.embeddings.select("vec_id", "embedding"), query_vectors(t), 10).select("query_id", F.col("vec_id").alias("chunk_id"), "rank")
-    run = F.floor(F.col("vec_id") / 50).alias("run")
-    q = t.embeddings.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "label", run)
-    expected = q.join(t.embeddings.select(F.col("vec_id").alias("chunk_id"), "label", run), ["label", "run"])
-    return e.retrieval_metrics(results, expected, 10).withColumn("case_id", F.col("query_id") % 3)
+    q = t.embeddings.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "label")
+    return e.class_metrics(results, q, t.embeddings.select(F.col("vec_id").alias("chunk_id"), "label"), 10).withColumn("case_id", F.col("query_id") % 3)
 
 
 @query("e1_retrieval_metrics", [], METRICS + " SELECT query_id, n_expected, n_hit, round(recall, 6) AS recall, round(precision, 6) AS precision, round(mrr, 6) AS mrr FROM me")

@@ -133,12 +133,13 @@ def c10u(t):
 
 
 @query("c11_tag_normalize", [], r"""
-, w AS (SELECT doc_id, string_split(text, ' ')[1:6] AS raw FROM documents),
-n AS (SELECT doc_id, list_filter(list_transform(raw, lambda x: regexp_replace(regexp_replace(upper(replace(trim(x), 'ß', 'ss')), '[ -]', '_', 'g'), '[^A-Z0-9_]', '', 'g')), lambda x: regexp_matches(x, '^[A-Z][A-Z0-9_]{2,}$')) AS tags FROM w),
-f AS (SELECT doc_id, tag, min(i) AS i FROM (SELECT doc_id, unnest(tags) AS tag, unnest(range(len(tags))) AS i FROM n) GROUP BY doc_id, tag)
-SELECT n.doc_id, coalesce((SELECT string_agg(tag, ',' ORDER BY i) FROM f WHERE f.doc_id = n.doc_id), '') AS tags FROM n""")
+, w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS x, unnest(range(len(string_split(text, ' ')))) AS i FROM documents),
+n AS (SELECT doc_id, i, regexp_replace(regexp_replace(upper(replace(trim(x), 'ß', 'ss')), '[ -]', '_', 'g'), '[^A-Z0-9_]', '', 'g') AS tag FROM w),
+f AS (SELECT doc_id, tag, min(i) AS i FROM n WHERE regexp_matches(tag, '^[A-Z][A-Z0-9_]{2,}$') GROUP BY doc_id, tag)
+SELECT d.doc_id, md5(coalesce(string_agg(tag, ',' ORDER BY i), '')) AS tags_md5, count(tag) AS n_tags FROM documents d LEFT JOIN f USING (doc_id) GROUP BY d.doc_id""")
 def c11(t):
-    return t.documents.select("doc_id", F.array_join(c.tag_normalize(F.slice(F.split("text", " "), 1, 6)), ",").alias("tags"))
+    tags = F.coalesce(c.tag_normalize(F.split("text", " ")), F.array().cast("array<string>"))
+    return t.documents.select("doc_id", F.md5(F.array_join(tags, ",")).alias("tags_md5"), F.size(tags).cast("long").alias("n_tags"))
 
 
 @query("c12_tag_merge", ["chunks"], """

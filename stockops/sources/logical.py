@@ -103,7 +103,7 @@ TABLES = {
             {d.array("concat('TAG_', doc_id % 7)", "concat('TAG_', doc_id % 5)")} AS bc_concepts, {d.array("concat('TABLE_', doc_id % 3)")} AS bc_db_tables, CASE WHEN doc_id % 3 = 0 THEN concat('C', doc_id + 1) WHEN doc_id % 3 = 1 THEN concat('Z', doc_id) END AS defined_in_chunk FROM {{documents}}""",
     "blocks": lambda d: f"""SELECT doc_id, CAST(floor(pos / 10.0) AS INT) AS page_num, pos AS block_id,
             CASE pos % 9 WHEN 8 THEN 'footnote' WHEN 7 THEN 'formula' WHEN 6 THEN 'formula_number' WHEN 5 THEN 'table' WHEN 4 THEN 'table_caption' ELSE 'text' END AS block_label,
-            CASE WHEN pos % 9 = 8 THEN concat('$ ^{{{{', doc_id % 3, '}}}} $ ', line) WHEN pos % 9 = 6 THEN concat('(', doc_id % 9, '.', pos, ')') WHEN pos % 9 = 0 THEN concat('# ', 1 + doc_id % 5, CASE pos % 27 WHEN 0 THEN '' WHEN 9 THEN '.2' ELSE '.2.3' END, ' ', substr(line, 1, 12))
+            CASE WHEN pos % 9 = 8 THEN concat('$ ^{{{{', doc_id % 3, '}}}} $ ', line) WHEN pos % 9 = 6 THEN concat('(', doc_id % 9, '.', pos, ')') WHEN pos % 9 = 0 THEN concat('# ', 1 + doc_id % 5, CASE pos % 27 WHEN 0 THEN '' WHEN 9 THEN '.2' ELSE '.2.3' END, ' ', line)
               WHEN pos % 9 = 1 THEN concat(line, ' $ ^{{{{', doc_id % 2, '}}}} $ see Example 1.', doc_id % 7, ' and Equation (2.', pos, ')') ELSE line END AS block_content,
             {d.array("CAST(50 * (pos % 3) AS DOUBLE)", "CAST(80 * (pos % 10) AS DOUBLE)", "CAST(50 * (pos % 3) + 200 AS DOUBLE)", "CAST(80 * (pos % 10) + 40 AS DOUBLE)")} AS block_bbox
         FROM {d.lines("{documents}", "doc_id", "text")} AS l""",
