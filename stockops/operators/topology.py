@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import at, by_keys, labels, page, plus_hours, ratio
@@ -132,13 +132,17 @@ def device_anomaly_candidates(devices: DataFrame, observations: DataFrame, as_of
     return df.orderBy(F.desc_nulls_last("observed_missing_rate"), F.asc("id"))
 
 
-def device_anomalies(devices: DataFrame, observations: DataFrame, as_of: str, window_hours: float = 24, min_confidence: float = 0.5) -> DataFrame:
-    """Devices with at least one anomaly label."""
-    df = device_anomaly_candidates(devices, observations, as_of, window_hours)
-    found = labels(
+def anomaly_labels(min_confidence: float) -> Column:
+    """status, n_obs, observed_missing_rate, missing_rate, avg_confidence -> the anomalies of a device."""
+    return labels(
         ((F.col("status") == "offline") & (F.col("n_obs") > 0), "offline_with_observations"),
         ((F.col("status") != "offline") & (F.col("n_obs") == 0), "online_without_observations"),
         (F.col("observed_missing_rate") > F.col("missing_rate"), "missing_rate_spike"),
         (F.round("avg_confidence", 9) < min_confidence, "low_confidence"),
     )
-    return df.withColumn("anomalies", found).where(F.size("anomalies") > 0)
+
+
+def device_anomalies(devices: DataFrame, observations: DataFrame, as_of: str, window_hours: float = 24, min_confidence: float = 0.5) -> DataFrame:
+    """Devices with at least one anomaly label."""
+    df = device_anomaly_candidates(devices, observations, as_of, window_hours)
+    return df.withColumn("anomalies", anomaly_labels(min_confidence)).where(F.size("anomalies") > 0)
