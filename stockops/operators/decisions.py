@@ -12,7 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import clip, days_between, labels, norm_cdf, ratio
-from ..functions.scan import BLOCK, running
+from ..functions.durable import written
+from ..functions.scan import BLOCK, running, same
+from . import skyline
 
 
 def belief_update(df: DataFrame) -> DataFrame:
@@ -309,13 +311,29 @@ def rank_actions(df: DataFrame, group: list[str], beam: int = 3) -> DataFrame:
     return df.withColumn("margin_class", F.when(F.col("margin") > 0.1, "HIGH").when(F.col("margin") > 0.02, "MARGINAL").otherwise("TIE"))
 
 
-def pareto_frontier(df: DataFrame, group: list[str], attributes: list[str], near: float = 0.05) -> DataFrame:
-    """Options of each group with ``dominated`` (at least as bad everywhere, worse somewhere) and
-    ``near_dominated`` (within ``near`` everywhere of one with a higher score).
+def pareto_frontier(df: DataFrame, group: list[str], attributes: list[str], near: float = 0.05, block: int = 2_000, split: int = 4096) -> DataFrame:
+    """Options of each group with ``dominated`` (at least as bad everywhere, worse somewhere), ``near_dominated``
+    (within ``near`` everywhere of one with a higher score) and ``reduction``, the share that is dominated.
 
-    A group holds the options of one decision, which someone has listed: they are gathered in one array
-    and compared in place, so nothing meets itself in a join.
+    Groups of up to ``block`` options are gathered in one array and compared in place, so nothing meets itself
+    in a join. Larger groups go through skylines of splits. An action_id is one option of its group; null
+    attributes neither dominate nor are dominated; null groups are a group.
     """
+    sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > block)
+    if sizes.isEmpty():
+        return compared_in_place(df, group, attributes, near)
+    small = df.alias("d").join(sizes.alias("s"), same("d", "s", group), "left_anti")
+    large = df.alias("d").join(F.broadcast(sizes).alias("s"), same("d", "s", group)).select("d.*", "_n").withColumn("_id", F.monotonically_increasing_id())
+    large = written(large, "options")
+    points = large.select(F.xxhash64(*group).alias("g"), F.col("_id").alias("id"), F.col("_n").alias("n"), F.array(*[F.col(c).cast("double") for c in attributes]).alias("x"), F.col("score").cast("double").alias("score"))
+    marked = written(large.join(skyline.mark_large(points, near, split).withColumnRenamed("id", "_id"), "_id"), "marked")
+    shares = marked.groupBy(*group).agg(F.avg(F.col("dominated").cast("double")).alias("reduction"))
+    out = marked.alias("d").join(F.broadcast(shares).alias("s"), same("d", "s", group)).select(*[f"d.{c}" for c in df.columns], "d.dominated", "d.near_dominated", "s.reduction")
+    return compared_in_place(small, group, attributes, near).unionByName(out)
+
+
+def compared_in_place(df: DataFrame, group: list[str], attributes: list[str], near: float) -> DataFrame:
+    """All options of a group against each other, in one array."""
     options = df.groupBy(*group).agg(F.collect_list(F.struct(*[df[c] for c in df.columns if c not in group])).alias("options"))
 
     def marks(x):
