@@ -21,50 +21,88 @@ def unit(v: np.ndarray) -> np.ndarray:
     return np.divide(v, n, out=np.zeros_like(v), where=n > 0)
 
 
-def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, block: int = 4096, block_bytes: int = 64 << 20) -> DataFrame:
+def best_of(sims: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k greatest of each row with their ids (ties: the smaller id): row, id, similarity, row by row."""
+    n = sims.shape[1]
+    least = -np.partition(-sims, min(k, n) - 1, axis=1)[:, min(k, n) - 1]
+    row, at = np.nonzero(sims >= least[:, None])
+    own, value = ids[row, at] if ids.ndim == 2 else ids[at], sims[row, at]
+    order = np.lexsort((own, -value, row))
+    row, own, value = row[order], own[order], value[order]
+    first = np.searchsorted(row, np.arange(len(sims)))
+    keep = np.arange(len(row)) - first[row] < k
+    return row[keep], own[keep], value[keep]
+
+
+def cell_topk(k: int, chunk: int):
+    """Best vectors of the queries of each cell. Rows come sorted by cell, queries first; only the queries and
+    their best so far are held, vectors pass by."""
+
+    def batches(it):
+        key, held, q, best = None, [], None, None
+
+        def done():
+            if best is None:
+                return
+            names, row, own, value = best
+            yield pa.RecordBatch.from_arrays([pa.array(names[row]), pa.array(own), pa.array(value)], ["query_id", "vec_id", "similarity"])
+
+        for batch in it:
+            if not batch.num_rows:
+                continue
+            cells = np.column_stack([batch.column(i).to_numpy() for i in range(4)])
+            cuts = np.concatenate([[0], np.flatnonzero((cells[1:] != cells[:-1]).any(1)) + 1, [len(cells)]])
+            for start, end in zip(cuts[:-1], cuts[1:], strict=True):
+                *cell, side = cells[start].tolist()
+                part = batch.slice(int(start), int(end - start))
+                if cell != key:
+                    yield from done()
+                    key, held, q, best = cell, [], None, None
+                ids = part.column(4).to_numpy()
+                rows = part.column(5).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+                if side == 0:
+                    held.append((ids, unit(rows)))
+                    continue
+                if not held:
+                    continue
+                if q is None:
+                    q = np.concatenate([i for i, _ in held]), np.concatenate([v for _, v in held])
+                for at in range(0, len(ids), chunk):
+                    sims = np.round(q[1] @ unit(rows[at : at + chunk]).T, 9)
+                    row, own, value = best_of(sims, ids[at : at + chunk], k)
+                    if best is not None:  # merge with the best so far
+                        row, own, value = (np.concatenate(x) for x in zip(best[1:], (row, own, value), strict=True))
+                        order = np.lexsort((own, -value, row))
+                        row, own, value = row[order], own[order], value[order]
+                        keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+                        row, own, value = row[keep], own[keep], value[keep]
+                    best = q[0], row, own, value
+        yield from done()
+
+    return batches
+
+
+def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, query_rows: int = 4096, vector_rows: int = 1 << 18, chunk: int = 4096) -> DataFrame:
     """The k most similar vectors of each query by cosine: query_id, vec_id, similarity, rank.
 
-    queries: (query_id, embedding); vectors: (vec_id, embedding). Queries are read in blocks of
-    bounded size. Every partition scores its vectors against a block by matrix product and keeps its k
-    best a query, so at most k rows a query and partition are shuffled. Ties go to the smaller vec_id.
+    queries: (query_id, embedding); vectors: (vec_id, embedding). Both sides are dealt to blocks, and every block
+    of queries meets every block of vectors in a cell of its own: a matrix product that keeps the k best of each
+    query, which are merged at the end. Nothing passes through the driver; queries are copied once for
+    each ``vector_rows`` vectors and vectors once for each ``query_rows`` queries. Null embeddings are left out,
+    zero vectors are similar to nothing (0), vectors of another length are not compared. Ties go to the
+    smaller vec_id.
     """
-    sc = vectors.sparkSession.sparkContext
-    parts, held = [], []
-
-    def against(rows):
-        ids = np.array([r[0] for r in rows], np.int64)
-        q = sc.broadcast((ids, unit(np.array([r[1] for r in rows], np.float64))))
-
-        def batches(it):
-            ids, q_unit = q.value
-            best: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0), np.empty(0, np.int64))] * len(ids)
-            for batch in it:
-                for at in range(0, batch.num_rows, block):
-                    part = batch.slice(at, block)
-                    own = part.column(0).to_numpy()
-                    values = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(own), -1)
-                    sims = np.round(q_unit @ unit(values).T, 9)
-                    for i in range(len(ids)):
-                        s, v = np.concatenate([best[i][0], sims[i]]), np.concatenate([best[i][1], own])
-                        top = np.lexsort((v, -s))[:k]
-                        best[i] = (s[top], v[top])
-            out = [(ids[i], v, s) for i in range(len(ids)) for s, v in zip(*best[i], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.float64())], ["query_id", "vec_id", "similarity"])
-
-        return vectors.select(F.col("vec_id").cast("long"), "embedding").where("embedding is not null").mapInArrow(batches, "query_id long, vec_id long, similarity double")
-
-    size = 0
-    for row in queries.select(F.col("query_id").cast("long"), "embedding").where("embedding is not null").toLocalIterator():
-        held.append(row)
-        size += 8 * len(row[1])
-        if size >= block_bytes:
-            parts.append(against(held))
-            held, size = [], 0
-    if held or not parts:
-        parts.append(against(held) if held else vectors.select(F.col("vec_id").cast("long").alias("query_id"), F.col("vec_id").cast("long"), F.lit(0.0).alias("similarity")).where("false"))
-    rows = reduce(DataFrame.union, parts)
+    side = lambda df, name: df.select(F.col(name).cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("e")).where("e is not null and id is not null")
+    q, v = side(queries, "query_id"), side(vectors, "vec_id")
+    nq, nv = max(1, -(-q.count() // query_rows)), max(1, -(-v.count() // vector_rows))
+    block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    asks = q.select(block(nq).alias("qb"), every(nv).alias("vb"), F.size("e").cast("long").alias("dims"), F.lit(0).cast("long").alias("side"), "id", "e")
+    rows = v.select(every(nq).alias("qb"), block(nv).alias("vb"), F.size("e").cast("long").alias("dims"), F.lit(1).cast("long").alias("side"), "id", "e")
+    cells = asks.unionByName(rows).repartition("qb", "vb", "dims").sortWithinPartitions("qb", "vb", "dims", "side")
+    found = cells.mapInArrow(cell_topk(k, chunk), "query_id long, vec_id long, similarity double")
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), F.asc("vec_id"))
-    return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def metadata_filter(schema: DataFrame, conditions: Sequence[tuple[str, str, object]], any_of: bool = False) -> Column:
