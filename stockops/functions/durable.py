@@ -10,11 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """Folder that driver and executors share: the session's ``spark.checkpoint.dir``.
 
-    Where the session names none, one is made in the warehouse, which executors share as well.
+    A local session, as in tests, that names none gets one in its warehouse. On a cluster that setting must be
+    there: a folder of the driver's own disk would be missed by executors.
     """
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or f"{spark.conf.get('spark.sql.warehouse.dir')}/.checkpoints")
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(named or f"{spark.conf.get('spark.sql.warehouse.dir')}/.checkpoints")
     return sc.getCheckpointDir()
 
 

@@ -18,6 +18,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from ..functions.python import ship
+from ..functions.skew import lookup
 
 ship(__name__)
 
@@ -149,11 +150,38 @@ def inside(inner: str, outer: str, slack: float) -> Column:
     return (i[0] >= o[0] - slack) & (i[1] >= o[1] - slack) & (i[2] <= o[2] + slack) & (i[3] <= o[3] + slack)
 
 
-def assign_to_region(blocks: DataFrame, regions: DataFrame, slack: float = 5.0) -> DataFrame:
-    """Blocks with the smallest region of their page that holds their box: an equi-join by page with a
-    range predicate. regions: doc_id, page_num, region_id, bbox."""
+PAGE = ["doc_id", "page_num"]
+
+
+def held_boxes(boxes: DataFrame, regions: DataFrame, box: str, region: str, slack: float, crowded: int = 64) -> DataFrame:
+    """Pairs of a page where the region, widened by ``slack``, holds the box: an equi-join with a range predicate.
+
+    Pages of more than ``crowded`` regions are laid out in a grid of as many cells. A box belongs to the cell of
+    its first corner, which a region that holds it must cover, so it meets regions in one cell and no pair
+    comes twice; a region is copied to the cells it covers. Rows with null boxes hold nothing.
+    """
+    r = F.col(region)
+    pages = regions.groupBy(*PAGE).agg(F.count(F.lit(1)).alias("n"), *[F.min(r[i]).alias(f"low{i}") for i in (0, 1)], *[F.max(r[i + 2]).alias(f"high{i}") for i in (0, 1)]).where(F.col("n") > crowded)
+    side = F.least(F.lit(64), F.ceil(F.sqrt("n"))).cast("int")
+    pages = pages.select(*PAGE, side.alias("side"), *[F.col(f"low{i}") for i in (0, 1)], *[F.greatest((F.col(f"high{i}") - F.col(f"low{i}")) / side, F.lit(1e-9)).alias(f"step{i}") for i in (0, 1)])
+    if pages.isEmpty():
+        return boxes.join(regions, PAGE).where(inside(box, region, slack))
+    cell = lambda x, i: F.greatest(F.lit(0.0), F.least((F.col("side") - 1).cast("double"), (x - F.col(f"low{i}")) / F.col(f"step{i}"))).cast("int")
+    extra = ["side", "low0", "low1", "step0", "step1"]
+    placed = lookup(boxes, pages, PAGE).withColumns({f"cell{i}": cell(F.col(box)[i], i) for i in (0, 1)}).drop(*extra)
+    spread = lookup(regions, pages, PAGE)
+    for i in (0, 1):
+        spread = spread.withColumn(f"cell{i}", F.explode(F.sequence(cell(r[i] - slack, i), cell(r[i + 2] + slack, i))))
+    dense = placed.join(spread.drop(*extra), [*PAGE, "cell0", "cell1"]).where(inside(box, region, slack)).drop("cell0", "cell1")
+    plain = lookup(boxes, pages, PAGE, "left_anti").join(regions, PAGE).where(inside(box, region, slack))
+    return plain.unionByName(dense)
+
+
+def assign_to_region(blocks: DataFrame, regions: DataFrame, slack: float = 5.0, crowded: int = 64) -> DataFrame:
+    """Blocks with the smallest region of their page that holds their box. regions: doc_id, page_num, region_id,
+    bbox."""
     r = regions.select("doc_id", "page_num", "region_id", "bbox")
-    hit = blocks.select("doc_id", "page_num", "block_id", "block_bbox").join(r, ["doc_id", "page_num"]).where(inside("block_bbox", "bbox", slack))
+    hit = held_boxes(blocks.select("doc_id", "page_num", "block_id", "block_bbox"), r, "block_bbox", "bbox", slack, crowded)
     area = (F.col("bbox")[2] - F.col("bbox")[0]) * (F.col("bbox")[3] - F.col("bbox")[1])
     best = hit.groupBy("doc_id", "page_num", "block_id").agg(F.min(F.struct(area.alias("a"), "region_id"))["region_id"].alias("region_id"))
     return blocks.join(best, ["doc_id", "page_num", "block_id"], "left")
@@ -288,19 +316,19 @@ def attach_figures(figures: DataFrame, blocks: DataFrame) -> tuple[DataFrame, Da
     return chunks, links
 
 
-def region_text(regions: DataFrame, blocks: DataFrame, slack: float = 0.05) -> DataFrame:
-    """Text of all OCR blocks inside a region, in order, the caption apart.
+def region_text(regions: DataFrame, blocks: DataFrame, slack: float = 0.05, crowded: int = 64) -> DataFrame:
+    """Text of all OCR blocks inside a region, in order, the caption apart, and the number of blocks.
 
     Boxes are normalised by page size. regions: doc_id, page_num, region_id, bbox; blocks also have
     width and height of their page.
     """
     unit = F.transform("block_bbox", lambda v, i: v / F.when(i % 2 == 0, F.col("width")).otherwise(F.col("height")))
     b = blocks.withColumn("ub", unit).select("doc_id", "page_num", "block_id", "block_content", "ub")
-    hit = regions.select("doc_id", "page_num", "region_id", "bbox").join(b, ["doc_id", "page_num"]).where(inside("ub", "bbox", slack))
+    hit = held_boxes(b, regions.select("doc_id", "page_num", "region_id", "bbox"), "ub", "bbox", slack, crowded)
     is_caption = F.col("block_content").rlike(r"(?i)^\s*(algorithm|example|figure|table)\s+[A-Z]?\d+\.\d+")
     item = F.struct(F.col("ub")[1].alias("y"), F.col("ub")[0].alias("x"), "block_id", "block_content")
     text = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(c, item))), lambda s: s["block_content"]), "\n")
-    return hit.groupBy("doc_id", "page_num", "region_id").agg(text(~is_caption).alias("content"), text(is_caption).alias("caption"))
+    return hit.groupBy("doc_id", "page_num", "region_id").agg(F.count(F.lit(1)).alias("n_blocks"), text(~is_caption).alias("content"), text(is_caption).alias("caption"))
 
 
 def repair_note_splits(blocks: DataFrame) -> DataFrame:

@@ -196,12 +196,13 @@ def c15b(t):
 @query("c16_region_text", ["blocks", "regions"], """
 , hit AS (SELECT b.*, region_id, block_content ~ '(?i)^\\s*(algorithm|example|figure|table)\\s+[A-Z]?\\d+\\.\\d+.*' AS cap FROM blocks b JOIN regions r ON r.doc_id = b.doc_id AND r.page_num = b.page_num
   WHERE block_bbox[1] / 600 >= bbox[1] / 600 - 0.05 AND block_bbox[2] / 800 >= bbox[2] / 800 - 0.05 AND block_bbox[3] / 600 <= bbox[3] / 600 + 0.05 AND block_bbox[4] / 800 <= bbox[4] / 800 + 0.05)
-SELECT doc_id, page_num, region_id, count(*) AS n_blocks FROM hit GROUP BY doc_id, page_num, region_id""")
+SELECT doc_id, page_num, region_id, count(*) AS n_blocks, md5(coalesce(string_agg(block_content, chr(10) ORDER BY block_bbox[2], block_bbox[1], block_id) FILTER (WHERE NOT cap), '')) AS content_md5,
+  md5(coalesce(string_agg(block_content, chr(10) ORDER BY block_bbox[2], block_bbox[1], block_id) FILTER (WHERE cap), '')) AS caption_md5 FROM hit GROUP BY doc_id, page_num, region_id""")
 def c16(t):
     unit = F.transform("bbox", lambda v, i: v / F.when(i % 2 == 0, 600.0).otherwise(800.0))
-    df = c.region_text(t.regions.withColumn("bbox", unit), t.blocks.withColumns({"width": F.lit(600.0), "height": F.lit(800.0), "block_content": F.regexp_replace("block_content", r"\n|^$", "_")}))
-    n = F.size(F.filter(F.split("content", "\n"), lambda x: x != "")) + F.size(F.filter(F.split("caption", "\n"), lambda x: x != ""))
-    return df.select("doc_id", "page_num", "region_id", n.cast("long").alias("n_blocks"))
+    blocks = t.blocks.withColumns({"width": F.lit(600.0), "height": F.lit(800.0)})
+    df = c.region_text(t.regions.withColumn("bbox", unit), blocks)
+    return df.select("doc_id", "page_num", "region_id", F.col("n_blocks").cast("long").alias("n_blocks"), F.md5("content").alias("content_md5"), F.md5("caption").alias("caption_md5"))
 
 
 @query("c17_repair_note_splits", ["blocks"], r"""
