@@ -2,6 +2,8 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
+import pytest
+
 from stockops.operators import graph
 from stockops.sources import files
 from stockops.streaming import twins
@@ -73,6 +75,21 @@ def test_scenarios(spark):
     assert got == {"s1": True, "s2": False}
 
 
+def test_yaml_scenarios_are_read_where_they_lie(spark, tmp_path):
+    pytest.importorskip("yaml")
+    (tmp_path / "deep").mkdir()
+    (tmp_path / "a.yaml").write_text("id: s1\ncategory: stock\nquery: how much?\nexpected_output:\n  must_include: {formula: true}\n---\nid: 2\n")
+    (tmp_path / "deep" / "b.yml").write_text("scenarios:\n- id: s3\n  difficulty: hard\n- {name: nobody}\n- plain\n")
+    (tmp_path / "broken.yaml").write_text("a: [1, 2\nb: }")
+    (tmp_path / "empty.yaml").write_text("")
+    (tmp_path / "other.txt").write_text("id: no\n")
+    (tmp_path / "long.yaml").write_text("id: long\nquery: " + "x" * 5_000)
+    rows = files.read_scenarios(spark, f"file://{tmp_path}", max_file_bytes=4_000).collect()
+    good = {r.scenario_id: (r.category, r.difficulty, r.query, r.expected, r.has_expected) for r in rows if r.error is None}
+    assert good == {"s1": ("stock", None, "how much?", '{"must_include": {"formula": true}}', True), "2": (None, None, None, "{}", False), "s3": (None, "hard", None, "{}", False)}
+    assert sorted((r.path.rsplit("/", 1)[1], r.position, r.error) for r in rows if r.error) == [("b.yml", 1, "no record with an id"), ("b.yml", 2, "no record with an id"), ("broken.yaml", 0, "not YAML: ParserError"), ("long.yaml", 0, "too long")]
+
+
 def test_database_is_read_in_ranges(spark):
     """The database that comes with Spark, in memory: bounds deal rows out and drop none."""
     url = "jdbc:derby:memory:stock;create=true"
