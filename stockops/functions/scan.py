@@ -70,3 +70,18 @@ def in_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
     met = cut.alias("c").join(offsets.alias("o"), same("c", "o", [*keys, "_range"])).select("c.*", *[f"o._o_{name}" for name in sums])
     local = in_window(met, [*keys, "_range"], order, {name: F.col(f"_v_{name}") for name in sums}, exclusive, fold)
     return local.withColumns({name: plus(F.col(name), F.col(f"_o_{name}")) for name in sums}).select(*df.columns, *sums)
+
+
+def medians(df: DataFrame, keys: Sequence[str], value: str, block: int = BLOCK, ranges: int | None = None) -> DataFrame:
+    """(keys, median): the exact median of the values of each key, the mean of the two middle ones if their number
+    is even. Equal values are counted first, then counts are summed in order of the values, in ranges where a
+    key has many; no key is ever gathered. Nulls count as nothing; a key without values has a null median.
+    """
+    keys = list(keys)
+    counts = df.groupBy(*keys, F.col(value).alias("_value")).agg(F.count(value).alias("_n"))
+    upto = running(counts, keys, [F.col("_value").asc_nulls_first()], {"_upto": F.col("_n")}, block=block, ranges=ranges)
+    total = df.groupBy(*keys).agg(F.count(value).alias("_total"))
+    met = upto.alias("u").join(total.alias("t"), same("u", "t", keys)).select("u.*", "_total")
+    at = lambda rank: F.min(F.when(F.col("_upto") >= rank, F.col("_value")))
+    low, high = at(F.floor((F.col("_total") + 1) / 2)), at(F.floor(F.col("_total") / 2) + 1)
+    return met.where("_value is not null or _total = 0").groupBy(*keys).agg(((low + high) / 2).alias("median"))

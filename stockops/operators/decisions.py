@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import clip, days_between, labels, norm_cdf, ratio
 from ..functions.durable import written
-from ..functions.scan import BLOCK, running, same
+from ..functions.scan import BLOCK, medians, running, same
 from . import skyline
 
 
@@ -394,19 +394,44 @@ def deferral(df: DataFrame) -> DataFrame:
     return df.withColumns({"deferral": F.when(stockout, "CANNOT_DEFER").when(spent, "FORCED_DECISION").when(defer, "DEFER").otherwise("ACT_NOW"), "wait_hours": F.when(defer, wait).otherwise(0), "n_deferrals_after": F.col("n_deferrals") + F.when(defer, 1).otherwise(0)})
 
 
-def resolve_conflicts(signals: DataFrame, keys: list[str]) -> DataFrame:
-    """Signals (mean, std, reliability) of a key: pooled estimate and kind of conflict.
-
-    Two signals conflict if any pair differs by more than twice the pooled std, which needs only the
-    extremes. The farthest from the median is the outlier; it is left out if its reliability is below
-    0.4. Against ``base_mean``/``base_std`` a pooled mean more than three std away is reset.
-    """
+def with_outliers(signals: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds median, pooled, spread, conflict and outlier by windows over each key."""
     every = Window.partitionBy(*keys)
     df = signals.withColumn("median", F.median("mean").over(every))
     df = df.withColumn("pooled", F.sqrt(F.avg(F.col("std") * F.col("std")).over(every))).withColumn("spread", F.max("mean").over(every) - F.min("mean").over(every))
     # ties of distance go to the least reliable signal
     far = Window.partitionBy(*keys).orderBy(F.desc(F.round(F.abs(F.col("mean") - F.col("median")), 9)), F.asc("reliability"), F.asc("signal_id"))
-    df = df.withColumn("conflict", F.col("spread") > 2 * F.col("pooled")).withColumn("outlier", F.col("conflict") & (F.row_number().over(far) == 1))
+    return df.withColumn("conflict", F.col("spread") > 2 * F.col("pooled")).withColumn("outlier", F.col("conflict") & (F.row_number().over(far) == 1))
+
+
+def with_outliers_of_hot_keys(signals: DataFrame, keys: list[str], block: int) -> DataFrame:
+    """The same by sums, an exact median and a smallest distance of each key, all added up over tasks; there are
+    few such keys, so what is told of them meets their signals by broadcast."""
+    rows = written(signals, "signals")
+    stats = rows.groupBy(*keys).agg(F.sqrt(F.avg(F.col("std") * F.col("std"))).alias("pooled"), (F.max("mean") - F.min("mean")).alias("spread"))
+    stats = stats.alias("a").join(medians(rows, keys, "mean", block).alias("b"), same("a", "b", keys)).select("a.*", "median")
+    met = rows.alias("r").join(F.broadcast(stats).alias("s"), same("r", "s", keys)).select("r.*", "s.median", "s.pooled", "s.spread")
+    met = met.withColumn("conflict", F.col("spread") > 2 * F.col("pooled"))
+    place = F.struct((-F.round(F.abs(F.col("mean") - F.col("median")), 9)).alias("d"), "reliability", "signal_id")
+    far = met.where("mean is not null").groupBy(*keys).agg(F.min(place)["signal_id"].alias("_far"))
+    out = met.alias("r").join(F.broadcast(far).alias("s"), same("r", "s", keys), "left").select("r.*", "_far")
+    return out.withColumn("outlier", F.col("conflict") & F.coalesce(F.col("signal_id") == F.col("_far"), F.lit(False))).drop("_far")
+
+
+def resolve_conflicts(signals: DataFrame, keys: list[str], block: int = BLOCK) -> DataFrame:
+    """Signals (mean, std, reliability) of a key: pooled estimate and kind of conflict.
+
+    Two signals conflict if any pair differs by more than twice the pooled std, which needs only the
+    extremes. The farthest from the median is the outlier; it is left out if its reliability is below
+    0.4. Against ``base_mean``/``base_std`` a pooled mean more than three std away is reset. Keys of more than
+    ``block`` signals are not gathered; a signal_id is one signal of its key.
+    """
+    hot = signals.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > block).select(*keys)
+    if hot.isEmpty():
+        df = with_outliers(signals, keys)
+    else:
+        side = lambda how: signals.alias("a").join(F.broadcast(hot).alias("b"), same("a", "b", keys), how)
+        df = with_outliers(side("left_anti"), keys).unionByName(with_outliers_of_hot_keys(side("left_semi"), keys, block))
     use = ~(F.col("outlier") & (F.col("reliability") < 0.4))
     w = F.when(use, F.col("reliability")).otherwise(0.0)
     out = df.groupBy(*keys).agg(

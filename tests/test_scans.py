@@ -8,7 +8,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from stockops.functions.forest import contracted
-from stockops.functions.scan import in_ranges, running
+from stockops.functions.scan import in_ranges, medians, running
 from stockops.operators import decisions, graph, inventory, topology
 
 
@@ -133,3 +133,16 @@ def test_siblings(spark):
     got = {r.id: r.sibling_rank for r in topology.sibling_order(tree).collect()}
     order = [i for _, i in sorted((c, i) for i, p, c in rows if p)]
     assert got == {"q": 1, "r": 2} | {i: k + 1 for k, i in enumerate(order)}
+
+
+def test_medians_and_conflicts_of_hot_keys(spark):
+    rng = random.Random(21)
+    rows = [("hot", f"{i:05d}", rng.choice([None, 5.0, 5.0, round(rng.gauss(5, 1), 2)]), 0.5, rng.choice([0.2, 0.9])) for i in range(2_000)]
+    rows += [("even", f"e{i}", float(v), 1.0, 0.5) for i, v in enumerate([1, 2, 10, 30])] + [("none", "n", None, 1.0, 0.5), (None, "x", 3.0, 1.0, 0.5)]
+    df = spark.createDataFrame([(*r, 5.0, 6.0) for r in rows], "k string, signal_id string, mean double, std double, reliability double, base_mean double, base_std double")
+    want = {r.k: r["median"] for r in df.groupBy("k").agg(F.median("mean").alias("median")).collect()}
+    for options in ({}, {"block": 3, "ranges": 7}):
+        assert {r.k: r["median"] for r in medians(df, ["k"], "mean", **options).collect()} == want
+    near = lambda df: sorted((str(r.k), r.conflict, r.outlier_id, r.n_used, r.reset, r["mean"] and round(r["mean"], 9), r["std"] and round(r["std"], 9), round(r.confidence_delta, 9)) for r in df.collect())
+    some = df.where("mean is not null")
+    assert near(decisions.resolve_conflicts(some, ["k"])) == near(decisions.resolve_conflicts(some, ["k"], block=100)) and decisions.resolve_conflicts(some, ["k"]).where("conflict").count() == 2
