@@ -105,10 +105,10 @@ def forest(ids: np.ndarray, fps: np.ndarray, home: np.ndarray, limit: int) -> li
     return [(int(ids[i]), int(ids[r])) for i, r in enumerate(root) if i != r and ids[i] != ids[r]]
 
 
-def grid_links(nodes: DataFrame, group_bits: int, radius: int, max_distance: int) -> DataFrame:
+def grid_links(nodes: DataFrame, group_bits: int, radius: int, max_distance: int, block: int = 16_000) -> DataFrame:
     """(node, fp) -> (src, dst) verified spanning links, by the grid range-join of the module.
 
-    ``group_bits`` divides 64. ``radius`` is 0 or 1: the Manhattan distance a group must keep.
+    Cells of more than ``block`` rows are dealt out to blocks. ``group_bits`` divides 64. ``radius`` is 0 or 1: the Manhattan distance a group must keep.
     """
     if 64 % group_bits or radius not in (0, 1):
         raise ValueError("group_bits must divide 64 and radius be 0 or 1")
@@ -131,11 +131,15 @@ def grid_links(nodes: DataFrame, group_bits: int, radius: int, max_distance: int
         ])
         up = rows.select("node", "fp", "grp", F.explode(F.array_compact(steps)).alias("cell"), F.lit(False).alias("home"))
         rows = rows.union(up)
-    return cell_links(rows, max_distance)
+    return cell_links(rows, max_distance, block)
 
 
-def cell_links(rows: DataFrame, max_distance: int) -> DataFrame:
-    """(node, fp, grp, cell, home) -> (src, dst) verified spanning links of the rows of each cell."""
+def cell_links(rows: DataFrame, max_distance: int, block: int) -> DataFrame:
+    """(node, fp, grp, cell, home) -> (src, dst) verified spanning links of the rows of each cell.
+
+    Crowded cells go through ``linked_blocks``: what is near one of their rows is linked by it, and only the
+    rest meets all others, block by block. There are fewer of them than rows over ``block``.
+    """
 
     def compare(ids, payload):
         fps = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in payload.chunks]).view(np.uint64).reshape(len(ids), -1)
@@ -143,7 +147,13 @@ def cell_links(rows: DataFrame, max_distance: int) -> DataFrame:
         return forest(ids, fps[:, :-1], home, max_distance) if home.any() else []
 
     payload = F.concat("fp", F.array(F.col("home").cast("long")))
-    return block_links(rows.select("grp", "cell", F.col("node").alias("id"), payload.alias("payload")), compare)
+    cells = rows.select("grp", "cell", F.col("node").alias("id"), payload.alias("payload"))
+    crowded = rows.groupBy("grp", "cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block).select("grp", "cell")
+    if crowded.isEmpty():
+        return block_links(cells, compare)
+    usual = block_links(cells.join(F.broadcast(crowded), ["grp", "cell"], "left_anti"), compare)
+    crowd = cells.join(F.broadcast(crowded), ["grp", "cell"]).select(F.xxhash64("grp", "cell").alias("grp"), "id", "payload")
+    return usual.union(linked_blocks(in_blocks(crowd, block), compare, block))
 
 
 def near_duplicates(

@@ -762,3 +762,22 @@ def test_components(spark):
     ids = sorted({x for p in linked if len(p) == 2 for x in p})
     roots = h.components(len(ids), lambda i, j: frozenset((ids[i], ids[j])) in linked)
     assert got == {x: ids[r] for x, r in zip(ids, roots, strict=True)}
+
+
+def test_crowded_cells_are_dealt_out(spark):
+    """A cell that holds most fingerprints is worked on in blocks, and no link is lost."""
+    rng = random.Random(77)
+    base = [rng.getrandbits(64) for _ in range(40)]
+    fps = {base[0]}
+    while len(fps) < 500:
+        f = base[0] if len(fps) < 400 else rng.choice(base)
+        for _ in range(rng.randrange(0, 5)):
+            f ^= 1 << rng.randrange(64)
+        fps.add(f)
+    fps = sorted(fps)
+    roots = h.components(len(fps), lambda i, j: (fps[i] ^ fps[j]).bit_count() <= 3)
+    nodes = spark.createDataFrame([(i, [f - (1 << 64) if f >> 63 else f]) for i, f in enumerate(fps)], "node long, fp array<long>")
+    for block in (30, 16_000):
+        found = connected_components(simhash.grid_links(nodes, 32, 1, 3, block))
+        got = {r.id: r.component for r in found.collect()}
+        assert [got.get(i, i) for i in range(len(fps))] == roots
