@@ -29,6 +29,10 @@ def folder(spark, tmp_path_factory):
     spark.createDataFrame(labels, "doc_id long, toxic int, quality int").write.parquet(f"{d}/labels.parquet")
     spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
     spark.createDataFrame([(1, "http://a.com/")], "page_id long, url string").write.parquet(f"{d}/pages.parquet")
+    talks = [(c, t, "user", f"turn {t if t < 2 else c}") for c in range(8) for t in range(4)]
+    spark.createDataFrame(talks, "conv_id long, turn long, role string, text string").write.parquet(f"{d}/conversations.parquet")
+    vectors = [(i, [rng.gauss(0, 1) for _ in range(64)], i % 3) for i in range(50)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<double>, label int").write.parquet(f"{d}/embeddings.parquet")
     return str(d)
 
 
@@ -92,7 +96,7 @@ def test_near_copies_that_are_caught(spark):
 def test_registered_queries_run(spark, folder, name):
     df = queries.QUERIES[name](spark, folder)
     n = df.count()
-    tables = {"op4_url_filter": "pages", "op9_substring_dedup": None}
+    tables = {"op4_url_filter": "pages", "op9_substring_dedup": None, "op11_conversation_trie": None, "op12_neighbours": "embeddings", "op13_centroids": "embeddings"}
     table = tables.get(name, "documents")
     if table:
         assert n == spark.read.parquet(f"{folder}/{table}.parquet").count()
