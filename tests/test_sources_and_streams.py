@@ -41,6 +41,16 @@ def test_streams_equal_batches(spark, tmp_path):
         assert rows_of(run(spark, f"{tmp_path}/obs", twin, tmp_path)) == rows_of(twin(obs))
 
 
+def test_panes_of_a_stream_give_the_windows(spark, tmp_path):
+    """State holds one row a device and hour, not one for each window over it."""
+    obs = observations(spark)
+    obs.repartition(4).write.parquet(f"{tmp_path}/obs")
+    stream = spark.readStream.schema(OBS).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/obs")
+    panes = twins.run_to_table(twins.stream_device_panes(stream, "10 days"), ["pane_start", "device_id"], f"{tmp_path}/panes")
+    assert panes.count() == obs.selectExpr("date_trunc('hour', observed_at)", "device_id").distinct().count()
+    assert rows_of(twins.windows_of_panes(panes)) == rows_of(twins.stream_device_health(obs))
+
+
 def test_rows_past_the_watermark_are_dropped(spark, tmp_path):
     early, late = observations(spark).where("event_id = 1"), observations(spark).where("event_id = 12")
     for k, rows in enumerate((late, late, early)):
