@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import ast
+import gc
 import re
 import uuid
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -129,6 +132,27 @@ def parent_chunk_link(chunks: DataFrame) -> DataFrame:
     return chunks.join(known, "defined_in_chunk", "left").withColumn("defined_in_chunk", F.when(F.col("parent_uuid").isNotNull(), F.col("defined_in_chunk")))
 
 
+def small_parts(batches, column: int, most: int = 1 << 20):
+    """Slices of batches whose texts in ``column`` have some ``most`` bytes together, or one longer text.
+
+    Syntax trees take many times the room of a text, so a worker never holds those of a whole batch. Trees
+    have no cycles: no garbage is collected while a slice is worked on.
+    """
+    for batch in batches:
+        upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        first = 0
+        while first < batch.num_rows:
+            end = max(first + 1, int(np.searchsorted(upto, (upto[first - 1] if first else 0) + most, "right")))
+            was_on = gc.isenabled()
+            gc.disable()
+            try:
+                yield batch.slice(first, end - first)
+            finally:
+                if was_on:
+                    gc.enable()
+            first = end
+
+
 def code_rows(source: str) -> list[tuple[str, str, str | None]]:
     """(kind, name, detail) of one fragment: class, method, function and call rows."""
     try:
@@ -138,14 +162,21 @@ def code_rows(source: str) -> list[tuple[str, str, str | None]]:
     out: list[tuple[str, str, str | None]] = []
 
     def calls(node, owner):
-        for n in ast.walk(node):
-            if isinstance(n, ast.Call):
-                f = n.func
-                if isinstance(f, ast.Name):
-                    out.append(("call", owner, f.id))
-                elif isinstance(f, ast.Attribute):
-                    base = f.value.id if isinstance(f.value, ast.Name) else "?"
-                    out.append(("call", owner, f"{base}.{f.attr}"))
+        left = [node]
+        while left:
+            for value in vars(left.pop()).values():
+                for n in value if isinstance(value, list) else (value,):
+                    # names and constants hold nothing, and most nodes are names
+                    if not isinstance(n, ast.AST) or isinstance(n, ast.Name | ast.Constant):
+                        continue
+                    left.append(n)
+                    if isinstance(n, ast.Call):
+                        f = n.func
+                        if isinstance(f, ast.Name):
+                            out.append(("call", owner, f.id))
+                        elif isinstance(f, ast.Attribute):
+                            base = f.value.id if isinstance(f.value, ast.Name) else "?"
+                            out.append(("call", owner, f"{base}.{f.attr}"))
 
     for node in tree.body:
         if isinstance(node, ast.ClassDef):
@@ -164,7 +195,7 @@ def code_entities(fragments: DataFrame) -> DataFrame:
     """fragments: fragment_id, code -> fragment_id, kind, name, detail. Invalid fragments give no rows."""
 
     def batches(it):
-        for batch in it:
+        for batch in small_parts(it, 1):
             rows = [(i, *r) for i, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for r in code_rows(c or "")]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(4)], ["fragment_id", "kind", "name", "detail"])
 
@@ -242,7 +273,7 @@ def code_refs(chunks: DataFrame, schema: DataFrame) -> DataFrame:
     """Definitions used by the code in each chunk: chunk_id, kind, name, id."""
 
     def batches(it):
-        for batch in it:
+        for batch in small_parts(it, 1):
             rows = [(i, n) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for n in sorted({n for b in code_blocks(t or "") for n in names_used(b)})]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(2)], ["chunk_id", "used"])
 

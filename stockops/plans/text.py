@@ -299,17 +299,26 @@ DEFINITION = r"concat('def ', n, '(x):\n    return ', coalesce(get(names, i + 1)
 METHOD = r"concat('    def m(self):\n        return self.m(', coalesce(get(names, 0), 'len'), '(1), K', doc_id + 1, '())')"
 
 
-def programs(t):
+def spread(docs):
+    """Documents dealt out by id: parsing is long work for few bytes, so the parts of a file are too coarse."""
+    return docs.select("doc_id", "text").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+
+
+def programs(docs):
     """Documents as programs: every line is a function that calls the next one with the words of the line;
     a class begins and the last line ends with classes of other documents. doc_id, names, defs, method."""
-    df = t.documents.select("doc_id", F.expr(WORDS).alias("w")).withColumn("names", F.expr(NAMES))
+    df = docs.select("doc_id", F.expr(WORDS).alias("w")).withColumn("names", F.expr(NAMES))
     return df.select("doc_id", "names", F.expr(f"transform(names, (n, i) -> {DEFINITION})").alias("defs"), F.expr(METHOD).alias("method"))
 
 
-def fragments(t):
+def fragments(docs):
     """One program a document; one in eleven does not parse."""
     code = F.expr(r"concat('class K', doc_id, ':\n', method, '\n\n\n', array_join(defs, '\n\n\n'), '\n', CASE WHEN doc_id % 11 = 0 THEN 'def broken(:\n' ELSE '' END)")
-    return programs(t).select(F.concat(F.lit("F"), "doc_id").alias("fragment_id"), code.alias("code"), "doc_id")
+    return programs(docs).select(F.concat(F.lit("F"), "doc_id").alias("fragment_id"), code.alias("code"), "doc_id")
+
+
+def entities_of(t):
+    return g.code_entities(fragments(spread(t.documents)))
 
 
 PROGRAMS = """
@@ -326,12 +335,12 @@ cg AS (SELECT DISTINCT c.name AS caller, df.name AS callee, df.kind FROM ok c JO
 
 @query("g10_code_entities", [], PROGRAMS + " SELECT fragment_id, kind, name, detail FROM ok")
 def g10(t):
-    return g.code_entities(fragments(t))
+    return entities_of(t)
 
 
 @query("g11_call_graph", [], PROGRAMS + " SELECT caller, callee, kind FROM cg")
 def g11(t):
-    return g.call_graph(written(g.code_entities(fragments(t)), "entities"))
+    return g.call_graph(written(entities_of(t), "entities"))
 
 
 LEVELS = PROGRAMS + """,
@@ -342,11 +351,11 @@ ll AS (SELECT ln.name, ln.name AS component, coalesce(max(k), 0) AS level FROM l
 
 @query("g16_call_levels", [], LEVELS + " SELECT name, component, level FROM ll")
 def g16_levels(t):
-    return cgr.call_levels(written(g.call_graph(written(g.code_entities(fragments(t)), "entities")), "calls"))
+    return cgr.call_levels(written(g.call_graph(written(entities_of(t), "entities")), "calls"))
 
 
 def schema_of(t):
-    entities = written(g.code_entities(fragments(t)), "entities")
+    entities = written(entities_of(t), "entities")
     return g.code_schema(entities, g.call_graph(entities))
 
 
@@ -364,7 +373,7 @@ def g12(t):
 def g13(t):
     # the prose of a document and a fence that uses what it defines
     fence = F.concat(F.lit("\n```python\ny = "), F.coalesce(F.get("names", F.lit(0)), F.lit("len")), F.lit("(K"), "doc_id", F.lit("())\n```\n"))
-    prose = programs(t).select("doc_id", fence.alias("fence")).join(t.documents.select("doc_id", "text"), "doc_id")
+    prose = programs(t.documents).select("doc_id", fence.alias("fence")).join(t.documents.select("doc_id", "text"), "doc_id")
     return g.code_refs(prose.select(F.col("doc_id").cast("string").alias("chunk_id"), F.concat(F.coalesce("text", F.lit("")), "fence").alias("content")), schema_of(t))
 
 
@@ -373,7 +382,7 @@ us AS (SELECT DISTINCT d.cls AS name, d.fragment_id AS home, u.fragment_id AS us
 
 
 def usage(t):
-    frags = fragments(t).withColumnRenamed("fragment_id", "block_id")
+    frags = fragments(t.documents).withColumnRenamed("fragment_id", "block_id")
     return g.usage_index(frags, frags.select("block_id", F.concat(F.lit("K"), "doc_id").alias("name")))
 
 
@@ -384,7 +393,7 @@ def g14(t):
 
 @query("g15_related_definitions", [], USAGE + " SELECT used_in AS block_id, name, home FROM us WHERE CAST(substr(home, 2) AS BIGINT) % 10 < CAST(substr(used_in, 2) AS BIGINT) % 10")
 def g15(t):
-    return g.related_definitions(usage(t), fragments(t).select(F.col("fragment_id").alias("block_id"), (F.col("doc_id") % 10).alias("chapter")))
+    return g.related_definitions(usage(t), fragments(t.documents).select(F.col("fragment_id").alias("block_id"), (F.col("doc_id") % 10).alias("chapter")))
 
 
 def closure(t, entities):
@@ -399,7 +408,7 @@ cl AS (SELECT root, name, max(depth) AS depth FROM lv GROUP BY root, name)"""
 
 @query("g16_code_closure", [], CLOSURE + " SELECT root, name, depth FROM cl")
 def g16(t):
-    return closure(t, written(g.code_entities(fragments(t)), "entities"))
+    return closure(t, written(entities_of(t), "entities"))
 
 
 @query("g16_callees_first", [], LEVELS + """,
@@ -409,7 +418,7 @@ dv AS (SELECT root, root AS name, 0 AS depth FROM rt UNION SELECT root, callee,
 dc AS (SELECT root, name, max(depth) AS depth FROM dv GROUP BY root, name)
 SELECT root, dc.name, depth, coalesce(level, 0) AS level, row_number() OVER (PARTITION BY root ORDER BY coalesce(level, 0), dc.name) AS place FROM dc LEFT JOIN ll USING (name)""")
 def g16_order(t):
-    entities = written(g.code_entities(fragments(t)), "entities")
+    entities = written(entities_of(t), "entities")
     calls = written(g.call_graph(entities), "calls")
     roots = entities.where("kind = 'method'").select(F.col("name").alias("root"), "name")
     # classes with names of even length come with the algorithm that is their method
@@ -425,13 +434,13 @@ src AS (SELECT cls || '.m' AS name, cls AS block, concat('    def m(self):', chr
 bl AS (SELECT root, block, max(depth) AS depth, string_agg(code, chr(10) ORDER BY src.name <> block, depth DESC, src.name) AS code FROM cl JOIN src USING (name) GROUP BY root, block)
 SELECT root, md5(string_agg(code, chr(10) || chr(10) ORDER BY depth DESC, block)) AS source_md5, count(*) AS n_blocks FROM bl GROUP BY root""")
 def g17(t):
-    p = programs(t)
+    p = programs(t.documents)
     cls = F.concat(F.lit("K"), "doc_id")
     none = F.lit(None).cast("string")
     functions = p.select(F.explode(F.arrays_zip(F.col("names").alias("name"), F.col("defs").alias("code"))).alias("d")).select("d.name", none.alias("class_ref"), "d.code")
     methods = p.select(F.concat(cls, F.lit(".m")).alias("name"), cls.alias("class_ref"), F.col("method").alias("code"))
     classes = p.select(cls.alias("name"), none.alias("class_ref"), F.concat(F.lit("class "), cls, F.lit(":")).alias("code"))
-    found = closure(t, written(g.code_entities(fragments(t)), "entities"))
+    found = closure(t, written(entities_of(t), "entities"))
     return g.assemble_source(found, functions.union(methods).union(classes)).select("root", F.md5("source").alias("source_md5"), "n_blocks")
 
 

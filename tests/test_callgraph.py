@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import ast
+import gc
 import random
+from collections import Counter
+
+import pyarrow as pa
 
 from stockops.operators import callgraph, graph
 
@@ -52,3 +57,22 @@ def test_closure_skips_what_belongs_to_roots_and_orders_callees_first(spark):
     for r in sorted(callgraph.callees_first(found, callgraph.call_levels(calls)).collect(), key=lambda r: r.place):
         order.setdefault(r.root, []).append(r.name)
     assert order == {"r1": ["a", "b", "r1"], "r2": ["e", "d", "r2"]}
+
+
+def test_parts_of_batches_are_small_and_whole():
+    texts = ["x" * 400, None, "", "y" * 5000, *["z" * 300] * 20]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["i", "t"])
+    parts = []
+    for part in graph.small_parts([batch, batch.slice(0, 0)], 1, 1000):
+        assert not gc.isenabled()
+        parts.append(part)
+    assert gc.isenabled()
+    assert [i for p in parts for i in p.column(0).to_pylist()] == list(range(len(texts)))
+    assert all(p.num_rows == 1 or sum(len(t or "") for t in p.column(1).to_pylist()) <= 1000 for p in parts) and len(parts) < 12
+
+
+def test_calls_are_those_of_a_plain_walk():
+    code = "class C(b()):\n    @d(1)\n    def m(self, x=e()):\n        def g(y: h()): return [i(k) for k in l() if n()]\n        return self.o(p(q), *r(), **{s(): a.b.c(t())}), (lambda: u())(), f'{v(w)}'\n"
+    tree = ast.parse(code).body[0].body[0]
+    want = Counter(f.id if isinstance(f, ast.Name) else f"{f.value.id if isinstance(f.value, ast.Name) else '?'}.{f.attr}" for f in (n.func for n in ast.walk(tree) if isinstance(n, ast.Call)) if isinstance(f, ast.Name | ast.Attribute))
+    assert Counter(detail for kind, _, detail in graph.code_rows(code) if kind == "call") == want and len(want) > 10
