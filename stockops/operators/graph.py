@@ -286,8 +286,9 @@ def usage_index(blocks: DataFrame, declared: DataFrame) -> DataFrame:
 
     The line that declares a name is no use of it; a block does not use what it declares itself.
     """
-    lines = blocks.select("block_id", F.explode(F.split("code", "\n")).alias("line")).where(~F.col("line").rlike(r"^\s*(def|class|struct|function|mutable struct)\s"))
-    tokens = lines.select("block_id", F.explode(F.array_distinct(F.regexp_extract_all("line", F.lit(r"[A-Za-z_]\w*"), F.lit(0)))).alias("name")).distinct()
+    lines = F.filter(F.split("code", "\n"), lambda line: ~line.rlike(r"^\s*(def|class|struct|function|mutable struct)\s"))
+    names = F.array_distinct(F.flatten(F.transform(lines, lambda line: F.regexp_extract_all(line, F.lit(r"[A-Za-z_]\w*"), F.lit(0)))))
+    tokens = blocks.select("block_id", F.explode(names).alias("name"))
     d = declared.select("name", F.col("block_id").alias("home")).distinct()
     return tokens.join(d, "name").where("block_id <> home").select("name", "home", F.col("block_id").alias("used_in")).distinct()
 

@@ -344,3 +344,19 @@ def test_tree_of_any_depth(spark):
     assert got == {f"n{i}": ("n0", i, i + 1) for i in range(1000)} | {"s1": ("n0", 11, 12), "s2": ("n0", 11, 12), "lost": ("lost", 0, 1)}
     up = {r.id: (r.capacity_units, r.n_nodes) for r in topology.subtree_rollup(tree).collect()}
     assert up["n0"] == (1010, 1002) and up["n999"] == (1, 1) and up["n10"] == (1000, 992)
+
+
+def test_usage_index_shuffles_names_once(spark):
+    blocks = spark.createDataFrame([("a", "def f(x):\n    return g(x, x)"), ("a", "f(1)"), ("b", "y = f(2)\nf(f(3))\n  struct g"), ("c", None), ("d", "g")], "block_id string, code string")
+    declared = spark.createDataFrame([("f", "a"), ("f", "a"), ("g", "d")], "name string, block_id string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = graph.usage_index(blocks, declared)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, df.collect())) == [("f", "a", "b"), ("g", "d", "a")]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # names in use meet the declared ones, and only what is found is made distinct
+    scan = plan.index("Generate explode")
+    assert plan[:scan].count("HashAggregate(keys=[block_id") + plan[scan:].count("HashAggregate(keys=[block_id") == 0
