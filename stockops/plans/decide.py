@@ -267,7 +267,9 @@ def b13(t):
 
 
 def confident(t):
-    t.keep("order_lines", "moves", "balances", "observations")
+    # an id of a move takes a rank over all columns of its line
+    t.keep("moves", "balances", without=["id"])
+    t.keep("order_lines", "observations")
     sens = signals(t).select(F.col("id").alias("device_id"), F.col("reliability").alias("sensor"), (F.col("signal") == "LOW").cast("int").alias("n_low"))
     reg = regimes(t).select("product_id", "regime")
     best = ranked(t).where("rank = 1").select("order_id", "margin", "margin_class")

@@ -26,10 +26,11 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return load(self.spark, self.sf_dir, name, self._cache)
 
-    def keep(self, *names: str) -> None:
-        """Write tables that a query reads many times once; later uses read what was written."""
+    def keep(self, *names: str, without: Sequence[str] = ()) -> None:
+        """Write tables that a query reads many times once; later uses read what was written. Columns that the
+        query does not use can be left out, with all the work that they alone need."""
         for name in names:
-            self._cache[name] = written(getattr(self, name), name)
+            self._cache[name] = written(getattr(self, name).drop(*without), name)
 
 
 def query(name: str, needs: Sequence[str] = (), sql: str | None = None):

@@ -64,3 +64,16 @@ def test_partitions_do_not_change_results(spark):
         assert rows() == before
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", width)
+
+
+def test_kept_moves_take_no_rank_of_lines(spark, monkeypatch):
+    """Moves kept for decisions have no id, so their table is written without a window over all lines."""
+    plans = {}
+
+    def spy(df, name):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return df
+
+    monkeypatch.setattr("stockops.plans.registry.written", spy)
+    QUERIES["b14_decision_confidence"](spark, FOLDER)
+    assert "Window" not in plans["moves"] and "Window" not in plans["balances"] and "Window" in plans["order_lines"]

@@ -131,3 +131,26 @@ def test_chunks_become_objects_with_links(spark):
     got = {r.chunk_id: r for r in graph.chunk_objects(spark.createDataFrame(rows, fields), spark.createDataFrame([("b", [0.5])], "chunk_id string, embedding array<double>")).collect()}
     assert got["a"].embedding is None and got["b"].embedding == [0.5] and got["b"].links == []
     assert [(x.field, x.target) for x in got["a"].links] == [(field, got["b"].uuid)]
+
+
+def test_purchase_orders_are_distinct_before_the_joins(spark):
+    """Rows of a plain DISTINCT over the join, whatever repeats; no aggregate over the wide rows."""
+    from stockops.sources import logical
+
+    tables = {
+        "orders": "VALUES (1, 'F', '1995-01-01'), (1, 'F', '1995-01-01'), (1, 'O', '1995-01-01'), (2, 'P', '1996-01-01'), (3, 'O', '1996-02-01'), (3, 'X', '1996-02-01'), (4, CAST(NULL AS STRING), CAST(NULL AS STRING)) AS t(o_orderkey, o_orderstatus, o_orderdate)",
+        "lineitem": "VALUES (1, 7), (1, 7), (1, 8), (2, 8), (3, 7), (4, 9), (5, 7), (1, NULL) AS t(l_orderkey, l_suppkey)",
+        "supplier": "VALUES (7, 3), (7, 3), (7, 4), (8, 5), (9, 6) AS t(s_suppkey, s_nationkey)",
+    }
+    given = {n: spark.sql(f"SELECT * FROM {v}") for n, v in tables.items()}
+    df = spark.sql(logical.TABLES["purchase_orders"](logical.Dialect(spark=True)), **given)
+
+    class Plain(logical.Dialect):
+        """Spark's spelling with the oracle's statement."""
+
+        def hours(self, ts, n):
+            return f"timestampadd(HOUR, CAST({n} AS INT), {ts})"
+
+    want = spark.sql(logical.TABLES["purchase_orders"](Plain(spark=False)), **given)
+    assert df.columns == want.columns and sorted(map(str, df.collect())) == sorted(map(str, want.collect())) and df.count() > 6
+    assert "Aggregate [id" not in df._jdf.queryExecution().optimizedPlan().toString()
