@@ -247,13 +247,16 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, width: int, max_broadcast:
     return found.mapInArrow(batches, "grp long, pivot long, k int, id long, payload array<long>")
 
 
-def similar_rows(docs: DataFrame, threshold: float, width: int, lanes: int, bands: int, rows: int, max_distance: int, block: int, max_broadcast: int) -> DataFrame:
-    """(doc_id, row, component) of each row of ``docs``; a component is named by one of its sets."""
+def similar_rows(docs: DataFrame, threshold: float, width: int, lanes: int, group_bits: int, radius: int, bands: int, rows: int, max_distance: int, block: int, max_broadcast: int) -> DataFrame:
+    """(doc_id, row, component) of each row of ``docs``; a component is named by one of its sets.
+
+    Candidates come from the grid range-join of the fingerprints and, beyond its radius, from bands."""
     prints = written(sketches(docs, width, lanes, bands, rows), "sketches")
     nodes = durable(prints.groupBy(F.col("h").alias("id")).agg(F.min(F.struct("doc_id", "row")).alias("at"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
     cells = nodes.select("id", F.posexplode("keys").alias("band", "key")).select(F.xxhash64("band", "key").alias("grp"), "id")
     met = in_blocks(cells, 16 * block).join(nodes.select("id", F.col("fp").alias("payload")), "id")
-    maybe = connected_components(linked_blocks(written(met, "cells"), compare_prints(max_distance), 16 * block))
+    near = written(grid_links(nodes.select(F.col("id").alias("node"), "fp"), group_bits, radius, max_distance, 16 * block), "near")
+    maybe = connected_components(near.union(linked_blocks(written(met, "cells"), compare_prints(max_distance), 16 * block)))
     wanted = in_blocks(maybe.withColumnRenamed("component", "grp"), block).join(nodes, "id").select("at.doc_id", "at.row", "grp", "pivot", "k", "id")
     sets = written(shingle_sets(docs, durable(wanted), width, max_broadcast), "shingles")
     comps = connected_components(linked_blocks(sets, compare_sets(threshold), block)).withColumnRenamed("id", "h")
@@ -271,14 +274,26 @@ def compare_prints(limit: int):
 
 
 def similar_documents(
-    docs: DataFrame, threshold: float = 0.8, width: int = 5, lanes: int = 2, bands: int = 16, rows: int = 3, max_distance: int = 44, block: int = 1000, max_broadcast: int = 8 << 20
+    docs: DataFrame,
+    threshold: float = 0.8,
+    width: int = 5,
+    lanes: int = 2,
+    group_bits: int = 32,
+    radius: int = 1,
+    bands: int = 16,
+    rows: int = 3,
+    max_distance: int = 44,
+    block: int = 1000,
+    max_broadcast: int = 8 << 20,
 ) -> DataFrame:
     """One row for each row of ``docs``: doc_id, component_id (smallest doc_id reachable by links).
 
     Two texts are linked if the Jaccard similarity of their sets of shingles reaches ``threshold``;
-    this is decided on the sets themselves. Candidates share a band of a MinHash signature and differ
-    in at most ``max_distance`` of the fingerprint's bits: a pair at 0.8 shares no band with a chance
-    of 0.00001, and differs in 19 bits on average (deviation 4; 24 and 4.5 for sets of four and five).
+    this is decided on the sets themselves. Candidates meet in the grid of the fingerprints, which loses
+    no pair within 7 of 128 bits (``group_bits`` and ``radius`` as in ``grid_links``), or share a band of a
+    MinHash signature, for pairs beyond that radius; either way they differ in at most ``max_distance`` of the
+    fingerprint's bits. A pair at 0.8 shares no band with a chance of 0.00001, and differs in 19 bits on
+    average (deviation 4; 24 and 4.5 for sets of four and five).
     All rows of a component of candidates are compared, whichever candidates joined it. Buckets and
     components of more than some rows are dealt out to blocks. Sets are named by 64-bit hashes.
 
@@ -286,7 +301,7 @@ def similar_documents(
     own. A component without any doc_id has none. Repeated rows each get a row; an empty table gives an
     empty table; other columns are ignored.
     """
-    found = durable(similar_rows(docs, threshold, width, lanes, bands, rows, max_distance, block, max_broadcast))
+    found = durable(similar_rows(docs, threshold, width, lanes, group_bits, radius, bands, rows, max_distance, block, max_broadcast))
     least = found.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return found.join(least, "component").select("doc_id", "component_id")
 
@@ -299,7 +314,7 @@ def drop_near_duplicates(docs: DataFrame, max_broadcast: int = 8 << 20, **option
     in doc_id and text one stays, whatever their other columns. Null or empty texts are one group. Texts
     are not shuffled while the rows that go fit ``max_broadcast`` bytes. An empty table stays empty.
     """
-    settings = {"threshold": 0.8, "width": 5, "lanes": 2, "bands": 16, "rows": 3, "max_distance": 44, "block": 1000}
+    settings = {"threshold": 0.8, "width": 5, "lanes": 2, "group_bits": 32, "radius": 1, "bands": 16, "rows": 3, "max_distance": 44, "block": 1000}
     rows = similar_rows(docs.select("doc_id", "text"), **(settings | options), max_broadcast=max_broadcast)
     rows = durable(rows.groupBy("doc_id", "row", "component").agg(F.count(F.lit(1)).alias("n")))
     best = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("best"))

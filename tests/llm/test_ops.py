@@ -114,6 +114,17 @@ def test_drop_near_duplicates_judges_rows(spark):
         assert [r.doc_id for r in kept.collect() if not r.text] == [4]
 
 
+def test_drop_near_duplicates_meets_near_prints_in_the_grid(spark):
+    """Copies with one word more, with a band that hardly any of them shares."""
+    rng = random.Random(41)
+    rows = []
+    for i in range(20):
+        w = [f"v{rng.randrange(3000)}" for _ in range(400)]
+        rows += [(i, " ".join(w), "s"), (100 + i, " ".join([*w, "end"]), "s")]
+    kept = simhash.drop_near_duplicates(h.documents(spark, rows), bands=1, rows=1000)
+    assert {r.doc_id for r in kept.collect()} == set(range(20))
+
+
 def test_drop_near_duplicates_around_the_threshold(spark):
     """Against all pairs: similarities from 0.7 to 0.95, short texts, a repeated line, a chain in blocks."""
     rng = random.Random(21)
