@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,30 +11,50 @@ from ..functions.durable import forget, written
 from ..functions.scan import BLOCK, running
 
 
+#: No way down has that many calls; ways round a circle, which double in every round, stop there.
+FAR = 1 << 40
+
+
 def settled(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(src, dst) -> (name, level) of all that reach no cycle, and the names that do.
 
     The level is the longest way down to a name that calls nothing. A round settles the names all of whose
-    callees are settled; an edge to a name with one edge only is led on to where that one goes, so chains
-    take the logarithm of their length.
+    callees are settled; an edge to a name with one open edge only is led on to where that one goes, so chains
+    take the logarithm of their length. What is known of a name by settled callees is a row without dst.
+    A round groups what is still open once and joins it once; what was settled earlier is not read again.
     """
-    names = edges.select(F.col("src").alias("name")).union(edges.select("dst")).distinct()
-    known = written(names.join(edges.select(F.col("src").alias("name")), "name", "left_anti").withColumn("level", F.lit(0).cast("long")), "levels")
-    left = written(edges.select("src", "dst", F.lit(1).cast("long").alias("w")), "edges")
+    names = edges.select("src").union(edges.select("dst")).distinct()
+    none, at_most = F.lit(None).cast(edges.schema["dst"].dataType), lambda w: F.least(w, F.lit(FAR))
+    left = written(edges.select("src", "dst", F.lit(1).cast("long").alias("w")).union(names.select("src", none, F.lit(0).cast("long"))), "edges")
+    known: list[DataFrame] = []
     while True:
-        met = left.join(known.select(F.col("name").alias("dst"), "level"), "dst", "left")
-        done = met.groupBy("src").agg(F.max(F.col("w") + F.col("level")).alias("level"), F.count(F.lit(1)).alias("n"), F.count("level").alias("m")).where("n = m")
-        done = written(done.select(F.col("src").alias("name"), "level"), "done")
+        over = lambda c: F.max(F.when(c, F.col("w")))
+        state = left.groupBy("src").agg(F.min("dst").alias("to"), F.max("dst").alias("other"), over(F.col("dst").isNotNull()).alias("by"), over(F.col("dst").isNull()).alias("floor"))
+        state = written(state, "state")
+        done = state.where("to is null").select(F.col("src").alias("name"), F.col("floor").alias("level"))
         if done.isEmpty():
             break
-        open_ = left.join(done.select(F.col("name").alias("src")), "src", "left_anti")
-        single = open_.groupBy("src").agg(F.count(F.lit(1)).alias("n"), F.first("dst").alias("to"), F.first("w").alias("by")).where("n = 1").select(F.col("src").alias("dst"), "to", "by")
-        led = open_.join(single, "dst", "left").select("src", F.coalesce("to", "dst").alias("dst"), (F.col("w") + F.coalesce("by", F.lit(0))).alias("w"))
-        former, left = (known, left), written(led.groupBy("src", "dst").agg(F.max("w").alias("w")), "edges")
-        known = written(known.union(done), "levels")
-        for df in former:
-            forget(df)
-    return known, left.select(F.col("src").alias("name")).distinct()
+        if len(known) == 16:
+            former, known = known, [written(union(known), "levels")]
+            for df in former:
+                forget(df)
+        known.append(done)
+        # a name with one open edge to a name that is settled by now is as good as settled: no edge may be led past the end
+        single = state.where("to = other and to <> src").join(done.withColumnRenamed("name", "to"), "to", "left")
+        through = single.select("src", F.when(F.col("level").isNull(), F.col("to")).alias("to"), "by", F.greatest("floor", F.col("by") + F.col("level")).alias("floor"))
+        lookup = state.where("to is null").select("src", "to", "by", "floor").union(through).withColumnRenamed("src", "dst").withColumn("met", F.lit(True))
+        seen = left.where("dst is not null").join(lookup, "dst", "left")
+        edge = F.struct(F.when(F.col("met"), F.col("to")).otherwise(F.col("dst")).alias("dst"), at_most(F.col("w") + F.when(F.col("to").isNotNull(), F.col("by")).otherwise(F.lit(0))).alias("w"))
+        end = F.struct(none.alias("dst"), at_most(F.col("w") + F.col("floor")).alias("w"))
+        led = seen.select("src", F.inline(F.array_compact(F.array(F.when(F.col("met").isNull() | F.col("to").isNotNull(), edge), F.when((F.col("floor") > 0) | (F.col("met") & F.col("to").isNull()), end)))))
+        former, left = left, written(led.union(state.where("to is not null and floor > 0").select("src", none, "floor")), "edges")
+        forget(former)
+    nothing = names.select(F.col("src").alias("name"), F.lit(0).cast("long").alias("level")).where("false")
+    return union([*known, nothing] if not known else known), state.select(F.col("src").alias("name"))
+
+
+def union(tables: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.union, tables)
 
 
 def strongly_connected(edges: DataFrame) -> DataFrame:
@@ -75,21 +97,26 @@ def call_levels(calls: DataFrame) -> DataFrame:
     """(caller, callee) -> (name, component, level): callees have lower levels than callers, and names that
     call each other in a circle share a component (its smallest name) and a level.
 
-    A name that calls itself is no circle; rows with nulls are no calls; repeated calls count once.
+    A name that calls itself is no circle; rows with nulls are no calls; repeated calls count once. Names are
+    numbered once, and the rounds work on numbers.
     """
-    edges = written(calls.where("caller is not null and callee is not null and caller <> callee").select(F.col("caller").alias("src"), F.col("callee").alias("dst")).distinct(), "calls")
     names = calls.select(F.col("caller").alias("name")).union(calls.select("callee")).where("name is not null").distinct()
+    names = written(names.select("name", F.monotonically_increasing_id().alias("id")), "names")
+    of = lambda c, k: names.select(F.col("name").alias(c), F.col("id").alias(k))
+    edges = calls.where("caller <> callee").select("caller", "callee").join(of("caller", "src"), "caller").join(of("callee", "dst"), "callee").select("src", "dst").distinct()
+    edges = written(edges, "calls")
     levels, open_ = settled(edges)
     if open_.isEmpty():
-        return names.join(levels, "name", "left").select("name", F.col("name").alias("component"), F.coalesce("level", F.lit(0)).alias("level"))
-    open_ = written(open_, "open")
+        return names.join(levels.withColumnRenamed("name", "id"), "id", "left").select("name", F.col("name").alias("component"), F.coalesce("level", F.lit(0)).alias("level"))
     side = lambda c: open_.withColumnRenamed("name", c)
     circles = written(strongly_connected(edges.join(side("src"), "src", "left_semi").join(side("dst"), "dst", "left_semi")), "circles")
     of = lambda c: circles.select(F.col("name").alias(c), F.col("component").alias(f"{c}_component"))
     drawn = edges.join(of("src"), "src", "left").join(of("dst"), "dst", "left").select(F.coalesce("src_component", "src").alias("src"), F.coalesce("dst_component", "dst").alias("dst")).where("src <> dst").distinct()
     levels, _ = settled(written(drawn, "drawn"))
-    named = names.join(circles, "name", "left").select("name", F.coalesce("component", "name").alias("component"))
-    return named.join(levels.withColumnRenamed("name", "component"), "component", "left").select("name", "component", F.coalesce("level", F.lit(0)).alias("level"))
+    named = names.join(circles.withColumnRenamed("name", "id"), "id", "left")
+    least = named.where("component is not null").groupBy("component").agg(F.min("name").alias("least"))
+    named = named.join(least, "component", "left").select("name", F.coalesce("least", "name").alias("least"), F.coalesce("component", "id").alias("id"))
+    return named.join(levels.withColumnRenamed("name", "id"), "id", "left").select("name", F.col("least").alias("component"), F.coalesce("level", F.lit(0)).alias("level"))
 
 
 def callees_first(closure: DataFrame, levels: DataFrame, block: int = BLOCK) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ast
 import gc
+import keyword
 import re
 import uuid
 
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import labels
-from ..functions.durable import durable
+from ..functions.durable import durable, written
 from ..functions.python import ship
 from ..functions.scan import BLOCK, running
 
@@ -153,10 +154,24 @@ def small_parts(batches, column: int, most: int = 1 << 20):
             first = end
 
 
+#: Four or more plain names and nothing else in the parentheses of a call, a signature or the like.
+PLAIN_NAMES = re.compile(r"(?<=\w\()(?:[A-Za-z_]\w*, ){3,}+[A-Za-z_]\w*+(?=\))", re.A)
+KEYWORDS = frozenset(keyword.kwlist)
+
+
+def two_names(found: re.Match) -> str:
+    names = found[0].split(", ")
+    return ", ".join(names[:2]) if KEYWORDS.isdisjoint(names) else found[0]
+
+
 def code_rows(source: str) -> list[tuple[str, str, str | None]]:
-    """(kind, name, detail) of one fragment: class, method, function and call rows."""
+    """(kind, name, detail) of one fragment: class, method, function and call rows.
+
+    Long lists of plain names are parsed as their first two: wherever Python takes two names in parentheses
+    it takes more, names call nothing, and what strings and comments hold is not asked for.
+    """
     try:
-        tree = ast.parse(source)
+        tree = ast.parse(PLAIN_NAMES.sub(two_names, source))
     except (SyntaxError, ValueError, RecursionError, MemoryError):
         return []
     out: list[tuple[str, str, str | None]] = []
@@ -209,15 +224,16 @@ def call_graph(entities: DataFrame) -> DataFrame:
     function; else to the method of that short name, if it is the only one. Both steps are joins on a
     unique name, so a method name that every class has is no hot key.
     """
-    defs = entities.where("kind <> 'call'").select(F.col("kind").alias("target_kind"), F.col("name").alias("target")).distinct()
-    calls = entities.where("kind = 'call'").select(F.col("name").alias("caller"), F.col("detail").alias("raw")).distinct()
-    owner = F.regexp_extract("caller", r"^([^.]+)\.", 1)
-    full = F.when(F.col("raw").startswith("self.") & (owner != ""), F.concat(owner, F.lit("."), F.substring_index("raw", ".", -1))).otherwise(F.col("raw"))
-    found = calls.withColumn("target", full).join(defs, "target", "left")
-    exact = found.where("target_kind is not null").groupBy("caller", "raw", "target").agg(F.min("target_kind").alias("target_kind"))
-    only = defs.where("target_kind = 'method'").groupBy(F.substring_index("target", ".", -1).alias("short")).agg(F.min("target").alias("target"), F.count(F.lit(1)).alias("n")).where("n = 1")
-    other = found.where("target_kind is null").select("caller", F.substring_index("raw", ".", -1).alias("short")).join(only, "short").select("caller", "target", F.lit("method").alias("target_kind"))
-    return exact.select("caller", "target", "target_kind").union(other).distinct().select("caller", F.col("target").alias("callee"), F.col("target_kind").alias("kind"))
+    defs = entities.where("kind <> 'call'").groupBy(F.col("name").alias("target")).agg(F.min("kind").alias("target_kind"))
+    calls = entities.where("kind = 'call'").select(F.col("name").alias("caller"), F.col("detail").alias("raw"))
+    owner, short = F.regexp_extract("caller", r"^([^.]+)\.", 1), F.substring_index("raw", ".", -1)
+    full = F.when(F.col("raw").startswith("self.") & (owner != ""), F.concat(owner, F.lit("."), short)).otherwise(F.col("raw"))
+    calls = calls.select("caller", full.alias("target"), short.alias("short")).distinct()
+    # both steps read what the first join found, so calls are shuffled for it once
+    found = written(calls.join(defs, "target", "left").select("caller", "target", "target_kind", F.when(F.col("target_kind").isNull(), F.col("short")).alias("short")), "found")
+    only = entities.where("kind = 'method'").select(F.col("name").alias("target")).distinct().groupBy(F.substring_index("target", ".", -1).alias("short")).agg(F.min("target").alias("target"), F.count(F.lit(1)).alias("n")).where("n = 1")
+    other = found.where("target_kind is null").select("caller", "short").join(only, "short").select("caller", "target", F.lit("method").alias("target_kind"))
+    return found.where("target_kind is not null").select("caller", "target", "target_kind").union(other).distinct().select("caller", F.col("target").alias("callee"), F.col("target_kind").alias("kind"))
 
 
 def code_schema(entities: DataFrame, calls: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import ast
 import gc
 import random
 from collections import Counter
+from pathlib import Path
 
 import pyarrow as pa
 
@@ -48,6 +49,28 @@ def test_levels_of_a_long_chain_and_of_nothing(spark):
     assert levels(spark, []) == {}
 
 
+def test_levels_of_a_deep_ladder_beside_a_circle_of_three(spark):
+    # every rung calls the two below it, so no edge is led on and rounds are many; ways round the circle double in each
+    edges = [(i + 1, i) for i in range(66)] + [(i + 2, i) for i in range(65)] + [(200, 201), (201, 202), (202, 200)]
+    assert levels(spark, edges) == plain(edges)
+
+
+def test_a_round_of_levels_groups_once_and_joins_what_is_open_once(spark, monkeypatch):
+    sizes = []
+
+    def counted(df, name):
+        out = written(df, name)
+        sizes.append((name, out.count()))
+        return out
+
+    written = callgraph.written
+    monkeypatch.setattr(callgraph, "written", counted)
+    got = levels(spark, [(10 * c + i + 1, 10 * c + i) for c in range(40) for i in range(8)])
+    assert got == {10 * c + i: (10 * c + i, i) for c in range(40) for i in range(9)}
+    # a round writes two tables, and what was settled is not written again in every round
+    assert sum(n for name, n in sizes if name == "levels") <= 360 and {name for name, _ in sizes} <= {"names", "calls", "edges", "state", "levels"}, sizes
+
+
 def test_closure_skips_what_belongs_to_roots_and_orders_callees_first(spark):
     calls = spark.createDataFrame([("r1", "a"), ("a", "b"), ("b", "a"), ("r1", "c"), ("c", "d"), ("r2", "d"), ("d", "e")], "caller string, callee string")
     roots = spark.createDataFrame([("r1", "r1"), ("r2", "r2")], "root string, name string")
@@ -76,3 +99,26 @@ def test_calls_are_those_of_a_plain_walk():
     tree = ast.parse(code).body[0].body[0]
     want = Counter(f.id if isinstance(f, ast.Name) else f"{f.value.id if isinstance(f.value, ast.Name) else '?'}.{f.attr}" for f in (n.func for n in ast.walk(tree) if isinstance(n, ast.Call)) if isinstance(f, ast.Name | ast.Attribute))
     assert Counter(detail for kind, _, detail in graph.code_rows(code) if kind == "call") == want and len(want) > 10
+
+
+def test_long_lists_of_names_are_parsed_as_two(monkeypatch):
+    parsed = []
+    parse = ast.parse
+    monkeypatch.setattr(graph.ast, "parse", lambda x, *a: parsed.append(x) or parse(x, *a))
+    words = ", ".join(f"w{i}" for i in range(500))
+    assert graph.code_rows(f"def a(x):\n    return b({words})\n") == [("function", "a", None), ("call", "a", "b")]
+    assert len(parsed[0]) < 60
+
+
+def test_shorter_lists_change_no_row():
+    bodies = [
+        "f(a, b, c, d, g(e, h, i, j))", "f(a, b, c, d, *e)", "f(a, b, None, True, c)", "f(a, if, b, c, d)", "f(a, lambda, b, c, d)", "f(a, b, c, d, e) += g()",
+        "f'{f(a, b, c, d)} {g(h(a, b, c, d, e))}'", "'f(a, b, c, d' + g()", "'f(a, b, c, d)' + g(h)", "f(a, b, c, d) # g(a, b, c, d)", "f(a, b, c, d, e=1, f)", "f(a, b, c, d,)", "f(a, b,\n c, d, e, g)",
+        "f(a, b, c, d for d in e(a, b, c, d))", "self.m(a, b, c, d).n(a, b, c, d)", "[x for(a, b, c, d)in g(h)]", "not(a, b, c, d)", "f(a, b, c, d)(e, g, h, i)", "f(a, b, c, é)", "é(a, b, c, d, e)", "0(a, b, c, d)", "f(a b, c, d, e, g)",
+    ]
+    sources = [f"class K(A, B, C, D, E):\n    def m(self, a, b, c, d):\n        {x}\n\ndef g(a, b, c, d, e):\n    return {x}\n" for x in bodies]
+    sources += ["def f(a, None, b, c, d): g()", "def f(a, b, c, d, *): g()", "from x import(a, b, c, d)\ndef f(): g()", "def f(x):\n    match x:\n        case C(a, b, c, d): g(a, b, c, d)\n        case(a, b, c, d, e): h()\n"]
+    sources += [Path(m.__file__).read_text() for m in (ast, pa, random, graph, callgraph)]
+    whole = [graph.code_rows(x.replace(", ", " , ")) for x in sources]  # no list is shortened
+    assert [graph.code_rows(x) for x in sources] == whole
+    assert sum(map(len, whole)) > 1000
