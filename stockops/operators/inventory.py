@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import at, by_keys, lowered, page, ratio, weighted_mean
+from ..functions.durable import written
 from ..functions.scan import BLOCK, running
 
 
@@ -38,19 +39,30 @@ def window_of(df: DataFrame, column: str, start: str | None, end: str | None) ->
     return df
 
 
+def of_keys(df: DataFrame, keys: DataFrame, max_bytes: int = 8 << 20, row_bytes: int = 128) -> DataFrame:
+    """Rows of ``df`` whose keys stand in ``keys``, or all rows if the counted keys are too many to be broadcast.
+
+    For a join that follows: where ``df`` sums facts by these keys, Spark takes the filter to the facts, and what
+    no one asks for is neither summed nor shuffled.
+    """
+    return df.join(F.broadcast(keys), keys.columns, "left_semi") if keys.count() * row_bytes <= max_bytes else df
+
+
 def observation_vs_balance(observations: DataFrame, balances: DataFrame, products: DataFrame, locations: DataFrame, start: str | None = None, end: str | None = None, warehouse_id: str | None = None, offset: int = 0, limit: int | None = 50) -> DataFrame:
     """Confidence-weighted estimate against the book stock, largest discrepancy first.
 
-    Observations are reduced to one row a key before any join.
+    Observations are reduced to one row a key before any join, and all else to the keys observed.
     """
     seen = window_of(observations, "observed_at", start, end).where(~F.col("is_missing") & F.col("observed_qty").isNotNull())
     est = seen.groupBy("product_id", "location_id").agg(
         weighted_mean(F.col("observed_qty"), F.col("confidence")).alias("estimate"), F.count(F.lit(1)).alias("n_obs"), F.avg("confidence").alias("avg_confidence")
     )
-    loc = locations.select(F.col("id").alias("location_id"), "warehouse_id")
+    est = written(est, "estimates")
+    loc, goods, book = locations.select(F.col("id").alias("location_id"), "warehouse_id"), products.select(F.col("id").alias("product_id"), "sku"), balances.select("product_id", "location_id", "on_hand")
+    loc, goods, book = of_keys(loc, est.select("location_id")), of_keys(goods, est.select("product_id")), of_keys(book, est.select("product_id", "location_id"))
     if warehouse_id is not None:
         loc = loc.where(F.col("warehouse_id") == warehouse_id)
-    df = est.join(loc, "location_id").join(products.select(F.col("id").alias("product_id"), "sku"), "product_id").join(balances.select("product_id", "location_id", "on_hand"), ["product_id", "location_id"])
+    df = est.join(loc, "location_id").join(goods, "product_id").join(book, ["product_id", "location_id"])
     df = df.withColumn("discrepancy", F.col("estimate") - F.col("on_hand"))
     return page(df, [F.desc_nulls_last(F.abs("discrepancy")), F.asc("sku"), F.asc("location_id")], offset, limit)
 
@@ -66,7 +78,8 @@ def observed_snapshot(observations: DataFrame, balances: DataFrame, quality: lis
     b = balances.select("product_id", "location_id", "on_hand", "reserved", "quality_status")
     if quality:
         b = b.where(F.col("quality_status").isin(lowered(quality)))
-    df = latest_observation(observations).join(b, ["product_id", "location_id"])
+    latest = written(latest_observation(observations), "latest")
+    df = latest.join(of_keys(b, latest.select("product_id", "location_id")), ["product_id", "location_id"])
     return df if dev_mode else df.drop("on_hand", "reserved")
 
 

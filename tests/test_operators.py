@@ -360,3 +360,25 @@ def test_usage_index_shuffles_names_once(spark):
     # names in use meet the declared ones, and only what is found is made distinct
     scan = plan.index("Generate explode")
     assert plan[:scan].count("HashAggregate(keys=[block_id") + plan[scan:].count("HashAggregate(keys=[block_id") == 0
+
+
+def test_balances_are_summed_for_observed_keys_only(spark, monkeypatch):
+    facts = spark.createDataFrame([(f"P{i % 50}", f"N{i % 7}" if i % 11 else None, float(i)) for i in range(2000)], "product_id string, location_id string, delta double")
+    balances = facts.groupBy("product_id", "location_id").agg(F.sum("delta").alias("on_hand"), F.lit(0.0).alias("reserved"), F.min(F.lit("ok")).alias("quality_status"))
+    seen = [("a", "P1", "N1", 4.0), ("b", "P1", "N1", 8.0), ("c", "P3", "N2", 1.0), ("d", "P9", "N99", 1.0), ("e", None, "N1", 1.0), ("f", "P1", None, 1.0), ("g", "P99", "N1", 1.0)]
+    observations = spark.createDataFrame([(*r, 1.0, False) for r in seen], "id string, product_id string, location_id string, observed_qty double, confidence double, is_missing boolean").withColumn("observed_at", F.timestamp_seconds(F.ascii("id")))
+    products = spark.createDataFrame([(f"P{i}", f"S{i}") for i in range(50)], "id string, sku string")
+    locations = spark.createDataFrame([(f"N{i}", "W1") for i in range(7)], "id string, warehouse_id string")
+    run = lambda: (inventory.observation_vs_balance(observations, balances, products, locations, limit=None), inventory.observed_snapshot(observations, balances, dev_mode=True))
+    compared, snapshot = run()
+    for df in (compared, snapshot):
+        plan = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        summed = next(k for k, line in enumerate(plan) if "Aggregate" in line)
+        assert any("LeftSemi" in line for line in plan[summed:])
+    stock = {(r.product_id, r.location_id): r.on_hand for r in balances.collect()}
+    assert {(r.product_id, r.location_id): (r.estimate, r.on_hand) for r in compared.collect()} == {("P1", "N1"): (6.0, stock["P1", "N1"]), ("P3", "N2"): (1.0, stock["P3", "N2"])}
+    assert {(r.id, r.on_hand) for r in snapshot.collect()} == {("b", stock["P1", "N1"]), ("c", stock["P3", "N2"])}
+    # too many keys to be broadcast: the same rows
+    monkeypatch.setattr(inventory, "of_keys", lambda df, keys: df)
+    for former, plain in zip((compared, snapshot), run(), strict=True):
+        assert sorted(former.collect(), key=str) == sorted(plain.collect(), key=str)
