@@ -71,19 +71,38 @@ class Runs:
         return mixed((self.sums[end] - self.sums[start]) * self.back[start] + (end - start).astype(np.uint64))
 
 
-def band_keys(grams: np.ndarray, begin: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """Signed 64-bit band keys, a row for each run of ``grams`` that starts at ``begin``."""
-    out = np.empty((len(begin), bands), np.uint64)
+def least_hashes(grams: np.ndarray, begin: np.ndarray, n: int) -> np.ndarray:
+    """MinHash signatures of ``n`` values, a row for each run of ``grams`` that starts at ``begin``."""
+    out = np.empty((len(begin), n), np.uint64)
+    for k in range(n):
+        seed = 0xD1B54A32D192ED03 * (k + 1) % 2**64
+        out[:, k] = np.minimum.reduceat((grams ^ np.uint64(seed)) * np.uint64(seed | 1), begin)
+    return out
+
+
+def keys_of(least: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """Signed 64-bit band keys of signatures of ``bands * rows`` values."""
+    out = np.empty((len(least), bands), np.uint64)
     for b in range(bands):
-        key = np.full(len(begin), b + 1, np.uint64)
+        key = np.full(len(least), b + 1, np.uint64)
         for r in range(rows):
-            seed = 0xD1B54A32D192ED03 * (b * rows + r + 1) % 2**64
-            low = np.minimum.reduceat((grams ^ np.uint64(seed)) * np.uint64(seed | 1), begin)
-            key = mixed(key * MIX_A + low)
+            key = mixed(key * MIX_A + least[:, b * rows + r])
         out[:, b] = key
     return out.view(np.int64)
 
 
+def band_keys(grams: np.ndarray, begin: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """Signed 64-bit band keys, a row for each run of ``grams`` that starts at ``begin``."""
+    return keys_of(least_hashes(grams, begin, bands * rows), bands, rows)
+
+
+def marks_of(least: np.ndarray) -> np.ndarray:
+    """One byte of each value of a signature, packed in longs: rows share a byte as often as they share a value,
+    or by chance in one of 256."""
+    low = (mixed(least) & np.uint64(255)).astype(np.uint8)
+    return np.pad(low, ((0, 0), (0, -low.shape[1] % 8))).view(np.int64)
+
+
 def piece_starts(w: np.ndarray, begin: np.ndarray, sizes: np.ndarray, radius: int) -> np.ndarray:
     """Places of ``w`` at which a piece begins. Texts lie apart by at least ``radius`` blank places."""
     inside = np.zeros(len(w) + 1, np.int64)

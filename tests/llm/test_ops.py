@@ -19,7 +19,7 @@ sys.path.insert(0, str(Path(__file__).parent))
 import helpers as h  # noqa: E402
 
 from stockops.llm import decontaminate, exact_dedup, mixing, paragraphs, pii, quality, sharding, simhash, toxicity, url_filter  # noqa: E402
-from stockops.llm.common import connected_components  # noqa: E402
+from stockops.llm.common import connected_components, maybe_among  # noqa: E402
 
 RNG = random.Random(7)
 VOCABULARY = [f"w{i}" for i in range(400)]
@@ -792,3 +792,28 @@ def test_crowded_cells_are_dealt_out(spark):
         found = connected_components(simhash.grid_links(nodes, 32, 1, 3, block))
         got = {r.id: r.component for r in found.collect()}
         assert [got.get(i, i) for i in range(len(fps))] == roots
+
+
+def test_chance_does_not_chain_candidates(spark, monkeypatch):
+    """Texts of two shingles have fingerprints of few set bits, a third of which are within the distance of candidates
+    by chance: unrelated ones are not candidates, so components of candidates do not grow with the square of the table."""
+    rng = random.Random(55)
+    rows = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(6)), "s") for i in range(3000)]
+    rows += [(5000 + i, t + (" end" if i % 2 else ""), "s") for i, t, _ in rows[:20]]
+    asked, read = [], simhash.shingle_sets
+    monkeypatch.setattr(simhash, "shingle_sets", lambda docs, wanted, *a: (asked.append(wanted.count()), read(docs, wanted, *a))[1])
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(h.documents(spark, rows)).collect()}
+    # equal texts are one set; two of three shingles are no near copy
+    assert kept == set(range(3000)) | set(range(5001, 5020, 2)) and asked[0] <= 40
+
+
+def test_few_rows_may_be_among_the_keys(spark):
+    """No key is lost, with or without an id, and hardly any other row is taken for one."""
+    df = spark.range(40_000).select(F.when(F.col("id") % 1000 > 0, F.col("id")).alias("doc_id"), F.xxhash64("id").alias("row"))
+    keys = df.where("row % 8 = 0")
+    got = maybe_among(df, ["doc_id", "row"], keys, 8 << 20)
+    assert got.columns == [*df.columns, "maybe"] and got.count() == 40_000
+    assert got.where("maybe and row % 8 = 0").count() == keys.count()
+    assert got.where("maybe and row % 8 <> 0").count() < 40_000 / 10
+    assert maybe_among(df, ["doc_id", "row"], keys, 0).where("maybe and row % 8 = 0").count() == keys.count()
+    assert maybe_among(df, ["doc_id", "row"], keys.limit(0), 0).where("maybe").isEmpty()
