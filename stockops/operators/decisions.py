@@ -99,12 +99,22 @@ def belief_sequence(readings: DataFrame, keys: list[str], prior_mean: float, pri
     return whole.select(*keys, F.col("n_readings").cast("int").alias("n_readings"), F.coalesce("e.exact", mean).alias("mean"), F.when(F.col("e.exact").isNull(), std).otherwise(0.0).alias("std"))
 
 
+def delivery_sums(pos: DataFrame, as_of: Column, by: list[str], decay: float = 0.05) -> DataFrame:
+    """Decayed successes and failures of the orders of each ``by`` that have arrived: by, s_eff, f_eff."""
+    done = F.col("arrived_at").isNotNull() & F.col("expected_at").isNotNull() & (F.col("arrived_at") <= as_of)
+    w = F.when(done, F.exp(-decay * F.greatest(F.lit(0.0), days_between(F.col("arrived_at"), as_of)))).otherwise(0.0)
+    on_time = F.col("arrived_at") <= F.col("expected_at")
+    return pos.groupBy(*by).agg(F.sum(F.when(on_time, w).otherwise(0.0)).alias("s_eff"), F.sum(F.when(on_time, 0.0).otherwise(w)).alias("f_eff"))
+
+
 def supplier_evidence(pos: DataFrame, suppliers: DataFrame, as_of: Column, decay: float = 0.05, prior_strength: float = 10.0) -> DataFrame:
     """Beta posterior of on-time delivery: decayed successes and failures over a prior from the score."""
-    done = pos.where(F.col("arrived_at").isNotNull() & F.col("expected_at").isNotNull() & (F.col("arrived_at") <= as_of))
-    w = F.exp(-decay * F.greatest(F.lit(0.0), days_between(F.col("arrived_at"), as_of)))
-    on_time = F.col("arrived_at") <= F.col("expected_at")
-    ev = done.groupBy("supplier_id").agg(F.sum(F.when(on_time, w).otherwise(0.0)).alias("s_eff"), F.sum(F.when(on_time, 0.0).otherwise(w)).alias("f_eff"))
+    return posterior_of_sums(delivery_sums(pos, as_of, ["supplier_id"], decay), suppliers, prior_strength)
+
+
+def posterior_of_sums(sums: DataFrame, suppliers: DataFrame, prior_strength: float = 10.0) -> DataFrame:
+    """The same of ``delivery_sums`` by suppliers, or by more than these."""
+    ev = sums.groupBy("supplier_id").agg(F.sum("s_eff").alias("s_eff"), F.sum("f_eff").alias("f_eff"))
     df = suppliers.select(F.col("id").alias("supplier_id"), "reliability_score").join(ev, "supplier_id", "left").fillna(0.0, ["s_eff", "f_eff"])
     return beta_posterior(df, prior_strength)
 

@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
+from ..functions.durable import written
 from ..operators import decisions as b
 from ..operators import inventory as inv
 from ..operators import topology as top
@@ -165,8 +166,18 @@ term AS (SELECT *, 0.35 * fill_rate AS f, 0.3 / (1 + penalty_exposure / 1000) AS
 util AS (SELECT *, f + p + l + s AS utility, CASE greatest(f, p, l, s) WHEN f THEN 'fill' WHEN p THEN 'penalty' WHEN l THEN 'leadtime' ELSE 'sla' END AS dominant_driver, rank() OVER (PARTITION BY order_id ORDER BY round(f + p + l + s, 9) DESC) AS rank FROM term)"""
 
 
-def actions(t):
-    site = risk(t).groupBy(F.col("destination_warehouse_id").alias("w")).agg(F.max("risk_class").alias("risk_class"))
+def site_risk(t):
+    """Highest risk of each warehouse's orders. It is that of their supplier, place and model, so orders are read
+    once and summed by these."""
+    by = ["supplier_id", "destination_warehouse_id", "leadtime_model_id"]
+    sums = written(b.delivery_sums(t.purchase_orders, F.lit(AS_OF).cast("timestamp"), by), "deliveries")
+    late = b.po_leadtime_risk(sums.select(*by), t.leadtime_models, b.posterior_of_sums(sums, t.suppliers), 12.0)
+    return late.groupBy(F.col("destination_warehouse_id").alias("w")).agg(F.max("risk_class").alias("risk_class"))
+
+
+def actions(t, whole=None):
+    """``t`` may hold some orders only if ``whole`` holds all that the risk is taken from."""
+    site = site_risk(whole or t)
     df = t.order_lines.join(t.sales_orders.select(F.col("id").alias("order_id"), F.col("sla_priority").alias("sla")), "order_id")
     df = df.withColumn("w", F.expr("concat('W', CAST(substr(product_id, 2) AS BIGINT) % 25)")).join(site, "w", "left").withColumn("risk_class", F.coalesce("risk_class", F.lit("ACCEPTABLE")))
     df = df.withColumn("fill_rate", F.when(F.col("qty_ordered") > 0, F.col("qty_allocated") / F.col("qty_ordered")).otherwise(1.0))
@@ -222,8 +233,8 @@ top1 AS (SELECT order_id, CASE WHEN nxt IS NULL THEN 1 ELSE score - nxt END AS m
 ranked AS (SELECT rk.*, margin, CASE WHEN round(margin, 9) > 0.1 THEN 'HIGH' WHEN round(margin, 9) > 0.02 THEN 'MARGINAL' ELSE 'TIE' END AS margin_class FROM rk JOIN top1 USING (order_id) WHERE rn <= 3)"""
 
 
-def ranked(t):
-    df = actions(t).drop("rank").withColumns({"score": F.round("utility", 9), "uncertainty": 0.01 * F.col("qty_ordered").cast("int"), "reliability": F.lit(0.5), "feasibility": F.when(F.col("fill_rate") < 0.49, "INFEASIBLE").otherwise("FEASIBLE")})
+def ranked(t, whole=None):
+    df = actions(t, whole).drop("rank").withColumns({"score": F.round("utility", 9), "uncertainty": 0.01 * F.col("qty_ordered").cast("int"), "reliability": F.lit(0.5), "feasibility": F.when(F.col("fill_rate") < 0.49, "INFEASIBLE").otherwise("FEASIBLE")})
     return b.rank_actions(df, ["order_id"])
 
 
@@ -267,14 +278,22 @@ def b13(t):
 
 
 def confident(t):
-    # an id of a move takes a rank over all columns of its line
-    t.keep("moves", "balances", without=["id"])
-    t.keep("order_lines", "observations")
+    t.keep("observations")
+    asked = written(t.observations.select("product_id").distinct(), "asked")
+    # lines of the products that are observed: enough for what is summed by products, but not for ids, which are
+    # ranked among all lines of an order
+    goods = t.narrowed(asked, lineitem="concat('P', l_partkey)")
+    # whole orders that hold such a line: their margins and their lines' ids are those of all orders
+    of = goods and t.narrowed(written(goods.lineitem.select("l_orderkey").distinct(), "asked"), row_bytes=16, lineitem="l_orderkey", orders="o_orderkey")
+    goods = goods.within(lineitem=goods.lineitem, observations=t.observations) if goods else t
+    of = of or t
+    goods.keep("moves", "balances", without=["id"])
+    of.keep("order_lines")
     sens = signals(t).select(F.col("id").alias("device_id"), F.col("reliability").alias("sensor"), (F.col("signal") == "LOW").cast("int").alias("n_low"))
-    reg = regimes(t).select("product_id", "regime")
-    best = ranked(t).where("rank = 1").select("order_id", "margin", "margin_class")
-    lines = t.order_lines.select("order_id", "product_id").join(best, "order_id").groupBy("product_id").agg(F.min(F.struct("margin", "margin_class")).alias("m"))
-    df = triggered(t).join(sens, "device_id", "left").join(reg, "product_id", "left").join(lines, "product_id", "left").withColumns({"margin": F.col("m.margin"), "margin_class": F.col("m.margin_class")})
+    reg = regimes(goods).select("product_id", "regime")
+    best = ranked(of, t).where("rank = 1").select("order_id", "margin", "margin_class")
+    lines = of.order_lines.select("order_id", "product_id").join(best, "order_id").groupBy("product_id").agg(F.min(F.struct("margin", "margin_class")).alias("m"))
+    df = triggered(goods).join(sens, "device_id", "left").join(reg, "product_id", "left").join(lines, "product_id", "left").withColumns({"margin": F.col("m.margin"), "margin_class": F.col("m.margin_class")})
     return b.decision_confidence(df)
 
 

@@ -32,6 +32,20 @@ class Tables:
         for name in names:
             self._cache[name] = written(getattr(self, name).drop(*without), name)
 
+    def within(self, **given: DataFrame) -> Tables:
+        """The same folder with some tables replaced, and with them whatever is made of them."""
+        out = Tables(self.spark, self.sf_dir)
+        out._cache.update(given)
+        return out
+
+    def narrowed(self, keys: DataFrame, max_bytes: int = 8 << 20, row_bytes: int = 64, **on: str) -> Tables | None:
+        """The same folder with the rows of given tables whose key, an expression for each table, stands in the one
+        column of ``keys``; they are written. None if the counted keys are too many to be broadcast."""
+        if keys.count() * row_bytes > max_bytes:
+            return None
+        asked = F.broadcast(keys.toDF("_asked"))
+        return self.within(**{x: written(getattr(self, x).join(asked, F.expr(key) == F.col("_asked"), "left_semi"), x) for x, key in on.items()})
+
 
 def query(name: str, needs: Sequence[str] = (), sql: str | None = None):
     """Register ``fn(tables)``. ``sql``: a SELECT, or further CTEs that start with a comma."""

@@ -61,13 +61,15 @@ TABLES = {
             CASE WHEN l_discount >= 0.06 THEN floor(l_quantity / 2) ELSE l_quantity END * CAST(1 AS DOUBLE) AS qty_allocated,
             CASE WHEN l_linestatus = 'F' THEN CASE WHEN l_discount >= 0.06 THEN floor(l_quantity / 2) ELSE l_quantity END ELSE 0 END * CAST(1 AS DOUBLE) AS qty_shipped,
             100 * l_tax AS service_level_penalty FROM {lines}""",
-    # Spark makes keys distinct before it joins them: the same rows, but wide ones are not shuffled
+    # Spark makes keys distinct before it joins them: the same rows, but wide ones are not shuffled, and what is dealt
+    # by the order's key is dealt once for both
     "purchase_orders": lambda d: f"""SELECT concat('O', o_orderkey, 'S', l_suppkey) AS id, concat('S', l_suppkey) AS supplier_id, concat('W', s_nationkey) AS destination_warehouse_id,
             status,
             {d.hours("created_at", "1440")} AS expected_at, CASE WHEN l_suppkey % 4 = 0 THEN NULL ELSE concat('M', s_nationkey % 3) END AS leadtime_model_id, created_at,
             CASE WHEN status = 'received' THEN {d.hours("created_at", "24 * (10 + (7 * o_orderkey + l_suppkey) % 90)")} END AS arrived_at
-        FROM (SELECT DISTINCT l_orderkey, l_suppkey FROM {{lineitem}}) AS ls
-        JOIN (SELECT DISTINCT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'received' WHEN 'P' THEN 'partial' ELSE 'submitted' END AS status, {d.ts("o_orderdate")} AS created_at FROM {{orders}}) AS os ON o_orderkey = l_orderkey
+        FROM (SELECT DISTINCT l_orderkey, l_suppkey FROM (SELECT /*+ REPARTITION(l_orderkey) */ l_orderkey, l_suppkey FROM {{lineitem}}) AS lk) AS ls
+        JOIN (SELECT DISTINCT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'received' WHEN 'P' THEN 'partial' ELSE 'submitted' END AS status, {d.ts("o_orderdate")} AS created_at
+            FROM (SELECT /*+ REPARTITION(o_orderkey) */ o_orderkey, o_orderstatus, o_orderdate FROM {{orders}}) AS ok) AS os ON o_orderkey = l_orderkey
         JOIN (SELECT DISTINCT s_suppkey, s_nationkey FROM {{supplier}}) AS ss ON l_suppkey = s_suppkey"""
         if d.spark
         else f"""SELECT DISTINCT concat('O', o_orderkey, 'S', l_suppkey) AS id, concat('S', l_suppkey) AS supplier_id, concat('W', s_nationkey) AS destination_warehouse_id,

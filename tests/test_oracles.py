@@ -77,3 +77,20 @@ def test_kept_moves_take_no_rank_of_lines(spark, monkeypatch):
     monkeypatch.setattr("stockops.plans.registry.written", spy)
     QUERIES["b14_decision_confidence"](spark, FOLDER)
     assert "Window" not in plans["moves"] and "Window" not in plans["balances"] and "Window" in plans["order_lines"]
+
+
+def test_decisions_read_what_is_observed(spark, monkeypatch):
+    """Moves, balances and lines are kept of observed products and their orders only; too many keys to broadcast
+    change no row."""
+    from stockops.plans import registry
+
+    wide, kept, write = "/root/testdata/sf0.01", {}, registry.written
+    monkeypatch.setattr(registry, "written", lambda df, name: (kept.setdefault(name, df.count()), write(df, name))[1])
+    narrow = QUERIES["b15_deferral"](spark, wide)
+    lines = spark.read.parquet(f"{wide}/lineitem.parquet").count()
+    assert 0 < kept["moves"] < lines / 4 and kept["balances"] < lines / 2 and 0 < kept["order_lines"] < lines
+    # observed products are a tenth; the orders that hold one are more
+    got = sorted(map(str, narrow.collect()))
+    monkeypatch.setattr(registry, "written", write)
+    monkeypatch.setattr(registry.Tables, "narrowed", lambda *a, **k: None)
+    assert got and got == sorted(map(str, QUERIES["b15_deferral"](spark, wide).collect()))
